@@ -127,12 +127,14 @@ def likeness(a: Column, b: Column) -> Column:
 RANGE_ROWS = 20_000
 
 
-def with_next(df: DataFrame, id_col: str, text_col: str, carried: list[str], range_rows: int = RANGE_ROWS) -> DataFrame:
-    """df with ``next``: the carried columns, as a struct, of the row that follows by descending id; after the last, the first.
+def with_next(df: DataFrame, id_col: str, text_col: str, added: dict[str, Column], range_rows: int = RANGE_ROWS) -> DataFrame:
+    """df with the added columns and ``next``: a struct of text and added columns of the row that follows by descending id;
+    after the last, the first.
 
     Ids are cut into ranges at quantiles, so that no task orders the whole table; each range is ordered by a window, and
-    its last row takes the head of the next range that has rows from a table with one row a range. Null ids come last;
-    rows of one id follow by text.
+    its last row takes the head of the next range that has rows from a table with one row a range, of which only the
+    ids are broadcast. The added columns are computed before the one shuffle. Null ids come last; rows of one id follow
+    by text.
     """
     n = df.count()
     cuts = max(1, n // range_rows)
@@ -148,9 +150,10 @@ def with_next(df: DataFrame, id_col: str, text_col: str, carried: list[str], ran
         bucket = F.when(F.col(id_col).isNull(), -1).when(block < 0, 0).otherwise(block * wide + F.size(within))
     else:
         bucket = F.when(F.col(id_col).isNull(), -1).otherwise(0)
+    carried = [text_col, *added]
     cut = df.withColumn("__range", bucket.cast("int"))
     falling = Window.partitionBy("__range").orderBy(F.col(id_col).desc_nulls_last(), F.col(text_col))
-    here = cut.withColumn("__next", F.lead(F.struct(*carried)).over(falling))
+    here = cut.withColumns(added).withColumn("__next", F.lead(F.struct(*carried)).over(falling))
 
     # heads: one row a range, found by id first so that texts of other rows are not gathered
     ids = cut.groupBy("__range").agg(F.max(id_col).alias("__head"))
@@ -162,10 +165,11 @@ def with_next(df: DataFrame, id_col: str, text_col: str, carried: list[str], ran
     )
     wanted = follow.select(F.col("__follow")["id"].alias("__head")).distinct()
     heads = (
-        df.join(wanted, df[id_col].eqNullSafe(wanted["__head"]), "left_semi")
+        df.join(F.broadcast(wanted), df[id_col].eqNullSafe(wanted["__head"]), "left_semi")
+        .withColumns(added)
         .groupBy(F.col(id_col).alias("__head"))
         .agg(F.min_by(F.struct(*carried), text_col).alias("__first"))
     )
     edges = follow.join(heads, F.col("__follow")["id"].eqNullSafe(F.col("__head"))).select(F.col("__range").alias("__edge"), "__first")
     out = here.join(edges, here["__range"] == edges["__edge"], "left")
-    return out.select(*df.columns, F.coalesce("__next", "__first").alias("next"))
+    return out.select(*df.columns, *added, F.coalesce("__next", "__first").alias("next"))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, multiset_hash
+from . import bpe, chat, mixing, multiset_hash, token_count
 from .common import table
 
 
@@ -53,8 +54,7 @@ FROM judged GROUP BY conv_id
 def op6_multiset_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of whole texts and of their edited texts, and their likeness to the edited and to the next text."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    docs = docs.withColumn("fp", multiset_hash.fingerprint(F.col("text")))
-    paired = multiset_hash.with_next(docs, "doc_id", "text", ["text", "fp"])
+    paired = multiset_hash.with_next(docs, "doc_id", "text", {"fp": multiset_hash.fingerprint(F.col("text"))})
     n = F.length("text")
     cut = F.floor(n / 3).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - cut), F.substring(F.col("next")["text"], F.lit(1), cut))
@@ -71,6 +71,27 @@ def op6_multiset_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of whole texts, as the SentencePiece library gives them."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
+    counted = token_count.count_tokens(docs, public_tokenizers.path("piece_bpe_32k.model"), keep=["doc_id", "n_bytes"])
+    return counted.withColumn("over_limit", F.col("n_tokens") > 4096)
+
+
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts to ids and back, with digests of both."""
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ids = bpe.encode(docs, path, public_tokenizers.PATTERN, keep=["doc_id"])
+    both = bpe.decode(ids, path)
+    return both.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with the words that the mix takes of each."""
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
@@ -121,6 +142,8 @@ SELECT doc_id, size, source_size, target, (size * copies)::BIGINT AS taken, copi
 QUERIES = {
     "op3_chat_formatting": op3_chat_formatting,
     "op6_multiset_fingerprints": op6_multiset_fingerprints,
+    "op7_token_counts": op7_token_counts,
+    "op8_byte_bpe": op8_byte_bpe,
     "op10_source_mixing": op10_source_mixing,
 }
 ORACLES = {"op3_chat_formatting": OP3_SQL, "op10_source_mixing": OP10_SQL}
