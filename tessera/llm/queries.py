@@ -6,8 +6,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, mixing, multiset_hash, token_count
-from .common import table
+from . import bpe, chat, language_id, mixing, multiset_hash, token_count
+from .common import fold, table
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every whole text, learned from the texts and labels outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = fold(F.col("doc_id"), 4) == 2
+    languages, logs = language_id.fit(docs.filter(~held_out))
+    return language_id.predict(docs.select("doc_id", held_out.alias("held_out"), "text"), languages, logs, keep=["doc_id", "held_out"])
 
 
 def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,6 +148,7 @@ SELECT doc_id, size, source_size, target, (size * copies)::BIGINT AS taken, copi
 """
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
     "op3_chat_formatting": op3_chat_formatting,
     "op6_multiset_fingerprints": op6_multiset_fingerprints,
     "op7_token_counts": op7_token_counts,
