@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, language_id, mixing, multiset_hash, token_count
+from . import bpe, chat, language_id, mixing, multiset_hash, simhash, token_count
 from .common import fold, table
 
 
@@ -59,6 +59,13 @@ FROM judged GROUP BY conv_id
 """
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of whole texts and the components of links within two bits."""
+    found = simhash.groups(table(spark, sf_dir, "documents").select("doc_id", "text"), width=3, budget=2)
+    fingerprint = F.concat(*[F.substring(F.hex("sketch"), 2 * i + 1, 2) for i in range(7, -1, -1)])
+    return found.select(F.col("id").alias("doc_id"), F.lower(fingerprint).alias("fingerprint"), "component_id")
+
+
 def op6_multiset_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of whole texts and of their edited texts, and their likeness to the edited and to the next text."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
@@ -150,6 +157,7 @@ SELECT doc_id, size, source_size, target, (size * copies)::BIGINT AS taken, copi
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op3_chat_formatting": op3_chat_formatting,
+    "op5_simhash": op5_simhash,
     "op6_multiset_fingerprints": op6_multiset_fingerprints,
     "op7_token_counts": op7_token_counts,
     "op8_byte_bpe": op8_byte_bpe,
