@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, language_id, mixing, multiset_hash, simhash, token_count
+from . import bpe, chat, language_id, mixing, multiset_hash, simhash, token_count, voronoi_topk
 from .common import fold, table
 
 
@@ -59,6 +59,25 @@ FROM judged GROUP BY conv_id
 """
 
 
+def op4_voronoi_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 best other vectors by integer inner product for each vector whose id is divisible by 100."""
+    return voronoi_topk.top_k(table(spark, sf_dir, "embeddings"), id_col="vec_id", vector_col="embedding", every=100, k=10)
+
+
+OP4_SQL = """
+WITH whole AS (
+    SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+    SELECT q.vec_id AS query_id, d.vec_id AS vec_id, list_sum(list_transform(list_zip(q.v, d.v), lambda z: z[1] * z[2]))::BIGINT AS score
+    FROM whole q JOIN whole d ON q.vec_id % 100 = 0 AND d.vec_id <> q.vec_id
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored
+)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <= 10
+"""
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of whole texts and the components of links within two bits."""
     found = simhash.groups(table(spark, sf_dir, "documents").select("doc_id", "text"), width=3, budget=2)
@@ -157,10 +176,11 @@ SELECT doc_id, size, source_size, target, (size * copies)::BIGINT AS taken, copi
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op3_chat_formatting": op3_chat_formatting,
+    "op4_voronoi_topk": op4_voronoi_topk,
     "op5_simhash": op5_simhash,
     "op6_multiset_fingerprints": op6_multiset_fingerprints,
     "op7_token_counts": op7_token_counts,
     "op8_byte_bpe": op8_byte_bpe,
     "op10_source_mixing": op10_source_mixing,
 }
-ORACLES = {"op3_chat_formatting": OP3_SQL, "op10_source_mixing": OP10_SQL}
+ORACLES = {"op3_chat_formatting": OP3_SQL, "op4_voronoi_topk": OP4_SQL, "op10_source_mixing": OP10_SQL}
