@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, language_id, mixing, multiset_hash, simhash, token_count, voronoi_topk
+from . import bpe, chat, language_id, mixing, multiset_hash, ngram_lm, simhash, token_count, voronoi_topk
 from .common import fold, table
 
 
@@ -126,6 +126,14 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all whole texts under the model of the training fold."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = fold(F.col("doc_id"), 7) == 2
+    model = ngram_lm.train(docs.filter(~held_out))
+    return ngram_lm.score(docs.withColumn("held_out", held_out), model, keep=["doc_id", "held_out"])
+
+
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with the words that the mix takes of each."""
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
@@ -181,6 +189,7 @@ QUERIES = {
     "op6_multiset_fingerprints": op6_multiset_fingerprints,
     "op7_token_counts": op7_token_counts,
     "op8_byte_bpe": op8_byte_bpe,
+    "op9_ngram_lm": op9_ngram_lm,
     "op10_source_mixing": op10_source_mixing,
 }
 ORACLES = {"op3_chat_formatting": OP3_SQL, "op4_voronoi_topk": OP4_SQL, "op10_source_mixing": OP10_SQL}
