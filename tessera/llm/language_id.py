@@ -34,6 +34,8 @@ from pyspark.sql import types as T
 BUCKETS = 1 << 16
 SAMPLE_DOCS = 2_000
 MAX_LANGUAGES = 200
+#: Share of a language's probability that is spread evenly over all buckets.
+SMOOTHING = 0.05
 PENALTY = 2.0
 MAX_SET = 5
 ROUNDS = 12
@@ -103,7 +105,7 @@ def fit(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     counts = np.zeros((BUCKETS, len(languages)))
     row = {lang: i for i, lang in enumerate(languages)}
     counts[sums["bucket"].to_numpy(), [row[x] for x in sums["lang"].to_pylist()]] = sums["n"].to_numpy()
-    return languages, np.log((counts + 0.1) / (counts.sum(0) + 0.1 * BUCKETS)).astype(np.float32)
+    return languages, np.log((1 - SMOOTHING) * counts / np.maximum(counts.sum(0), 1) + SMOOTHING / BUCKETS).astype(np.float32)
 
 
 def maximise(likely: np.ndarray, doc: np.ndarray, first: np.ndarray, n: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
