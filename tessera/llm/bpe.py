@@ -25,6 +25,7 @@ import gc
 import re
 import sys
 import unicodedata
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,8 +36,8 @@ from pyspark.sql import types as T
 
 #: Bounds of what a worker keeps: states, tested pairs and split matches.
 MAX_STATES = 200_000
-MAX_PAIRS = 1_000_000
-MAX_PIECES = 600_000
+MAX_PAIRS = 400_000
+MAX_PIECES = 300_000
 #: Above all ranks.
 NONE = 1 << 60
 FLUSH_BYTES = 16 << 20
@@ -44,13 +45,14 @@ FLUSH_BYTES = 16 << 20
 
 class State:
     """after: the token before the undecided bytes. last[j], ways[j]: the token that ends at j, and the token ends on the
-    way back from j to 0 as bits; -2 and 0 where no token sequence ends. live: where a token that goes on could start."""
+    way back from j to 0 as bits; -2 and 0 where no token sequence ends. live, nodes: where a token that goes on could
+    start, and how far it is in the tree of tokens."""
 
-    __slots__ = ("after", "arcs", "last", "live", "pending", "rest", "ways")
+    __slots__ = ("after", "last", "live", "nodes", "number", "pending", "rest", "ways")
 
-    def __init__(self, after: int, pending: bytes, last: list[int], ways: list[int], live: list[int]) -> None:
-        self.after, self.pending, self.last, self.ways, self.live = after, pending, last, ways, live
-        self.arcs: dict[int, tuple[State, tuple[int, ...]]] = {}
+    def __init__(self, number: int, after: int, pending: bytes, last: tuple[int, ...], ways: tuple[int, ...], live: tuple[int, ...], nodes: tuple[int, ...]) -> None:
+        self.number, self.after, self.pending = number << 8, after, pending
+        self.last, self.ways, self.live, self.nodes = last, ways, live, nodes
         self.rest: tuple[int, ...] | None = None
 
 
@@ -58,19 +60,29 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int]) -> None:
         self.ranks = ranks
         self.tokens = {i: t for t, i in ranks.items()}
-        self.prefixes = {t[:k] for t in ranks for k in range(1, len(t))}
-        self.pairs: dict[tuple[int, int], bool] = {}
-        self.states: dict[tuple[int, bytes], State] = {}
+        #: The tree of tokens: (node << 8 | byte) to node; the token that a node ends, or -1; whether it goes on.
+        self.tree: dict[int, int] = {}
+        self.ends, self.inner = [-1], [True]
+        for token, rank in ranks.items():
+            node = 0
+            for byte in token:
+                self.inner[node] = True
+                if (child := self.tree.get(node << 8 | byte)) is None:
+                    child = self.tree[node << 8 | byte] = len(self.ends)
+                    self.ends.append(-1)
+                    self.inner.append(False)
+                node = child
+            self.ends[node] = rank
+        self.pairs: dict[int, bool] = {}
         self.made: dict[int, tuple[int, int] | None] = {}
         if max(ranks[t] for t in ranks if len(t) == 1) > min((ranks[t] for t in ranks if len(t) > 1), default=NONE):
             raise ValueError("single bytes must have the lowest ranks")
         self.reset()
 
     def reset(self) -> None:
-        for state in self.states.values():  # states refer to each other; without arcs they go at once
-            state.arcs.clear()
-        self.start = State(-1, b"", [-1], [1], [0])
-        self.states = {(-1, b""): self.start}
+        self.start = State(0, -1, b"", (-1,), (1,), (0,), (0,))
+        self.states: dict[tuple[int, bytes], State] = {(-1, b""): self.start}
+        self.arcs: dict[int, tuple[State, tuple[int, ...]]] = {}
 
     def halves(self, token: int) -> tuple[int, int] | None:
         """The two tokens that the last merge of a token joins; None for a byte. A token that merging never makes has -1."""
@@ -101,7 +113,8 @@ class Transducer:
         The merges next to the border are undone, the latest first: a pair across the border that would have been joined
         before the merge just undone means that the border does not stand.
         """
-        if (known := self.pairs.get((before, token))) is not None:
+        key = before + 1 << 32 | token
+        if (known := self.pairs.get(key)) is not None:
             return known
         if len(self.pairs) > MAX_PAIRS:
             self.pairs.clear()
@@ -119,59 +132,61 @@ class Transducer:
                 if (halves := self.halves(right)) is None:
                     break
                 limit, right = right + 1, halves[0]
-        self.pairs[before, token] = known
+        self.pairs[key] = known
         return known
 
-    def way(self, state: State, end: int) -> tuple[int, ...]:
-        """The tokens from 0 to end."""
-        out = []
-        while end > 0:
-            out.append(state.last[end])
-            end -= len(self.tokens[out[-1]])
-        return tuple(reversed(out))
-
     def arc(self, state: State, byte: int) -> tuple[State, tuple[int, ...]]:
         """The next state and the tokens that are decided by this byte."""
-        pending = state.pending + bytes((byte,))
-        end, token, mask = len(pending), -2, 0
-        for start in state.live:
-            found = self.ranks.get(pending[start:])
-            if found is not None and self.fits(state.last[start] if start else state.after, found):
+        end, token, mask, live, nodes = len(state.last), -2, 0, [], []
+        common = -1
+        for start, node in zip(state.live, state.nodes, strict=True):
+            if (child := self.tree.get(node << 8 | byte)) is None:
+                continue
+            if token < 0 <= (found := self.ends[child]) and self.fits(state.last[start] if start else state.after, found):
                 token, mask = found, state.ways[start] | 1 << end
-                break
-        live = [s for s in state.live if pending[s:] in self.prefixes]
-        last, ways = [*state.last, token], [*state.ways, mask]
-        common = mask if token >= 0 else -1
-        for s in live:
-            common &= ways[s]
+                common &= mask
+            if self.inner[child]:
+                live.append(start)
+                nodes.append(child)
+                common &= state.ways[start]
         if token >= 0:
             live.append(end)
-        grown, out = State(state.after, pending, last, ways, live), ()
-        if cut := common.bit_length() - 1:
-            out = self.way(grown, cut)
-            # what reaches back over the cut is on no way that is left
-            key = last[cut], pending[cut:]
-            if (known := self.states.get(key)) is None:
-                ways = [w >> cut if w >> cut & 1 else 0 for w in ways[cut:]]
-                last = [t if w else -2 for t, w in zip(last[cut:], ways, strict=True)]
-                known = self.states[key] = State(key[0], key[1], last, ways, [s - cut for s in live])
-            grown = known
-        else:
-            self.states[state.after, pending] = grown
-        state.arcs[byte] = grown, out
-        return grown, out
+            nodes.append(0)
+        pending, out, cut = state.pending + bytes((byte,)), (), common.bit_length() - 1
+        last, ways = (*state.last, token), (*state.ways, mask)
+        if cut:
+            way, at = [], cut
+            while at > 0:
+                way.append(last[at])
+                at -= len(self.tokens[way[-1]])
+            out = tuple(reversed(way))
+        key = (last[cut] if cut else state.after), pending[cut:]
+        if (grown := self.states.get(key)) is None:
+            if cut:
+                # what reaches back over the cut is on no way that is left
+                ways = tuple([w >> cut if w >> cut & 1 else 0 for w in ways[cut:]])
+                last = tuple([t if w else -2 for t, w in zip(last[cut:], ways, strict=True)])
+                live = [s - cut for s in live]
+            grown = self.states[key] = State(len(self.states), key[0], key[1], last, ways, tuple(live), tuple(nodes))
+        step = self.arcs[state.number | byte] = grown, out
+        return step
 
     def encode(self, piece: bytes) -> list[int]:
         if (token := self.ranks.get(piece)) is not None:
             return [token]
         if len(self.states) > MAX_STATES:
             self.reset()
-        state, out = self.start, []
+        state, out, arcs = self.start, [], self.arcs.get
         for byte in piece:
-            state, decided = state.arcs.get(byte) or self.arc(state, byte)
-            out += decided
+            state, decided = arcs(state.number | byte) or self.arc(state, byte)
+            if decided:
+                out += decided
         if state.rest is None:
-            state.rest = self.way(state, len(state.pending))
+            way, at = [], len(state.pending)
+            while at > 0:
+                way.append(state.last[at])
+                at -= len(self.tokens[way[-1]])
+            state.rest = tuple(reversed(way))
         out += state.rest
         return out
 
@@ -216,7 +231,7 @@ class Pieces(dict):
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= MAX_PIECES:
             self.clear()
-        packed = np.array(self.transducer.encode(piece.encode()), "<u4").tobytes()
+        packed = array("I", self.transducer.encode(piece.encode())).tobytes()
         if len(piece) <= 64:
             self[piece] = packed
         return packed
