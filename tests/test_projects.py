@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from tessera.functions import paths, text
-from tessera.operators import detectors, entities, features, graph, parsing
+from tessera.operators import detectors, entities, features, graph, parsing, retrieval, signals
 from tessera.plans import engine
 from tessera.sources import tree
 
@@ -155,3 +155,24 @@ def test_tree_source(spark, tmp_path):
     found = tree.read_tree(spark, str(tmp_path), "t")
     assert rows(found, "path", "lines") == [(".github/x.md", 2), (".gitignore", 2), ("bad.ts", 1), ("pages/_app.tsx", 1)]
     assert found.filter("path = 'bad.ts'").first()["content"] == "a\ufffd"
+
+
+def test_signals_and_services(spark):
+    files = both(spark)
+    found = engine.analyse(files)
+    names = rows(signals.feature_signals(files, found.analyses), "project_id", "name")
+    assert ("next", "Authentication") in names and ("express", "Payments") in names and ("next", "Payments") not in names
+    assert rows(signals.services(files, found.analyses), "project_id", "services") == [("next", ["NextAuth", "Prisma"])]
+    routes = spark.createDataFrame([("p", "/api/search", "a.ts", "api"), ("p", "/api/x/find", "b.ts", "api"), ("p", "/likes", "c.ts", "api"), ("p", "/live", "d.ts", "page")], "project_id string, route string, file string, kind string")
+    assert rows(signals.behaviours(routes), "kind", "evidence", "confidence") == [("search", ["a.ts", "b.ts"], "high")]
+
+
+def test_questions(spark):
+    assert retrieval.keywords("Where is login handled?") == ["login", "handled", "auth", "authentication", "autentikasi", "session", "sesi", "nextauth"]
+    assert [retrieval.intent(q) for q in ("fix the bug", "where is it", "hello")] == ["debug", "navigate", "general"]
+    files = both(spark)
+    found = engine.analyse(files)
+    best = retrieval.answer(found.file_index, found.analyses, found.edges, "How does login work?").filter("project_id = 'next'").orderBy("rank").collect()
+    assert best[0]["path"] in ("lib/auth.ts", "app/api/session/route.ts") and {r["path"] for r in best} >= {"lib/auth.ts", "lib/db.ts"}
+    found = retrieval.answer(found.file_index, found.analyses, found.edges, "where is the database").filter("project_id = 'next'").orderBy("rank").collect()
+    assert [r["path"] for r in found][0] == "lib/db.ts"
