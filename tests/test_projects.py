@@ -3,8 +3,8 @@
 from pyspark.sql import functions as F
 
 from tessera.functions import paths, text
-from tessera.operators import detectors, entities, features, graph, parsing, retrieval, signals
-from tessera.plans import engine
+from tessera.operators import detectors, entities, features, flows, graph, parsing, retrieval, signals
+from tessera.plans import engine, maps, snapshot
 from tessera.sources import tree
 
 NEXT = {
@@ -176,3 +176,34 @@ def test_questions(spark):
     assert best[0]["path"] in ("lib/auth.ts", "app/api/session/route.ts") and {r["path"] for r in best} >= {"lib/auth.ts", "lib/db.ts"}
     found = retrieval.answer(found.file_index, found.analyses, found.edges, "where is the database").filter("project_id = 'next'").orderBy("rank").collect()
     assert [r["path"] for r in found][0] == "lib/db.ts"
+
+
+def test_flows_and_reading_path(spark):
+    files = both(spark)
+    found = engine.analyse(files)
+    routed = engine.routes(files, found.edges)
+    got = rows(flows.request_flows(routed, found.edges), "name", "steps", "confidence")
+    assert ("Request /api/session", ["app/api/session/route.ts", "lib/auth.ts", "lib/db.ts"], "high") in got
+    ranked = found.file_index.withColumn("importance", flows.importance(F.col("refs"), F.lit(0), F.lit(0), F.lit(False), F.col("path")))
+    read = flows.reading_path(files, found.entry_points, found.critical_files, ranked).filter("project_id = 'next'").orderBy("place").collect()
+    assert read[0]["path"] == "package.json" and len({r["path"] for r in read}) == len(read) <= 12
+
+
+def test_snapshots(spark):
+    files = both(spark)
+    saved = snapshot.documents(engine.analyse(files))
+    states = {"a": None, "b": "{oops", "c": '{"schemaVersion": "9", "project": {}, "stats": {}}', "d": '{"schemaVersion": "1"}'}
+    odd = spark.createDataFrame(list(states.items()), "project_id string, document string")
+    assert rows(snapshot.inspect(odd), "project_id", "status") == [("a", "missing"), ("b", "corrupt"), ("c", "unsupported"), ("d", "corrupt")]
+    read = {r["project_id"]: r for r in snapshot.inspect(saved).collect()}
+    assert read["next"]["status"] == "valid" and read["next"]["snapshot"]["stats"]["totalFiles"] == len(NEXT)
+    assert read["next"]["snapshot"]["dependencyGraph"]["lib/auth.ts"] == ["lib/db.ts"]
+    edited = files.withColumn("content", F.when(F.col("path") == "lib/db.ts", "changed").otherwise(F.col("content")))
+    assert rows(snapshot.stale(saved, edited), "project_id", "stale") == [("express", False), ("next", True)]
+
+
+def test_maps(spark):
+    e = [("p", "hub", f"c{i:02d}", i) for i in range(30)] + [("p", "c00", "hub", 0)]
+    found = maps.file_map(spark.createDataFrame(e, "project_id string, src string, dst string, ord int"), "p", "hub")
+    assert "… +5 more" in found["uses"] and "hub (cycle)" in found["uses"] and found["uses"].count("├── c") == 25
+    assert found["used_by"] == "hub\n└── c00" and found["mermaid"].count("-->") == 26
