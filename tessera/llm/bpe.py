@@ -1,14 +1,13 @@
 """Byte-level BPE: encoding by a lazily determinised finite-state transducer, decoding by an incremental UTF-8 machine.
 
-Encoding. The merge list is compiled into a transducer that reads one byte at a time. After a prefix w, the last token of
-the encoding of w is the one token t ending there for which (token before t, t) is a pair that merging leaves as it is;
-this local test is memoised. A state is what later bytes can still change: the token before the undecided part, and the
-undecided bytes. A boundary is decided once every token that a later byte could complete starts at or after it on the
-same path, so tokens leave after a lookahead of less than the longest token; states and arcs are made when first needed.
-A piece that is itself a token becomes that token, as in public rank-file encoders.
+Encoding. The tokens form a tree; a machine that may start a token at every byte is at several nodes of the tree at once.
+Its sets of nodes become states, and its arcs are made when first taken: an arc names the next state and the tokens that
+end at the byte, the longest first. Of these exactly one is the last token of the encoding so far: that which merging leaves
+side by side with the last token at its start. This pair test undoes merges and is memoised. After LOOKAHEAD bytes
+at most, tokens leave up to the last border that every token still under way shares, which is the end if none is. A piece that is itself a token becomes that token, as in public rank-file encoders.
 
-Each match of the split pattern is encoded by itself; words and matches seen before come from bounded caches in the worker. Texts
-of any length are read whole, and a match of any length takes time in proportion to its bytes.
+Each match of the split pattern is encoded by itself; words and matches seen before come from bounded caches in the worker.
+Texts of any length are read whole, and a match of any length takes time in proportion to its bytes.
 
 Decoding. Token bytes are fed in runs to a UTF-8 state machine that holds back an incomplete last character until its
 bytes arrive, so a run may end inside a character.
@@ -34,35 +33,26 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-#: Bounds of what a worker keeps: states, tested pairs and split matches.
-MAX_STATES = 200_000
-MAX_PAIRS = 400_000
+#: Bounds of what a worker keeps: arcs, tested pairs, split matches and words.
+MAX_ARCS = 400_000
+MAX_PAIRS = 300_000
 MAX_PIECES = 300_000
+MAX_WORDS = 400_000
+#: Bytes after which decided tokens are emitted.
+LOOKAHEAD = 256
 #: Above all ranks.
 NONE = 1 << 60
 FLUSH_BYTES = 16 << 20
 
 
-class State:
-    """after: the token before the undecided bytes. last[j], ways[j]: the token that ends at j, and the token ends on the
-    way back from j to 0 as bits; -2 and 0 where no token sequence ends. live, nodes: where a token that goes on could
-    start, and how far it is in the tree of tokens."""
-
-    __slots__ = ("after", "last", "live", "nodes", "number", "pending", "rest", "ways")
-
-    def __init__(self, number: int, after: int, pending: bytes, last: tuple[int, ...], ways: tuple[int, ...], live: tuple[int, ...], nodes: tuple[int, ...]) -> None:
-        self.number, self.after, self.pending = number << 8, after, pending
-        self.last, self.ways, self.live, self.nodes = last, ways, live, nodes
-        self.rest: tuple[int, ...] | None = None
-
-
 class Transducer:
     def __init__(self, ranks: dict[bytes, int]) -> None:
         self.ranks = ranks
         self.tokens = {i: t for t, i in ranks.items()}
-        #: The tree of tokens: (node << 8 | byte) to node; the token that a node ends, or -1; whether it goes on.
+        self.sizes = {i: len(t) for t, i in ranks.items()}
+        #: The tree of tokens: (node << 8 | byte) to node; the token that a node ends, or -1; its depth; whether it goes on.
         self.tree: dict[int, int] = {}
-        self.ends, self.inner = [-1], [True]
+        self.ends, self.depth, self.inner = [-1], [0], [True]
         for token, rank in ranks.items():
             node = 0
             for byte in token:
@@ -70,6 +60,7 @@ class Transducer:
                 if (child := self.tree.get(node << 8 | byte)) is None:
                     child = self.tree[node << 8 | byte] = len(self.ends)
                     self.ends.append(-1)
+                    self.depth.append(self.depth[node] + 1)
                     self.inner.append(False)
                 node = child
             self.ends[node] = rank
@@ -80,9 +71,20 @@ class Transducer:
         self.reset()
 
     def reset(self) -> None:
-        self.start = State(0, -1, b"", (-1,), (1,), (0,), (0,))
-        self.states: dict[tuple[int, bytes], State] = {(-1, b""): self.start}
-        self.arcs: dict[int, tuple[State, tuple[int, ...]]] = {}
+        #: A state is the nodes of tokens under way, the longest first; state 0 has none.
+        self.states: dict[tuple[int, ...], int] = {(): 0}
+        self.nodes: list[tuple[int, ...]] = [()]
+        #: (state << 8 | byte) to the next state and the (length, token) that end there, the longest first.
+        self.arcs: dict[int, tuple[int, tuple[tuple[int, int], ...]]] = {}
+
+    def arc(self, state: int, byte: int) -> tuple[int, tuple[tuple[int, int], ...]]:
+        reached = [c for n in (*self.nodes[state], 0) if (c := self.tree.get(n << 8 | byte)) is not None]
+        under_way = tuple(c for c in reached if self.inner[c])
+        if (after := self.states.get(under_way)) is None:
+            after = self.states[under_way] = len(self.nodes)
+            self.nodes.append(under_way)
+        made = self.arcs[state << 8 | byte] = after, tuple((self.depth[c], self.ends[c]) for c in reached if self.ends[c] >= 0)
+        return made
 
     def halves(self, token: int) -> tuple[int, int] | None:
         """The two tokens that the last merge of a token joins; None for a byte. A token that merging never makes has -1."""
@@ -135,61 +137,60 @@ class Transducer:
         self.pairs[key] = known
         return known
 
-    def arc(self, state: State, byte: int) -> tuple[State, tuple[int, ...]]:
-        """The next state and the tokens that are decided by this byte."""
-        end, token, mask, live, nodes = len(state.last), -2, 0, [], []
-        common = -1
-        for start, node in zip(state.live, state.nodes, strict=True):
-            if (child := self.tree.get(node << 8 | byte)) is None:
-                continue
-            if token < 0 <= (found := self.ends[child]) and self.fits(state.last[start] if start else state.after, found):
-                token, mask = found, state.ways[start] | 1 << end
-                common &= mask
-            if self.inner[child]:
-                live.append(start)
-                nodes.append(child)
-                common &= state.ways[start]
-        if token >= 0:
-            live.append(end)
-            nodes.append(0)
-        pending, out, cut = state.pending + bytes((byte,)), (), common.bit_length() - 1
-        last, ways = (*state.last, token), (*state.ways, mask)
-        if cut:
-            way, at = [], cut
-            while at > 0:
-                way.append(last[at])
-                at -= len(self.tokens[way[-1]])
-            out = tuple(reversed(way))
-        key = (last[cut] if cut else state.after), pending[cut:]
-        if (grown := self.states.get(key)) is None:
-            if cut:
-                # what reaches back over the cut is on no way that is left
-                ways = tuple([w >> cut if w >> cut & 1 else 0 for w in ways[cut:]])
-                last = tuple([t if w else -2 for t, w in zip(last[cut:], ways, strict=True)])
-                live = [s - cut for s in live]
-            grown = self.states[key] = State(len(self.states), key[0], key[1], last, ways, tuple(live), tuple(nodes))
-        step = self.arcs[state.number | byte] = grown, out
-        return step
-
     def encode(self, piece: bytes) -> list[int]:
         if (token := self.ranks.get(piece)) is not None:
             return [token]
-        if len(self.states) > MAX_STATES:
+        if len(self.arcs) > MAX_ARCS:
             self.reset()
-        state, out, arcs = self.start, [], self.arcs.get
+        out: list[int] = []
+        state, last, arcs, pairs = 0, [-1], self.arcs.get, self.pairs.get
         for byte in piece:
-            state, decided = arcs(state.number | byte) or self.arc(state, byte)
-            if decided:
-                out += decided
-        if state.rest is None:
-            way, at = [], len(state.pending)
-            while at > 0:
-                way.append(state.last[at])
-                at -= len(self.tokens[way[-1]])
-            state.rest = tuple(reversed(way))
-        out += state.rest
+            state, ending = arcs(state << 8 | byte) or self.arc(state, byte)
+            found, end = -2, len(last)
+            for size, token in ending:
+                if size <= end and (before := last[end - size]) >= -1:
+                    known = pairs(before + 1 << 32 | token)
+                    if known or known is None and self.fits(before, token):
+                        found = token
+                        break
+            last.append(found)
+            if end >= LOOKAHEAD:
+                last = self.decided(state, last, out)
+        way, at = [], len(last) - 1
+        while at > 0:
+            way.append(last[at])
+            at -= self.sizes[way[-1]]
+        way.reverse()
+        return out + way
+
+    def way(self, last: list[int], end: int) -> list[int]:
+        """Token borders on the way back from end to 0."""
+        out = [end]
+        while end > 0:
+            end -= self.sizes[last[end]]
+            out.append(end)
         return out
 
+    def decided(self, state: int, last: list[int], out: list[int]) -> list[int]:
+        """Emit the tokens that no later byte can change; what is left of last, from its first border on."""
+        end = len(last) - 1
+        cut = end
+        if state:
+            starts = [end - self.depth[n] for n in self.nodes[state]]
+            common = set(self.way(last, end)) if last[end] >= -1 else None
+            for start in starts:
+                if start >= 0 and last[start] >= -1:
+                    way = set(self.way(last, start))
+                    common = way if common is None else common & way
+            cut = max(common or {0})
+        if cut:
+            way = self.way(last, cut)
+            out += [last[at] for at in reversed(way[:-1])]
+            left = last[cut:]
+            # tokens that reach back over the cut are on no way that is left
+            return left[:1] + [t if t >= 0 and self.sizes[t] <= j else -2 for j, t in enumerate(left[1:], 1)]
+        return last
+
 
 def ranges(test) -> str:
     """The code points that pass a test, as ranges for a character class."""
@@ -249,7 +250,7 @@ class Words(dict):
         self.split, self.pieces = split_pattern(pattern), Pieces(transducer)
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= MAX_PIECES:
+        if len(self) >= MAX_WORDS:
             self.clear()
         packed = b"".join(map(self.pieces.__getitem__, self.split.findall(word)))
         if len(word) <= 64:
@@ -302,7 +303,7 @@ def _encoder(ranks: Broadcast, pattern: str) -> Words:
     """One for each worker process."""
     key = (ranks.value["id"], pattern)
     if key not in _encoders:
-        gc.disable()  # hundreds of thousands of states, none of them garbage, would be walked again and again
+        gc.set_threshold(200_000, 50, 50)  # large caches, none of them garbage, would be walked again and again
         _encoders.clear()
         _encoders[key] = Words(pattern, Transducer(ranks.value["ranks"]))
     return _encoders[key]
@@ -313,8 +314,23 @@ def _share(df: DataFrame, path: str) -> Broadcast:
     return df.sparkSession.sparkContext.broadcast({"id": path, "ranks": read_ranks(path)})
 
 
-def _mapped(df: DataFrame, given: str, out: str, kind: pa.DataType, schema: T.StructType, keep: list[str], each) -> DataFrame:
-    """df's kept columns and out, which each(values) makes from the given column; Arrow batches stay small."""
+class Decoder:
+    def __init__(self, ranks: dict[bytes, int]) -> None:
+        self.at = {i: t for t, i in ranks.items()}.__getitem__
+
+    def decode(self, ids: bytes | None) -> str:
+        stream, parts = Utf8Stream(), []
+        numbers = np.frombuffer(ids or b"", "<u4")
+        for i in range(0, len(numbers), 16_384):
+            parts.append(stream.feed(b"".join(map(self.at, numbers[i : i + 16_384].tolist()))))
+        return "".join([*parts, stream.end()])
+
+
+def _mapped(df: DataFrame, given: str, added: list[tuple[str, T.DataType, pa.DataType]], keep: list[str] | None, each) -> DataFrame:
+    """df's kept columns and the added ones, which each()(value) makes from the given column; Arrow batches stay small."""
+    names = [name for name, _, _ in added]
+    keep = [c for c in (df.columns if keep is None else keep) if c not in names]
+    schema = T.StructType([*(df.schema[c] for c in keep), *(T.StructField(name, kind) for name, kind, _ in added)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = each()
@@ -322,47 +338,42 @@ def _mapped(df: DataFrame, given: str, out: str, kind: pa.DataType, schema: T.St
             values, made, held, begun = batch.column(given), [], 0, 0
             for i, value in enumerate(values):
                 made.append(make(value.as_py()))
-                held += len(made[-1])
+                held += sum(map(len, made[-1]))
                 if held >= FLUSH_BYTES or i == batch.num_rows - 1:
                     part = batch.slice(begun, i + 1 - begun)
-                    yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keep), pa.array(made, kind)], names=[*keep, out])
+                    columns = [pa.array(column, kind) for column, (_, _, kind) in zip(zip(*made, strict=True), added, strict=True)]
+                    yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keep), *columns], names=[*keep, *names])
                     made, held, begun = [], 0, i + 1
 
-    return df.mapInArrow(run, schema)
+    return df.select(*dict.fromkeys([*keep, given])).mapInArrow(run, schema)
 
 
-def encode(df: DataFrame, path: str, pattern: str, *, text_col: str = "text", out: str = "ids", keep: list[str] | None = None) -> DataFrame:
-    """df with a binary column of token ids. keep: the input columns that stay; all, if None."""
-    keep = [c for c in (df.columns if keep is None else keep) if c != out]
+def encode(df: DataFrame, path: str, pattern: str, *, text_col: str = "text", out: str = "ids", keep: list[str] | None = None, decoded: str | None = None) -> DataFrame:
+    """df with a binary column of token ids and, if it is named, a column with the text that these ids decode to.
+
+    keep: the input columns that stay; all, if None.
+    """
     ranks = _share(df, path)
-    schema = T.StructType([*(df.schema[c] for c in keep), T.StructField(out, T.BinaryType())])
+    added = [(out, T.BinaryType(), pa.binary())] + ([(decoded, T.StringType(), pa.string())] if decoded else [])
 
     def each():
-        words = _encoder(ranks, pattern)
-        return lambda text: words.encode(text) if text else b""
+        words, back = _encoder(ranks, pattern), Decoder(ranks.value["ranks"])
 
-    needed = df.select(*dict.fromkeys([*keep, text_col]))
-    return _mapped(needed, text_col, out, pa.binary(), schema, keep, each)
+        def make(text: str | None) -> tuple:
+            ids = words.encode(text) if text else b""
+            return (ids, back.decode(ids)) if decoded else (ids,)
+
+        return make
+
+    return _mapped(df, text_col, added, keep, each)
 
 
 def decode(df: DataFrame, path: str, *, ids_col: str = "ids", out: str = "decoded", keep: list[str] | None = None) -> DataFrame:
     """df with the text of a binary column of token ids."""
-    keep = [c for c in (df.columns if keep is None else keep) if c != out]
     ranks = _share(df, path)
-    schema = T.StructType([*(df.schema[c] for c in keep), T.StructField(out, T.StringType())])
 
     def each():
-        tokens = sorted(ranks.value["ranks"], key=ranks.value["ranks"].get)
-        at = tokens.__getitem__ if list(ranks.value["ranks"].values()) == list(range(len(tokens))) else {i: t for t, i in ranks.value["ranks"].items()}.__getitem__
-
-        def text(ids: bytes | None) -> str:
-            stream, parts = Utf8Stream(), []
-            numbers = np.frombuffer(ids or b"", "<u4")
-            for i in range(0, len(numbers), 16_384):
-                parts.append(stream.feed(b"".join(map(at, numbers[i : i + 16_384].tolist()))))
-            return "".join([*parts, stream.end()])
-
-        return text
+        back = Decoder(ranks.value["ranks"])
+        return lambda ids: (back.decode(ids),)
 
-    needed = df.select(*dict.fromkeys([*keep, ids_col]))
-    return _mapped(needed, ids_col, out, pa.string(), schema, keep, each)
+    return _mapped(df, ids_col, [(out, T.StringType(), pa.string())], keep, each)

@@ -116,8 +116,7 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole texts to ids and back, with digests of both."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    ids = bpe.encode(docs, path, public_tokenizers.PATTERN, keep=["doc_id"])
-    both = bpe.decode(ids, path)
+    both = bpe.encode(docs, path, public_tokenizers.PATTERN, keep=["doc_id"], decoded="decoded")
     return both.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
