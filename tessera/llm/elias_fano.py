@@ -95,22 +95,21 @@ class EliasFano:
         out = np.full(len(x), -1, np.int64)
         if not self.n:
             return out
-        upper = (x >> U64(self.bits)).astype(np.int64)
-        low = x & U64((1 << self.bits) - 1)
-        at = self._before(upper)
-        live = np.flatnonzero(x <= U64(self.last))
+        known = np.flatnonzero(x <= U64(self.last))
+        upper = (x[known] >> U64(self.bits)).astype(np.int64)
+        low = x[known] & U64((1 << self.bits) - 1)
+        # values with the same high part lie side by side; a hot range may hold many, so it is halved
+        at, end = self._before(upper), self._before(upper + 1)
+        live = np.flatnonzero(at < end)
         while len(live):
-            p = at[live]
-            # the value at p is in the same bucket if its one stands after as many zeros as x asks for
-            where = p + upper[live]
-            inside = (p < self.n) & (((self.high[where >> 6] >> (where & 63).astype(U64)) & U64(1)) == 1)
-            live, p = live[inside], p[inside]
-            found = unpack(self.low, p, self.bits)
-            hit = found == low[live]
-            out[live[hit]] = p[hit]
-            more = found < low[live]
-            live = live[more]
-            at[live] += 1
+            middle = (at[live] + end[live]) >> 1
+            less = unpack(self.low, middle, self.bits) < low[live]
+            at[live[less]] = middle[less] + 1
+            end[live[~less]] = middle[~less]
+            live = live[at[live] < end[live]]
+        there = np.flatnonzero(at < self._before(upper + 1))
+        there = there[unpack(self.low, at[there], self.bits) == low[there]]
+        out[known[there]] = at[there]
         return out
 
 
