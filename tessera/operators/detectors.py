@@ -188,3 +188,71 @@ def crud(routes: DataFrame) -> DataFrame:
         for n, verbs in (("r", ["GET"]), ("w", ["POST", "PUT", "PATCH"]), ("d", ["DELETE"]))]
     )
     return sums.filter("r OR w").select("project_id", "resource", "evidence", F.when(F.expr("r AND w AND d"), "high").otherwise("medium").alias("confidence"))
+
+
+# Verbs of the catch-all decorator, and page folders that are no feature.
+ALL_VERBS = ["DELETE", "GET", "HEAD", "OPTIONS", "PATCH", "POST", "PUT"]
+NO_PAGE_FEATURE = ["api", "auth", "login", "register", "signin", "signup", "logout"]
+NEST_CLASS = r"@Controller\(([^)]*)\)[\s\S]*?(?=@Controller\(|\z)"
+NEST_METHOD = r"@(Get|Post|Put|Patch|Delete|Options|Head|All)\(\s*(?:[\"'`]([^\"'`]*)[\"'`])?"
+FASTIFY = r"(?i)\b(?:fastify|app|server)\.(get|post|put|patch|delete|options|head)\(\s*[\"'`]([^\"'`]+)[\"'`]"
+
+
+def _joined(prefix: Column, sub: Column) -> Column:
+    parts = F.filter(F.concat(F.split(prefix, "/"), F.split(sub, "/")), lambda s: s != "")
+    return F.concat(F.lit("/"), F.array_join(parts, "/"))
+
+
+def _api(found: DataFrame) -> DataFrame:
+    """(project_id, route, file, verb) to routes."""
+    every = found.groupBy("project_id", "route", "file").agg(F.array_sort(F.collect_set("verb")).alias("methods"))
+    return every.select("project_id", "route", "file", F.lit("api").alias("kind"), "methods")
+
+
+def nest_routes(files: DataFrame) -> DataFrame:
+    """Controller prefix with each method's path; an object or no argument is the empty prefix."""
+    own = files.filter(F.contains("content", F.lit("@Controller"))).select("project_id", F.col("path").alias("file"), "content")
+    classes = own.select("project_id", "file", F.explode(F.regexp_extract_all("content", F.lit(NEST_CLASS), 0)).alias("body"))
+    prefix = F.regexp_extract(F.regexp_extract("body", NEST_CLASS, 1), r"^\s*[\"'`]([^\"'`]*)[\"'`]", 1)
+    verbs, subs = (F.regexp_extract_all("body", F.lit(NEST_METHOD), i) for i in (1, 2))
+    each = classes.select("project_id", "file", prefix.alias("prefix"), F.explode(F.arrays_zip(verbs.alias("verb"), subs.alias("sub"))).alias("m"))
+    names = F.when(F.col("m.verb") == "All", F.array(*map(F.lit, ALL_VERBS))).otherwise(F.array(F.upper("m.verb")))
+    return _api(each.select("project_id", _joined(F.col("prefix"), F.col("m.sub")).alias("route"), "file", F.explode(names).alias("verb")))
+
+
+def fastify_routes(files: DataFrame) -> DataFrame:
+    """Direct verb calls of production sources."""
+    own = files.filter(paths.is_production(F.col("path")) & F.col("content").rlike(FASTIFY)).select("project_id", F.col("path").alias("file"), "content")
+    verbs, routes = (F.regexp_extract_all("content", F.lit(FASTIFY), i) for i in (1, 2))
+    each = own.select("project_id", "file", F.explode(F.arrays_zip(verbs.alias("verb"), routes.alias("route"))).alias("m"))
+    return _api(each.select("project_id", F.col("m.route").alias("route"), "file", F.upper("m.verb").alias("verb")))
+
+
+def metadata(files: DataFrame) -> DataFrame:
+    """(project_id, name, package_manager, types, workspace): from the root manifest, all manifests and the frameworks."""
+    found = files.filter(F.endswith("path", F.lit("package.json")) & F.coalesce(F.try_parse_json("content").isNotNull(), F.lit(False)))
+    parsed = F.from_json("content", "name string, bin string, main string, exports string, packageManager string, workspaces string")
+    each = found.select("project_id", "path", parsed.alias("m"))
+    root = F.col("path") == "package.json"
+    sums = each.groupBy("project_id").agg(
+        F.count("*").alias("n"), F.max(F.when(root, F.trim("m.name"))).alias("declared"), F.max(F.when(root, F.element_at(F.split("m.packageManager", "@"), 1))).alias("manager"),
+        F.bool_or(root & F.col("m.workspaces").isNotNull()).alias("shared"), F.bool_or(F.col("m.bin").isNotNull()).alias("cli"),
+        F.bool_or((F.col("m.main").isNotNull() | F.col("m.exports").isNotNull()) & F.col("m.bin").isNull()).alias("library"),
+    )
+    every = frameworks(files).join(sums, "project_id", "left")
+    types = F.array_compact(F.array(
+        F.when(F.col("frontend").isNotNull(), "web-app"), F.when(F.col("backend").isNotNull(), "api-service"), F.when(F.col("cli"), "node-cli"), F.when(F.col("library"), "library")
+    ))
+    return every.select(
+        "project_id", F.when(F.col("declared") != "", F.col("declared")).otherwise(F.col("project_id")).alias("name"),
+        F.when(F.col("manager").isin("pnpm", "npm", "yarn", "bun"), F.col("manager")).otherwise("unknown").alias("package_manager"),
+        F.when(F.size(types) > 0, types).otherwise(F.array(F.lit("unknown"))).alias("types"),
+        F.when(F.coalesce("shared", F.lit(False)) | (F.coalesce("n", F.lit(0)) > 1), "monorepo").otherwise("single-package").alias("workspace"),
+    )
+
+
+def page_features(routes: DataFrame) -> DataFrame:
+    """(project_id, segment, files): page routes grouped by their first fixed folder."""
+    segment = F.try_element_at(_segments(F.col("route")), F.lit(1))
+    pages = routes.filter("kind = 'page'").withColumn("segment", segment).filter(F.col("segment").isNotNull() & ~F.startswith("segment", F.lit("[")) & ~F.lower("segment").isin(NO_PAGE_FEATURE))
+    return pages.groupBy("project_id", "segment").agg(F.array_sort(F.collect_set("file")).alias("files"))

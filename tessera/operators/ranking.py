@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,11 +45,26 @@ def ordered_union(buckets: list[DataFrame], most: int) -> DataFrame:
 def fingerprints(rows: DataFrame) -> DataFrame:
     """(project_id, path, hash) to one digest a project over its path:hash lines in order of path.
 
-    The lines are short (a path and a digest); a project's list is the size of its file list.
+    One shuffle by project with a sort inside partitions; lines are digested as they stream by, so a project of any size
+    needs the memory of one batch.
     """
-    line = F.struct("path", F.concat("path", F.lit(":"), "hash").alias("line"))
-    listed = rows.groupBy("project_id").agg(F.count("*").alias("files"), F.array_sort(F.collect_list(line)).alias("lines"))
-    return listed.select("project_id", "files", F.md5(F.array_join(F.col("lines")["line"], "\n").cast("binary")).alias("fingerprint"))
+
+    def digest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, files, md5 = None, 0, hashlib.md5()
+        for frame in frames:
+            done = []
+            for project, path, hashed in zip(frame["project_id"], frame["path"], frame["hash"], strict=True):
+                if files and project != at:
+                    done.append((at, files, md5.hexdigest()))
+                    files, md5 = 0, hashlib.md5()
+                md5.update(("\n" if files else "").encode() + f"{path}:{hashed}".encode())
+                at, files = project, files + 1
+            yield pd.DataFrame(done, columns=["project_id", "files", "fingerprint"])
+        if files:
+            yield pd.DataFrame([(at, files, md5.hexdigest())], columns=["project_id", "files", "fingerprint"])
+
+    ordered = rows.select("project_id", "path", "hash").repartition("project_id").sortWithinPartitions("project_id", "path")
+    return ordered.mapInPandas(digest, "project_id string, files long, fingerprint string")
 
 
 def changes(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -207,3 +207,16 @@ def test_maps(spark):
     found = maps.file_map(spark.createDataFrame(e, "project_id string, src string, dst string, ord int"), "p", "hub")
     assert "… +5 more" in found["uses"] and "hub (cycle)" in found["uses"] and found["uses"].count("├── c") == 25
     assert found["used_by"] == "hub\n└── c00" and found["mermaid"].count("-->") == 26
+
+
+def test_other_routes_and_metadata(spark):
+    nest = {"src/users.controller.ts": '@Controller("users")\nexport class Users {\n  @Get(":id") one() {}\n  @Post() add() {}\n}\n@Controller()\nclass Root { @Get() home() {} }'}
+    assert rows(detectors.nest_routes(tree.from_rows(spark, "n", nest)), "route", "methods") == [("/", ["GET"]), ("/users", ["POST"]), ("/users/:id", ["GET"])]
+    fast = {"src/server.ts": 'fastify.get("/a", x);\nserver.post("/b", y)'}
+    assert rows(detectors.fastify_routes(tree.from_rows(spark, "f", fast)), "route", "methods") == [("/a", ["GET"]), ("/b", ["POST"])]
+    told = detectors.metadata(both(spark).unionByName(tree.from_rows(spark, "cli", {"package.json": '{"name": "c", "bin": {"c": "x"}, "packageManager": "pnpm@9"}', "a/package.json": "{}"})))
+    assert rows(told, "project_id", "name", "package_manager", "types", "workspace") == [
+        ("cli", "c", "pnpm", ["node-cli"], "monorepo"), ("express", "express", "unknown", ["api-service"], "single-package"), ("next", "shop", "unknown", ["web-app"], "single-package"),
+    ]
+    pages = spark.createDataFrame([("p", "/quran", "a", "page"), ("p", "/quran/x", "b", "page"), ("p", "/", "c", "page"), ("p", "/[id]", "d", "page"), ("p", "/login", "e", "page")], "project_id string, route string, file string, kind string")
+    assert rows(detectors.page_features(pages), "segment", "files") == [("quran", ["a", "b"])]
