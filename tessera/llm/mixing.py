@@ -17,8 +17,7 @@ window. The table of sources is the only one that is broadcast, after its row co
 
 Edge cases: a null text has size 0; a null source is a source of its own, last in order; a null id takes part in the
 hash as ``~``; repeated rows are documents of their own; sources of size 0 have target 0; an empty table gives an empty
-result; further columns of the input are kept, and working columns carry a prefix that input names cannot clash with
-unless they start with ``__mix_``.
+result; other columns of the input are ignored unless they are carried, and working columns carry a prefix.
 """
 
 from __future__ import annotations
@@ -82,19 +81,20 @@ def mix(
     weights: tuple[int, ...] = (1, 2, 3),
     ceiling: int = 3,
     seed: int = 20,
-    keep_text: bool = False,
+    carry: list[str] | None = None,
 ) -> DataFrame:
     """The documents with size, source_size, target, copies and taken = size * copies.
 
-    keep_text also carries every column of docs through; else only id and source are carried.
+    carry: the columns that are carried through, id and source if None; they must not have the names of results.
     """
-    carried = docs.columns if keep_text else [x for x in docs.columns if x in (id_col, source_col)]
+    carried = [id_col, source_col] if carry is None else carry
     sized = docs.select(
         *[F.col(f"`{x}`") for x in carried],
         word_count(F.col(text_col)).alias(P + "size"),
         uniform(seed, id_col, text_col).alias(P + "u"),
         F.col(source_col).alias(P + "source"),
         F.coalesce(F.concat(F.lit("s"), F.col(source_col)), F.lit("n")).alias(P + "key"),
+        F.col(id_col).alias(P + "id"),
         F.monotonically_increasing_id().alias(P + "row"),
     )
     sized = materialise(sized, "mix-sized")
@@ -119,7 +119,7 @@ def mix(
     ranked = ranked.join(F.broadcast(edges), P + "key", "left")
     at_edge = F.coalesce(c("bin") == c("edge"), F.lit(False))
     clear = ranked.filter(~at_edge).withColumn(P + "in", F.coalesce(c("bin") < c("edge"), F.lit(True)))
-    in_order = Window.partitionBy(P + "key").orderBy(P + "v", id_col, P + "size", P + "row").rowsBetween(Window.unboundedPreceding, 0)
+    in_order = Window.partitionBy(P + "key").orderBy(P + "v", P + "id", P + "size", P + "row").rowsBetween(Window.unboundedPreceding, 0)
     edge = ranked.filter(at_edge).withColumn(P + "in", c("start") + F.sum(P + "size").over(in_order) <= c("budget"))
     chosen = materialise(clear.unionByName(edge).drop(P + "bin", P + "edge", P + "start"), "mix-chosen")
 
@@ -128,7 +128,7 @@ def mix(
     last = (
         left.filter(F.abs(c("size") - c("gap")) < c("gap"))
         .groupBy(P + "key")
-        .agg(F.min(F.struct(F.abs(c("size") - c("gap")), P + "v", id_col, P + "size", P + "row")).alias(P + "last"))
+        .agg(F.min(F.struct(F.abs(c("size") - c("gap")), P + "v", P + "id", P + "size", P + "row")).alias(P + "last"))
         .select(P + "key", c("last")[P + "row"].alias(P + "last"))
     )
     out = chosen.join(F.broadcast(last), P + "key", "left")

@@ -183,8 +183,10 @@ def test_pipeline(spark):
     rows = [(i, " ".join(rng.choice(english if i % 2 else german) + str(rng.choice(["", "s", "en"])) for _ in range(120)), ["en", "de"][i % 2 == 0], f"s{i % 3}", 0) for i in range(90)]
     near = rows[4][1].split()
     near[60] = "changed"
+    clash = ["copies", "lang_pred", "other_share", "size", "copy", "score"]
     rows += [(200, rows[3][1], "en", "s0", 0), (201, " ".join(near), "de", "s1", 0), (202, None, None, None, 0), (203, "12 34", None, "s1", 0), (None, rows[9][1], None, "s2", 0), rows[7]]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    df = df.withColumns({c: F.lit("kept") for c in clash})
     found = dict(corpus_pipeline.STAGES)
     told = found["language identification"](spark, df, "")
     assert told.columns == df.columns and {r["doc_id"] for r in told.collect()} == {r[0] for r in rows} - {202, 203}
@@ -194,6 +196,7 @@ def test_pipeline(spark):
     assert mixed.columns == df.columns and {r["doc_id"] for r in mixed.collect()} <= set(range(90))
     want = {r["doc_id"]: r["copies"] for r in mixing.mix(single).collect()}
     assert Counter(r["doc_id"] for r in mixed.collect()) == Counter({k: v for k, v in want.items() if v})
+    assert all(mixed.filter(F.col(c) != "kept").count() == 0 for c in clash)
     tokens = found["byte-level tokens"](spark, mixed, "")
     assert tokens.filter("NOT restored").count() == 0 and tokens.count() == mixed.count()
     for _, stage in corpus_pipeline.STAGES:
