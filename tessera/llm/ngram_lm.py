@@ -111,8 +111,9 @@ class Trie:
         return self.seqs[key]
 
     def by_shard(self, shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        order = np.argsort(shard, kind="stable")
-        cut = np.flatnonzero(np.diff(shard[order])) + 1
+        small = shard.astype(np.uint16 if self.model.shards < 1 << 16 else np.int64)  # 16 bits are sorted by radix
+        order = np.argsort(small, kind="stable")
+        cut = np.flatnonzero(np.diff(small[order])) + 1
         for part in np.split(order, cut):
             if len(part):
                 yield int(shard[part[0]]), part
@@ -153,10 +154,12 @@ class Trie:
         out = np.full(len(parents), -1, np.int64)
         if len(self.model.offsets) <= level or not len(parents):
             return out
-        order = np.lexsort((successors, parents))
-        p, w = parents[order], successors[order]
-        new = np.concatenate([[True], (np.diff(p) != 0) | (np.diff(w) != 0)])
-        p, w, back = p[new], w[new], np.cumsum(new) - 1
+        key = parents << 32 | successors
+        order = np.argsort(key)
+        key = key[order]
+        new = np.concatenate([[True], np.diff(key) != 0])
+        key, back = key[new], np.cumsum(new) - 1
+        p, w = key >> 32, key & 0xFFFFFFFF
         found = np.full(len(p), -1, np.int64)
         for s, at in self.by_shard(self.parent_shard(level, p)):
             held = self.levels[level][s]
