@@ -10,7 +10,7 @@ from .ranking import top_per_project
 
 STEPS = 5
 # Files that a reader should see first.
-WELL_KNOWN = ["README.md", "readme.md", "AGENTS.md", "DEVMAP.md", "package.json"]
+WELL_KNOWN = ["README.md", "readme.md", "AGENTS.md", "package.json"]
 READING = 12
 
 

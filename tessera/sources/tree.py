@@ -17,7 +17,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 # What is never read.
 IGNORED_FOLDERS = {
-    ".git", ".devmap", ".agent", ".agents", ".next", ".turbo", ".vercel", ".astro", ".svelte-kit", ".nuxt", ".output", ".cache",
+    ".git", ".agent", ".agents", ".next", ".turbo", ".vercel", ".astro", ".svelte-kit", ".nuxt", ".output", ".cache",
     ".yarn", "build", "coverage", "dist", "node_modules", "out", "venv", ".venv", "__pycache__",
 }
 IGNORED_EXTENSIONS = (
