@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, language_id, mixing, multiset_hash, ngram_lm, simhash, token_count, voronoi_topk
+from . import bpe, chat, language_id, mixing, multiset_hash, ngram_lm, simhash, token_count, training_order, voronoi_topk
 from .common import fold, table
 
 
@@ -18,6 +18,13 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs.select("doc_id", held_out.alias("held_out"), "text"), languages, logs, keep=["doc_id", "held_out"])
 
 
+def op2_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every sequence of all documents with its slot and its place in the shard files."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ids = bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep=["doc_id"])
+    return training_order.ordered(ids, key=42)
+
+
 def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and conversation -7, formatted and read back from the formatted text."""
     given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -182,6 +189,7 @@ SELECT doc_id, size, source_size, target, (size * copies)::BIGINT AS taken, copi
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op2_training_order": op2_training_order,
     "op3_chat_formatting": op3_chat_formatting,
     "op4_voronoi_topk": op4_voronoi_topk,
     "op5_simhash": op5_simhash,
