@@ -9,16 +9,11 @@ node pairs (cells) of the first bits in which it takes part, and cells that are
 bits, round by round, until all are of bounded size; there the rest of the trie is walked over sorted arrays. A cell
 returns a spanning forest of its links, never all pairs. Links then form components.
 
-Similarity mode: with ``tables`` > 0, texts are linked by similarity of shingle sets: 64 * ``wide`` bits are sketched for
-each text and cut into that many codes of ``code_bits``; tries over each code propose partners, and a link stands only if
-the whole sketches differ in no more bits than two texts of the given Jaccard similarity do on average.
-
 Only distinct fingerprints take part in the join, each with the smallest id of its documents; copies are pre-aggregated.
 
 Edge cases: a text with fewer words than a shingle counts as one shingle of all its words; a text without words, or null,
-has fingerprint zero, linked as any other (in similarity mode it is a group of its own with its equals only). Null ids are
-kept in the result but never name a group, unless it has no other. Repeated rows get the same result. An empty table gives
-an empty result; columns beside id and text are ignored.
+has fingerprint zero, linked as any other. Null ids are kept in the result but never name a group, unless it has no other.
+Repeated rows get the same result. An empty table gives an empty result; columns beside id and text are ignored.
 """
 
 from __future__ import annotations
@@ -77,15 +72,12 @@ def stirred(hashes: np.ndarray, k: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def sketches(docs: DataFrame, *, id_col: str, text_col: str, width: int, wide: int = 1) -> DataFrame:
-    """(id, sketch): ``wide`` 64-bit fingerprints of each text, 8 bytes each; with several, of the set of shingles."""
+def sketches(docs: DataFrame, *, id_col: str, text_col: str, width: int) -> DataFrame:
+    """(id, sketch): the 64-bit fingerprint of each text, 8 bytes."""
     schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("sketch", T.BinaryType())])
 
     def sketch(text: bytes) -> bytes:
-        hashes = shingle_hashes(text, width)
-        if wide > 1:
-            hashes = np.unique(hashes)
-        return np.array([majority(stirred(hashes, k)) for k in range(wide)], "<u8").tobytes() if len(hashes) else b"\0" * 8 * wide
+        return majority(shingle_hashes(text, width)).to_bytes(8, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -210,102 +202,48 @@ def _cell_sides(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, bool]:
     return (order, order, True) if same else (order[side == 0], order[side == 1], False)
 
 
-def links(nodes: DataFrame, *, budget: int, tables: int = 0, wide: int = 1, code_bits: int = 64, most: int = 64) -> DataFrame:
-    """nodes(node, sketch), a row each, to links (u, v): a spanning forest of each cell's links.
-
-    tables = 0: sketches are single fingerprints, linked within the budget. Else: codes within the budget propose, and
-    whole sketches with at most ``most`` differing bits are linked.
-    """
-    rows = nodes.count()
-    length = code_bits if tables else 64
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sketch = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u8").reshape(batch.num_rows, -1)
-            bits = np.unpackbits(np.ascontiguousarray(sketch).view(np.uint8), axis=1, bitorder="little")
-            for t in range(max(1, tables)):
-                at = (np.arange(length) + t * length) % bits.shape[1]
-                own = np.zeros((batch.num_rows, 64), np.uint8)
-                own[:, :length] = bits[:, at]
-                code = np.packbits(own, axis=1, bitorder="little").view(np.int64).ravel()
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(code), t, np.int32)), pa.array(code), batch.column(0)], names=["t", "code", "node"])
-
-    codes = nodes.select("node", "sketch").mapInArrow(cut, "t int, code long, node long")
-    found = [_local(c, nodes if tables else None, budget, length, most) for c in _rounds(codes, rows, budget, length)]
+def links(nodes: DataFrame, *, budget: int) -> DataFrame:
+    """nodes(node, sketch), a row each, to links (u, v) within the budget: a spanning forest of each cell's links."""
+    codes = nodes.select(F.lit(0).alias("t"), F.col("node").alias("code"), "node")
+    found = [_local(c, budget) for c in _rounds(codes, nodes.count(), budget, 64)]
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
     return out
 
 
-def _local(cells: DataFrame, nodes: DataFrame | None, budget: int, length: int, most: int) -> DataFrame:
-    def pairs(frame: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _local(cells: DataFrame, budget: int) -> DataFrame:
+    def linked(frame: pd.DataFrame) -> pd.DataFrame:
         left, right, same = _cell_sides(frame)
-        codes = frame["code"].to_numpy().view(np.uint64)
+        codes, node = frame["code"].to_numpy().view(np.uint64), frame["node"].to_numpy()
         depth, spent = int(frame["depth"].iat[0]), int(frame["spent"].iat[0])
-        for i, j in close_pairs(codes[left], codes[right], same, length - depth - 1, budget, spent):
-            yield left[i], right[j]
-
-    def trees(frame: pd.DataFrame, keep) -> pd.DataFrame:
-        node = frame["node"].to_numpy()
         parent = np.arange(len(node))
-        for i, j in pairs(frame):
-            hit = keep(i, j)
-            parent = forest(parent, i[hit], j[hit])
+        for i, j in close_pairs(codes[left], codes[right], same, 63 - depth, budget, spent):
+            i, j = left[i], right[j]
+            parent = forest(parent, i[i != j], j[i != j])
         member = np.flatnonzero(parent != np.arange(len(node)))
         return pd.DataFrame({"u": node[member], "v": node[parent[member]]})
 
-    def linked(frame: pd.DataFrame) -> pd.DataFrame:
-        return trees(frame, lambda i, j: i != j)
-
-    def partnered(frame: pd.DataFrame) -> pd.DataFrame:
-        seen = np.zeros(len(frame), bool)
-        for i, j in pairs(frame):
-            seen[i[i != j]] = True
-            seen[j[i != j]] = True
-        return frame[seen]
-
-    def verified(frame: pd.DataFrame) -> pd.DataFrame:
-        sketch = np.frombuffer(b"".join(frame["sketch"]), "<u8").reshape(len(frame), -1)
-
-        def near(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-            return (i != j) & (np.bitwise_count(sketch[i] ^ sketch[j]).sum(1) <= most)
-
-        return trees(frame, near)
-
-    if nodes is None:
-        return cells.groupBy(CELL).applyInPandas(linked, "u long, v long")
-    some = materialise(cells.groupBy(CELL).applyInPandas(partnered, cells.schema), "trie-partners")
-    return some.join(nodes.select("node", "sketch"), "node").groupBy(CELL).applyInPandas(verified, "u long, v long")
-
-
-def groups(
-    docs: DataFrame,
-    *,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    width: int = 3,
-    budget: int = 2,
-    tables: int = 0,
-    wide: int = 1,
-    code_bits: int = 32,
-    similarity: float = 0.8,
-) -> DataFrame:
-    """(id, sketch, component_id) of every document; component_id is the smallest id of its group."""
-    sketched = materialise(sketches(docs, id_col=id_col, text_col=text_col, width=width, wide=wide), "sketches")
-    node = _as_long(F.col("sketch")) if wide == 1 else F.xxhash64("sketch")
-    distinct = materialise(sketched.groupBy("sketch").agg(F.min("id").alias("id")).withColumn("node", node), "sketch-nodes")
-    joined = distinct if not tables else distinct.filter(F.col("sketch") != F.lit(b"\0" * 8 * wide))
-    # bits in which two texts of this Jaccard similarity differ on average
-    most = int(64 * wide * math.acos(2 * similarity / (1 + similarity)) / math.pi)
-    found = components(links(joined, budget=budget, tables=tables, wide=wide, code_bits=code_bits, most=most))
-    roots = materialise(found, "group-roots")
+    return cells.groupBy(CELL).applyInPandas(linked, "u long, v long")
+
+
+def named(docs: DataFrame, distinct: DataFrame, found: DataFrame, by: str) -> DataFrame:
+    """docs(id, by) with the smallest id of each group, where found(u, v) links the nodes of distinct(node, by, id)."""
+    roots = materialise(components(found), "group-roots")
     ids = distinct.select("node", "id")
     members = roots.unionByName(roots.select(F.col("root").alias("u"), "root").distinct())
-    named = materialise(members.join(ids, members["u"] == ids["node"]).groupBy("root").agg(F.min("id").alias("least")), "group-names")
-    members = materialise(members.join(named, "root").select(F.col("u").alias("node"), "least"), "group-members")
-    classes = distinct.join(members, "node", "left").select("sketch", F.coalesce("least", "id").alias("component_id"))
-    return sketched.join(materialise(classes, "group-classes"), "sketch").select("id", "sketch", "component_id")
+    least = materialise(members.join(ids, members["u"] == ids["node"]).groupBy("root").agg(F.min("id").alias("least")), "group-names")
+    members = materialise(members.join(least, "root").select(F.col("u").alias("node"), "least"), "group-members")
+    classes = distinct.join(members, "node", "left").select(by, F.coalesce("least", "id").alias("component_id"))
+    return docs.join(materialise(classes, "group-classes"), by).select("id", by, "component_id")
+
+
+def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 3, budget: int = 2) -> DataFrame:
+    """(id, sketch, component_id) of every document; component_id is the smallest id of its group."""
+    sketched = materialise(sketches(docs, id_col=id_col, text_col=text_col, width=width), "sketches")
+    distinct = sketched.groupBy("sketch").agg(F.min("id").alias("id")).withColumn("node", _as_long(F.col("sketch")))
+    distinct = materialise(distinct, "sketch-nodes")
+    return named(sketched, distinct, links(distinct, budget=budget), "sketch")
 
 
 def _as_long(sketch: Column) -> Column:
