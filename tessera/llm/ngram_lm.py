@@ -3,8 +3,8 @@
 Training counts words, pairs and triples over all training texts. Levels of the trie:
 
 1. words, in the order of their 64-bit hashes (an Elias-Fano sequence; a word's id is its place), with exact counts;
-2. pairs seen at least MIN_COUNT times: pointers from a word to its successors and, below them, the successors' ids;
-3. triples seen at least MIN_COUNT times: pointers from a pair to its successors, each written as its place among the
+2. pairs seen at least ``least`` times (1: all): pointers from a word to its successors and, below them, the successors' ids;
+3. triples seen at least ``least`` times: pointers from a pair to its successors, each written as its place among the
    successors of the pair's second word (a context-relative id, far smaller than a word id).
 
 A successor is found by a search in the monotone sequence of (parent, successor). Pairs and triples carry smoothed
@@ -284,8 +284,8 @@ def packed(parents: np.ndarray, successors: np.ndarray, total: int, shards: int)
 PACKED = "shard int, keys binary, counts binary"
 
 
-def merged(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """All keys of a shard with their sums, those of at least MIN_COUNT."""
+def merged(frame: pd.DataFrame, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """All keys of a shard with their sums, those of at least ``least``."""
     keys, counts = [], []
     for k, c in zip(frame["keys"], frame["counts"], strict=True):
         if k:
@@ -298,7 +298,7 @@ def merged(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     every, number = every[order], number[order]
     first = np.flatnonzero(np.concatenate([[True], np.diff(every) != 0]))
     number = np.add.reduceat(number, first)
-    kept = number >= MIN_COUNT
+    kept = number >= least
     return every[first][kept], number[kept]
 
 
@@ -328,8 +328,8 @@ def _all_shards(df: DataFrame, shards: int) -> DataFrame:
     return df.unionByName(empty)
 
 
-def train(docs: DataFrame, text_col: str = "text") -> Model:
-    """The model of all texts of docs."""
+def train(docs: DataFrame, text_col: str = "text", least: int = MIN_COUNT) -> Model:
+    """The model of all texts of docs, with the pairs and triples seen at least ``least`` times."""
     spark = docs.sparkSession
     texts = docs.select(text_col)
     path = f"{shared_dir(spark)}/ngrams-{uuid.uuid4().hex}"
@@ -368,11 +368,11 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
     offsets = (_sizes(placed.groupBy("shard").applyInPandas(write_words, "shard int, n long"), shards),)
     model = Model(path, shards, int(total), int(size), offsets)
     for level in (1, 2):
-        model = _add_level(texts, model, level)
+        model = _add_level(texts, model, level, least)
     return model
 
 
-def _add_level(texts: DataFrame, model: Model, level: int) -> Model:
+def _add_level(texts: DataFrame, model: Model, level: int, least: int) -> Model:
     parents = model.offsets[level - 1][-1]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -399,7 +399,7 @@ def _add_level(texts: DataFrame, model: Model, level: int) -> Model:
     def write(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         trie, shard = opened(model), int(key[0])
         begin, end = (first_context(shard + i, parents, model.shards) for i in (0, 1))
-        keys, counts = merged(frame)
+        keys, counts = merged(frame, least)
         up, below = (keys >> U64(32)).astype(np.int64), (keys & U64(0xFFFFFFFF)).astype(np.int64)
         contexts = np.arange(begin, end)
         seen = trie.count(contexts) if level == 1 else trie.values(1, "count", contexts).astype(np.int64)
@@ -424,7 +424,7 @@ def _add_level(texts: DataFrame, model: Model, level: int) -> Model:
     spread = _all_shards(texts.mapInArrow(count, PACKED), model.shards)
     done = materialise(spread.groupBy("shard").applyInPandas(write, "shard int, n long, size long"), "lm-sizes")
     if (size := done.agg(F.sum("size")).first()[0]) > MAX_BYTES:
-        raise ValueError(f"level {level} has {size} bytes; raise MIN_COUNT, or MAX_BYTES if executors have the disk")
+        raise ValueError(f"level {level} has {size} bytes; raise least, or MAX_BYTES if executors have the disk")
     return Model(model.path, model.shards, model.total, model.words, (*model.offsets, _sizes(done, model.shards)))
 
 

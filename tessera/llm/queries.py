@@ -133,10 +133,10 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores of all whole texts under the model of the training fold."""
+    """Scores of all whole texts under the model of all words, pairs and triples of the training fold."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = fold(F.col("doc_id"), 7) == 2
-    model = ngram_lm.train(docs.filter(~held_out))
+    model = ngram_lm.train(docs.filter(~held_out), least=1)
     return ngram_lm.score(docs.withColumn("held_out", held_out), model, keep=["doc_id", "held_out"])
 
 
