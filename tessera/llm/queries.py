@@ -19,10 +19,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every sequence of all documents with its slot and its place in the shard files."""
+    """Where every piece of every document went: its sequence's slot, and its place in the shard files."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    ids = bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep=["doc_id"])
-    return training_order.ordered(ids, key=42)
+    # 50256 is no rank of the file
+    return training_order.materialised(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, key=42, end=50_256).pieces
 
 
 def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
