@@ -41,16 +41,24 @@ def unpack(words: np.ndarray, at: np.ndarray, bits: int) -> np.ndarray:
     return out & U64((1 << bits) - 1)
 
 
+ONES = U64(0x0101010101010101)
+HIGH = U64(0x8080808080808080)
+#: Place of the n-th one (from 0) of a byte, at 8 * byte + n.
+IN_BYTE = np.array([([i for i in range(8) if byte >> i & 1] + [0] * 8)[:8] for byte in range(256)], np.uint8).ravel()
+
+
 def nth_one(word: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Position of the n-th one (from 0) in each word."""
-    at = np.zeros(len(word), np.int64)
-    n = n.astype(np.int64)
-    for half in (32, 16, 8, 4, 2, 1):
-        low = np.bitwise_count((word >> at.astype(U64)) & U64((1 << half) - 1)).astype(np.int64)
-        up = n >= low
-        n -= np.where(up, low, 0)
-        at += np.where(up, half, 0)
-    return at
+    """Position of the n-th one (from 0) in each word, which must have as many."""
+    n = n.astype(U64)
+    count = word - ((word >> U64(1)) & U64(0x5555555555555555))
+    count = (count & U64(0x3333333333333333)) + ((count >> U64(2)) & U64(0x3333333333333333))
+    count = ((count + (count >> U64(4))) & U64(0x0F0F0F0F0F0F0F0F)) * ONES
+    # count has in each byte the ones up to its end; bytes that end before the n-th one keep their top bit below
+    passed = np.bitwise_count(((n * ONES) | HIGH) - count & HIGH).astype(U64)
+    shift = passed << U64(3)
+    before = (count << U64(8)) >> shift & U64(255)
+    byte = (word >> shift) & U64(255)
+    return (shift + IN_BYTE[(byte << U64(3)) + n - before]).astype(np.int64)
 
 
 class EliasFano:
@@ -85,11 +93,24 @@ class EliasFano:
         """Number of values whose high part is below bucket: ones before the bucket-th zero."""
         if not hasattr(self, "zeros"):
             self.zeros = (np.arange(len(self.ones), dtype=np.int64) << 6) - self.ones
-        k = bucket - 1
+        k = np.maximum(bucket - 1, 0)
         word = np.searchsorted(self.zeros, k, side="right") - 1
-        at = (word << 6) + nth_one(~self.high[np.maximum(word, 0)], k - self.zeros[word])
+        at = (word << 6) + nth_one(~self.high[word], k - self.zeros[word])
         return np.where(bucket > 0, at - k, 0)
 
+    def _bucket_end(self, bucket: np.ndarray, begin: np.ndarray) -> np.ndarray:
+        """_before(bucket + 1), where begin is _before(bucket): a bucket's ones run from its begin to the next zero."""
+        bit = begin + bucket
+        word, shift = bit >> 6, (bit & 63).astype(U64)
+        run = ~self.high[word] >> shift
+        zero = run & (~run + U64(1))
+        size = np.bitwise_count(zero - U64(1)).astype(np.int64)
+        end = begin + size
+        long = np.flatnonzero(run == 0)
+        if len(long):
+            end[long] = self._before(bucket[long] + 1)
+        return end
+
     def search(self, x: np.ndarray) -> np.ndarray:
         """The position of each x, or -1."""
         out = np.full(len(x), -1, np.int64)
@@ -99,7 +120,9 @@ class EliasFano:
         upper = (x[known] >> U64(self.bits)).astype(np.int64)
         low = x[known] & U64((1 << self.bits) - 1)
         # values with the same high part lie side by side; a hot range may hold many, so it is halved
-        at, end = self._before(upper), self._before(upper + 1)
+        at = self._before(upper)
+        stop = self._bucket_end(upper, at)
+        end = stop.copy()
         live = np.flatnonzero(at < end)
         while len(live):
             middle = (at[live] + end[live]) >> 1
@@ -107,7 +130,7 @@ class EliasFano:
             at[live[less]] = middle[less] + 1
             end[live[~less]] = middle[~less]
             live = live[at[live] < end[live]]
-        there = np.flatnonzero(at < self._before(upper + 1))
+        there = np.flatnonzero(at < stop)
         there = there[unpack(self.low, at[there], self.bits) == low[there]]
         out[known[there]] = at[there]
         return out

@@ -12,9 +12,10 @@ probabilities, quantised to 255 levels of log10: p(w | h) = max(0, c(hw) - D) /
 is what discounting and pruning leave, so that probabilities sum to one; the shortest is (c + 1) / (N + V + 1). The token
 before a text is the end token of the text before.
 
-Jobs: words are counted with map-side sums; pairs and triples are counted in each task, sent as sorted, packed keys by
-ranges of their context, and each range is merged, pruned and written as one file of the model to the shared folder. A
-triple is only sent if both of its pairs are in level 2 (a triple is never more frequent than its pairs). Ranges are cut
+Jobs: words are counted with map-side sums; then texts are read a last time and their word ids written, from which pairs,
+triples and scores come. Pairs and triples are counted in each task, sent as sorted, packed keys by ranges of their
+context, and each range is merged, pruned and written as one file of the model to the shared folder. A triple is only sent
+if both of its pairs are in level 2 (a triple is never more frequent than its pairs). Ranges are cut
 by hashed ids, so that frequent contexts are spread. Files are memory-mapped; workers need no more than the pages they use.
 Nothing but counts of ranges reaches the driver. The files' size is checked against MAX_BYTES.
 
@@ -48,8 +49,9 @@ MIN_COUNT = 2
 DISCOUNT = 0.75
 LEVELS = 255
 BLOCK_BYTES = 4 << 20
-FLUSH_KEYS = 4_000_000
-CACHE_WORDS = 500_000
+FLUSH_KEYS = 3_000_000
+CACHE_WORDS = 200_000
+BLOCK_TOKENS = 1 << 20
 MAX_WORDS_A_TASK = 500_000
 WORDS_A_SHARD = 250_000
 MAX_BYTES = 200 << 30
@@ -96,18 +98,26 @@ def hashes(words: list[bytes]) -> np.ndarray:
 
 
 class Trie:
-    """A model's files, opened in a worker: lookups over arrays of ids."""
+    """A model's files, opened in a worker when first used: lookups over arrays of ids."""
 
     def __init__(self, model: Model) -> None:
-        self.model, self.levels = model, [[load(f"{model.path}/{level}-{s}") for s in range(len(at) - 1)] for level, at in enumerate(model.offsets)]
+        self.model = model
         self.offsets = [np.array(at, np.int64) for at in model.offsets]
+        self.files: dict[tuple[int, int], dict[str, np.ndarray]] = {}
         self.seqs: dict[tuple[int, int, str], EliasFano] = {}
-        self.cache: dict[bytes, int] = {}
+        # words met lately, and those met before them
+        self.recent: dict[bytes, int] = {}
+        self.older: dict[bytes, int] = {}
+
+    def held(self, level: int, shard: int) -> dict[str, np.ndarray]:
+        if (key := (level, shard)) not in self.files:
+            self.files[key] = load(f"{self.model.path}/{level}-{shard}")
+        return self.files[key]
 
     def seq(self, level: int, shard: int, name: str) -> EliasFano:
         key = level, shard, name
         if key not in self.seqs:
-            self.seqs[key] = EliasFano(inside(name, self.levels[level][shard]))
+            self.seqs[key] = EliasFano(inside(name, self.held(level, shard)))
         return self.seqs[key]
 
     def by_shard(self, shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -131,58 +141,80 @@ class Trie:
         out = None
         shard = np.searchsorted(self.offsets[level], nodes, side="right") - 1
         for s, at in self.by_shard(shard):
-            found = self.levels[level][s][name][nodes[at] - self.offsets[level][s]]
+            found = self.held(level, s)[name][nodes[at] - self.offsets[level][s]]
             out = np.zeros(len(nodes), found.dtype) if out is None else out
             out[at] = found
         return np.zeros(0, np.int64) if out is None else out
 
-    def ids(self, texts: list[list[bytes]]) -> np.ndarray:
-        """Word ids of all tokens of all texts; -1 for words not seen in training."""
-        if len(self.cache) > CACHE_WORDS:
-            self.cache = {}
-        missing = list(set().union(*texts) - self.cache.keys())
+    def ids(self, texts: list[list[bytes]]) -> list[np.ndarray]:
+        """Word ids of all tokens of each text; -1 for words not seen in training."""
+        if len(self.recent) > CACHE_WORDS:
+            self.older, self.recent = self.recent, {}
+        recent, older = self.recent, self.older
+        missing = []
+        for w in set().union(*texts):
+            if w not in recent:
+                if (known := older.get(w)) is None:
+                    missing.append(w)
+                else:
+                    recent[w] = known
         if missing:
-            self.cache.update(zip(missing, self.word_ids(hashes(missing)).tolist(), strict=True))
-        at = self.cache.__getitem__
-        return np.concatenate([np.fromiter(map(at, words), np.int64, len(words)) for words in texts])
+            recent.update(zip(missing, self.word_ids(hashes(missing)).tolist(), strict=True))
+        at = recent.__getitem__
+        return [np.fromiter(map(at, words), np.int32, len(words)) for words in texts]
 
     def parent_shard(self, level: int, parents: np.ndarray) -> np.ndarray:
         return context_range(parents, int(self.offsets[level - 1][-1]), self.model.shards)
 
-    def children(self, level: int, parents: np.ndarray, successors: np.ndarray) -> np.ndarray:
-        """Global ids of (parent, successor) on a level, or -1; equal queries are looked up once."""
-        out = np.full(len(parents), -1, np.int64)
+    def children(self, level: int, parents: np.ndarray, successors: np.ndarray, relative: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Global ids of (parent, successor) on a level and, if relative, their places among their parents' successors; or -1.
+
+        Equal queries are looked up once, in the order of the sequence.
+        """
+        out, places = np.full(len(parents), -1, np.int64), np.full(len(parents) if relative else 0, -1, np.int64)
         if len(self.model.offsets) <= level or not len(parents):
-            return out
+            return out, places
         key = parents << 32 | successors
         order = np.argsort(key)
         key = key[order]
-        new = np.concatenate([[True], np.diff(key) != 0])
+        new = np.empty(len(key), bool)
+        new[0] = True
+        np.not_equal(key[1:], key[:-1], out=new[1:])
         key, back = key[new], np.cumsum(new) - 1
         p, w = key >> 32, key & 0xFFFFFFFF
-        found = np.full(len(p), -1, np.int64)
-        for s, at in self.by_shard(self.parent_shard(level, p)):
-            held = self.levels[level][s]
-            first, width = held["frame"]
-            fits = np.flatnonzero(w[at] < width)
-            key = (p[at[fits]] - first).astype(U64) * U64(width) + w[at[fits]].astype(U64)
-            place = self.seq(level, s, "children").search(key)
-            found[at[fits]] = np.where(place >= 0, place + self.offsets[level][s], -1)
+        found, place = np.full(len(p), -1, np.int64), np.full(len(p), -1, np.int64)
+        # parents ascend, and so do their shards
+        shard = self.parent_shard(level, p)
+        cut = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(p)]
+        for a, b in zip(cut, cut[1:], strict=False):
+            s = int(shard[a])
+            first, width = self.held(level, s)["frame"]
+            fits = a + np.flatnonzero(w[a:b] < width)
+            at = self.seq(level, s, "children").search((p[fits] - first).astype(U64) * U64(width) + w[fits].astype(U64))
+            hit = np.flatnonzero(at >= 0)
+            fits, at = fits[hit], at[hit]
+            found[fits] = at + self.offsets[level][s]
+            if relative and len(fits):
+                head = np.flatnonzero(np.diff(p[fits], prepend=-1))
+                start = self.seq(level, s, "pointers").access(p[fits[head]] - first).astype(np.int64)
+                place[fits] = at - np.repeat(start, np.diff(np.append(head, len(fits))))
         out[order] = found[back]
-        return out
+        if relative:
+            places[order] = place[back]
+        return out, places
 
     def starts(self, level: int, parents: np.ndarray) -> np.ndarray:
         """Global id of the first successor of each parent, by the parents' pointers."""
         out = np.zeros(len(parents), np.int64)
         for s, at in self.by_shard(self.parent_shard(level, parents)):
-            out[at] = self.seq(level, s, "pointers").access(parents[at] - self.levels[level][s]["frame"][0]).astype(np.int64) + self.offsets[level][s]
+            out[at] = self.seq(level, s, "pointers").access(parents[at] - self.held(level, s)["frame"][0]).astype(np.int64) + self.offsets[level][s]
         return out
 
     def successor(self, pairs: np.ndarray) -> np.ndarray:
         """The second word of each pair."""
         out = np.zeros(len(pairs), np.int64)
         for s, at in self.by_shard(np.searchsorted(self.offsets[1], pairs, side="right") - 1):
-            width = int(self.levels[1][s]["frame"][1])
+            width = int(self.held(1, s)["frame"][1])
             out[at] = (self.seq(1, s, "children").access(pairs[at] - self.offsets[1][s]) % U64(width)).astype(np.int64)
         return out
 
@@ -190,14 +222,14 @@ class Trie:
         """log10 of what a context leaves to the shorter one."""
         out = np.zeros(len(parents))
         for s, at in self.by_shard(self.parent_shard(level, parents)):
-            held = self.levels[level][s]
+            held = self.held(level, s)
             out[at] = held["rest_book"][held["rest"][parents[at] - held["frame"][0]]]
         return out
 
     def log_p(self, level: int, nodes: np.ndarray) -> np.ndarray:
         out = np.zeros(len(nodes))
         for s, at in self.by_shard(np.searchsorted(self.offsets[level], nodes, side="right") - 1):
-            held = self.levels[level][s]
+            held = self.held(level, s)
             out[at] = held["p_book"][held["p"][nodes[at] - self.offsets[level][s]]]
         return out
 
@@ -211,26 +243,27 @@ class Trie:
     def base(self, counts: np.ndarray) -> np.ndarray:
         return np.log10((counts + 1) / (self.model.total + 1.0 * (self.model.words + 1)))
 
-    def pairs(self, ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each token the context word before it and the pair's node, -1 where there is none."""
+    def contexts(self, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """The word before each token; before a text, the end."""
         context = np.empty_like(ids)
         context[1:] = ids[:-1]
-        context[first] = self.ids([[END]])[0]
-        node = np.full(len(ids), -1, np.int64)
+        context[first] = self.ids([[END]])[0][0]
+        return context
+
+    def pairs(self, ids: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each token the node of the pair it ends, and its place among the context's successors; -1 where there is none."""
+        node, place = np.full(len(ids), -1, np.int64), np.full(len(ids), -1, np.int64)
         known = np.flatnonzero((ids >= 0) & (context >= 0))
-        node[known] = self.children(1, context[known], ids[known])
-        return context, node
+        node[known], place[known] = self.children(1, context[known], ids[known], relative=True)
+        return node, place
 
-    def triples(self, context: np.ndarray, node: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def triples(self, node: np.ndarray, place: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Positions with a pair before them that ends in their context; that pair, and the successor's relative id or -1."""
         before = np.full(len(node), -1, np.int64)
         before[1:] = node[:-1]
         before[first] = -1
         at = np.flatnonzero(before >= 0)
-        relative = np.full(len(at), -1, np.int64)
-        both = np.flatnonzero(node[at] >= 0)
-        relative[both] = node[at[both]] - self.starts(1, context[at[both]])
-        return at, before[at], relative
+        return at, before[at], place[at]
 
 
 _tries: dict[Model, Trie] = {}
@@ -328,10 +361,10 @@ def _all_shards(df: DataFrame, shards: int) -> DataFrame:
     return df.unionByName(empty)
 
 
-def train(docs: DataFrame, text_col: str = "text", least: int = MIN_COUNT) -> Model:
-    """The model of all texts of docs, with the pairs and triples seen at least ``least`` times."""
-    spark = docs.sparkSession
-    texts = docs.select(text_col)
+def words_of(texts: DataFrame, text_col: str = "text") -> Model:
+    """The level of words of all texts."""
+    spark = texts.sparkSession
+    texts = texts.select(text_col)
     path = f"{shared_dir(spark)}/ngrams-{uuid.uuid4().hex}"
 
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -366,9 +399,52 @@ def train(docs: DataFrame, text_col: str = "text", least: int = MIN_COUNT) -> Mo
     top = F.shiftrightunsigned("key", 32) * shards
     placed = _all_shards(words.select(F.shiftrightunsigned(top, 32).cast("int").alias("shard"), "key", "n"), shards)
     offsets = (_sizes(placed.groupBy("shard").applyInPandas(write_words, "shard int, n long"), shards),)
-    model = Model(path, shards, int(total), int(size), offsets)
+    return Model(path, shards, int(total), int(size), offsets)
+
+
+#: The column of a text's word ids: each plus one, 0 for words not seen in training; the lowest bytes of all, then the next.
+WORDS = "__words"
+
+
+def indexed(docs: DataFrame, model: Model, *, text_col: str = "text", keep: list[str]) -> DataFrame:
+    """The kept columns and each text's word ids, written once; later passes read ids in place of texts."""
+    schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField(WORDS, T.BinaryType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trie = opened(model)
+        for batch in batches:
+            begun = 0
+            for block in token_blocks(batch, batch.num_columns - 1):
+                made = [np.ascontiguousarray((x + 1).view(np.uint8).reshape(-1, 4).T).tobytes() for x in trie.ids(block)]
+                part = batch.slice(begun, len(block))
+                begun += len(block)
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), pa.array(made, pa.binary())], names=[*keep, WORDS])
+
+    return materialise(docs.select(*keep, F.col(text_col).alias("__text")).mapInArrow(run, schema), "lm-ids", "zstd")
+
+
+def id_blocks(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """First row, next row, the ids of all their tokens, and the place of each row's first token; about BLOCK_TOKENS at a time."""
+    held, size, begun = [], 0, 0
+    for i, x in enumerate(batch.column(column)):
+        held.append(np.frombuffer(x.as_buffer(), np.uint8).reshape(4, -1).T)
+        size += len(held[-1])
+        if size >= BLOCK_TOKENS or i == batch.num_rows - 1:
+            ids = np.ascontiguousarray(np.concatenate(held)).view("<i4").ravel().astype(np.int64) - 1
+            yield begun, i + 1, ids, np.cumsum([0, *map(len, held[:-1])])
+            held, size, begun = [], 0, i + 1
+
+
+def train(docs: DataFrame, text_col: str = "text", least: int = MIN_COUNT) -> Model:
+    """The model of all texts of docs, with the pairs and triples seen at least ``least`` times."""
+    model = words_of(docs, text_col)
+    return with_levels(indexed(docs, model, text_col=text_col, keep=[]), model, least)
+
+
+def with_levels(texts: DataFrame, model: Model, least: int = MIN_COUNT) -> Model:
+    """The model of words with the pairs and triples of the indexed texts, from which its words were counted."""
     for level in (1, 2):
-        model = _add_level(texts, model, level, least)
+        model = _add_level(texts.select(WORDS), model, level, least)
     return model
 
 
@@ -378,17 +454,13 @@ def _add_level(texts: DataFrame, model: Model, level: int, least: int) -> Model:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie, held, size = opened(model), [], 0
         for batch in batches:
-            for block in token_blocks(batch, 0):
-                ids, first = trie.ids(block), first_of(block)
+            for _, _, ids, first in id_blocks(batch, 0):
+                context = trie.contexts(ids, first)
                 if level == 1:
-                    context = np.empty_like(ids)
-                    context[1:] = ids[:-1]
-                    context[first] = trie.ids([[END]])[0]
                     held.append((context, ids))
                 else:
-                    context, node = trie.pairs(ids, first)
-                    _, before, relative = trie.triples(context, node, first)
-                    held.append((before[relative >= 0], relative[relative >= 0]))
+                    _, before, place = trie.triples(*trie.pairs(ids, context), first)
+                    held.append((before[place >= 0], place[place >= 0]))
                 size += len(held[-1][0])
                 if size >= FLUSH_KEYS:
                     yield packed(*map(np.concatenate, zip(*held, strict=True)), parents, model.shards)
@@ -409,15 +481,16 @@ def _add_level(texts: DataFrame, model: Model, level: int, least: int) -> Model:
             shorter = trie.base(trie.count(below))
         else:
             # the pair of the context's second word and the successor
-            second = trie.successor(up)
-            shorter = trie.log_p(1, trie.starts(1, second) + below)
+            shorter = trie.log_p(1, trie.starts(1, trie.successor(contexts))[up - begin] + below)
         p = np.log10((counts - DISCOUNT) / np.maximum(seen[up - begin], 1) + rest[up - begin] * 10**shorter)
         width = int(below.max(initial=0)) + 1
         place = (up - begin).astype(U64) * U64(width) + below.astype(U64)
         pointers = np.searchsorted(up, np.arange(begin, end + 1)).astype(U64)
         arrays = under("children", EliasFano.encode(place, max(1, (end - begin) * width))) | under("pointers", EliasFano.encode(pointers, len(keys) + 1))
         arrays |= quantised("p", p) | quantised("rest", np.log10(np.maximum(rest, 1e-12)))
-        arrays |= {"frame": np.array([begin, width], np.int64), "count": counts.astype(np.uint32 if counts.max(initial=0) < 1 << 32 else np.int64)}
+        arrays |= {"frame": np.array([begin, width], np.int64)}
+        if level == 1:
+            arrays |= {"count": counts.astype(np.uint32 if counts.max(initial=0) < 1 << 32 else np.int64)}
         save(f"{model.path}/{level}-{shard}", arrays)
         return pd.DataFrame({"shard": [shard], "n": [len(keys)], "size": [sum(a.nbytes for a in arrays.values())]})
 
@@ -433,38 +506,43 @@ def _add_level(texts: DataFrame, model: Model, level: int, least: int) -> Model:
 
 def score(docs: DataFrame, model: Model, *, text_col: str = "text", keep: list[str]) -> DataFrame:
     """The kept columns with n_tokens, n_known, train_tokens, base_score and score."""
+    return score_indexed(indexed(docs, model, text_col=text_col, keep=keep), model, keep=keep)
+
+
+def score_indexed(texts: DataFrame, model: Model, *, keep: list[str]) -> DataFrame:
+    """As ``score``, for indexed texts."""
     added = [("n_tokens", T.LongType()), ("n_known", T.LongType()), ("train_tokens", T.LongType()), ("base_score", T.DoubleType()), ("score", T.DoubleType())]
-    schema = T.StructType([*(docs.schema[c] for c in keep), *(T.StructField(c, t) for c, t in added)])
+    schema = T.StructType([*(texts.schema[c] for c in keep), *(T.StructField(c, t) for c, t in added)])
 
-    def block_scores(trie: Trie, texts: list[list[bytes]]) -> list[np.ndarray]:
-        first = first_of(texts)
-        ids = trie.ids(texts)
+    def block_scores(trie: Trie, ids: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
         counts = trie.count(ids)
         base = trie.base(counts)
         log_p = base.copy()
-        context, node = trie.pairs(ids, first)
-        known = np.flatnonzero(context >= 0)
+        context = trie.contexts(ids, first)
+        node, place = trie.pairs(ids, context)
+        known = np.flatnonzero((context >= 0) & (node < 0))
         if model.words:
             log_p[known] += trie.rest(1, context[known])
         found = np.flatnonzero(node >= 0)
         log_p[found] = trie.log_p(1, node[found])
-        at, before, relative = trie.triples(context, node, first)
+        at, before, relative = trie.triples(node, place, first)
         if len(at):
-            log_p[at] += trie.rest(2, before)
             some = np.flatnonzero(relative >= 0)
-            triple = trie.children(2, before[some], relative[some])
-            hit = triple >= 0
-            log_p[at[some[hit]]] = trie.log_p(2, triple[hit])
+            triple, _ = trie.children(2, before[some], relative[some])
+            hit = some[triple >= 0]
+            off = np.ones(len(at), bool)
+            off[hit] = False
+            log_p[at[off]] += trie.rest(2, before[off])
+            log_p[at[hit]] = trie.log_p(2, triple[triple >= 0])
         sums = [np.add.reduceat(x, first) for x in ((counts > 0).astype(np.int64), base, log_p)]
         return [np.diff(np.append(first, len(ids))), sums[0], np.full(len(first), model.total), sums[1], sums[2]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = opened(model)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            parts = [block_scores(trie, block) for block in token_blocks(batch, batch.num_columns - 1)]
-            columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), *map(pa.array, columns)], names=[*keep, *(c for c, _ in added)])
+            for a, b, ids, first in id_blocks(batch, batch.num_columns - 1):
+                part = batch.slice(a, b - a)
+                columns = block_scores(trie, ids, first)
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), *map(pa.array, columns)], names=[*keep, *(c for c, _ in added)])
 
-    return docs.select(*keep, F.col(text_col).alias("__text")).mapInArrow(run, schema)
+    return texts.select(*keep, WORDS).mapInArrow(run, schema)

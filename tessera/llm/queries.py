@@ -136,8 +136,10 @@ def op9_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of all whole texts under the model of all words, pairs and triples of the training fold."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = fold(F.col("doc_id"), 7) == 2
-    model = ngram_lm.train(docs.filter(~held_out), least=1)
-    return ngram_lm.score(docs.withColumn("held_out", held_out), model, keep=["doc_id", "held_out"])
+    words = ngram_lm.words_of(docs.filter(~held_out))
+    ids = ngram_lm.indexed(docs.withColumn("held_out", held_out), words, keep=["doc_id", "held_out"])
+    model = ngram_lm.with_levels(ids.filter("NOT held_out"), words, least=1)
+    return ngram_lm.score_indexed(ids, model, keep=["doc_id", "held_out"])
 
 
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
