@@ -33,11 +33,13 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-#: Bounds of what a worker keeps: arcs, tested pairs, split matches and words.
-MAX_ARCS = 400_000
+#: Bounds of what a worker keeps: arcs, tested pairs, and the bytes of split matches and of words with their ids.
+MAX_ARCS = 200_000
 MAX_PAIRS = 300_000
-MAX_PIECES = 300_000
-MAX_WORDS = 400_000
+MAX_PIECE_BYTES = 32 << 20
+MAX_WORD_BYTES = 64 << 20
+#: What an entry of a cache takes beside its characters and ids.
+ENTRY_BYTES = 160
 #: Bytes after which decided tokens are emitted.
 LOOKAHEAD = 256
 #: Above all ranks.
@@ -222,40 +224,56 @@ def split_pattern(pattern: str) -> re.Pattern:
     return re.compile(pattern.replace(r"\S", f"[^{SPACES}]"))
 
 
-class Pieces(dict):
-    """From a match of the split pattern to its packed ids, with a bound on entries."""
+class Cache(dict):
+    """From a text to its packed ids, with a bound on bytes: what was met since half of the bound was filled, and ``older``,
+    what was met in the half before."""
 
-    def __init__(self, transducer: Transducer) -> None:
+    def __init__(self, bound: int) -> None:
         super().__init__()
-        self.transducer = transducer
-
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= MAX_PIECES:
+        self.older: dict[str, bytes] = {}
+        self.half, self.size = bound // 2, 0
+
+    def made(self, text: str) -> bytes:
+        raise NotImplementedError
+
+    def __missing__(self, text: str) -> bytes:
+        packed = self.older.get(text)
+        if packed is None:
+            packed = self.made(text)
+            if len(text) > 64:
+                return packed
+        if self.size > self.half:
+            self.older, self.size = dict(self), 0
             self.clear()
-        packed = array("I", self.transducer.encode(piece.encode())).tobytes()
-        if len(piece) <= 64:
-            self[piece] = packed
+        self.size += ENTRY_BYTES + len(text) + len(packed)
+        self[text] = packed
         return packed
 
 
-class Words(dict):
-    """From white space with the word after it to packed ids. No match of the pattern has white space after another
-    character, so each word is split by itself, once."""
+class Pieces(Cache):
+    """From a match of the split pattern."""
+
+    def __init__(self, transducer: Transducer) -> None:
+        super().__init__(MAX_PIECE_BYTES)
+        self.transducer = transducer
+
+    def made(self, text: str) -> bytes:
+        return array("I", self.transducer.encode(text.encode())).tobytes()
+
+
+class Words(Cache):
+    """From white space with the word after it. No match of the pattern has white space after another character, so each
+    word is split by itself, once."""
 
     #: Runs that no match crosses the end of.
     unit = re.compile(f"[{SPACES}]*[^{SPACES}]+|[{SPACES}]+")
 
     def __init__(self, pattern: str, transducer: Transducer) -> None:
-        super().__init__()
+        super().__init__(MAX_WORD_BYTES)
         self.split, self.pieces = split_pattern(pattern), Pieces(transducer)
 
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= MAX_WORDS:
-            self.clear()
-        packed = b"".join(map(self.pieces.__getitem__, self.split.findall(word)))
-        if len(word) <= 64:
-            self[word] = packed
-        return packed
+    def made(self, text: str) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, self.split.findall(text)))
 
     def encode(self, text: str) -> bytes:
         return b"".join(map(self.__getitem__, self.unit.findall(text)))
@@ -338,7 +356,7 @@ def _mapped(df: DataFrame, given: str, added: list[tuple[str, T.DataType, pa.Dat
             values, made, held, begun = batch.column(given), [], 0, 0
             for i, value in enumerate(values):
                 made.append(make(value.as_py()))
-                held += sum(map(len, made[-1]))
+                held += sum(len(x) for x in made[-1] if not isinstance(x, bool))
                 if held >= FLUSH_BYTES or i == batch.num_rows - 1:
                     part = batch.slice(begun, i + 1 - begun)
                     columns = [pa.array(column, kind) for column, (_, _, kind) in zip(zip(*made, strict=True), added, strict=True)]
@@ -348,20 +366,27 @@ def _mapped(df: DataFrame, given: str, added: list[tuple[str, T.DataType, pa.Dat
     return df.select(*dict.fromkeys([*keep, given])).mapInArrow(run, schema)
 
 
-def encode(df: DataFrame, path: str, pattern: str, *, text_col: str = "text", out: str = "ids", keep: list[str] | None = None, decoded: str | None = None) -> DataFrame:
-    """df with a binary column of token ids and, if it is named, a column with the text that these ids decode to.
+def encode(
+    df: DataFrame, path: str, pattern: str, *, text_col: str = "text", out: str = "ids", keep: list[str] | None = None, decoded: str | None = None, restored: str | None = None
+) -> DataFrame:
+    """df with a binary column of token ids and, where named, the text that these ids decode to and whether it is the given one.
 
     keep: the input columns that stay; all, if None.
     """
     ranks = _share(df, path)
-    added = [(out, T.BinaryType(), pa.binary())] + ([(decoded, T.StringType(), pa.string())] if decoded else [])
+    text, flag = [(decoded, T.StringType(), pa.string())] if decoded else [], [(restored, T.BooleanType(), pa.bool_())] if restored else []
+    added = [(out, T.BinaryType(), pa.binary()), *text, *flag]
 
     def each():
-        words, back = _encoder(ranks, pattern), Decoder(ranks.value["ranks"])
+        words = _encoder(ranks, pattern)
+        back = Decoder(ranks.value["ranks"]) if decoded or restored else None
 
         def make(text: str | None) -> tuple:
             ids = words.encode(text) if text else b""
-            return (ids, back.decode(ids)) if decoded else (ids,)
+            if back is None:
+                return (ids,)
+            again = back.decode(ids)
+            return ids, *([again] if decoded else []), *([again == (text or "")] if restored else [])
 
         return make
 

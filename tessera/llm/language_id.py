@@ -37,8 +37,9 @@ MAX_LANGUAGES = 200
 #: Share of a language's probability that is spread evenly over all buckets.
 SMOOTHING = 0.05
 PENALTY = 2.0
-MAX_SET = 5
-ROUNDS = 12
+#: Expectation-maximisation ends for a document once no share moves further than this, or after so many rounds.
+TOLERANCE = 1e-3
+MAX_ROUNDS = 200
 BLOCK_BYTES = 2 << 20
 
 LETTER = np.zeros(256, np.uint8)
@@ -109,11 +110,24 @@ def fit(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
 
 def maximise(likely: np.ndarray, doc: np.ndarray, first: np.ndarray, n: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Shares and log-likelihood of each document after ROUNDS of expectation-maximisation from the given shares."""
-    for _ in range(ROUNDS):
-        part = likely * share[doc]
+    """Shares and log-likelihood of each document after expectation-maximisation from the given shares."""
+    share = share.copy()
+    live, rows, own, begins = np.arange(len(n)), likely, doc, first
+    for step in range(1, MAX_ROUNDS + 1):
+        part = rows * share[live][own]
         part /= np.maximum(part.sum(1, keepdims=True), 1e-30)
-        share = np.add.reduceat(part, first, axis=0) / n[:, None]
+        now = np.add.reduceat(part, begins, axis=0) / n[live][:, None]
+        moved = np.abs(now - share[live]).max(1)
+        share[live] = now
+        if step % 4 == 0:
+            on = moved > TOLERANCE
+            if not on.any():
+                break
+            if not on.all():
+                # documents that have settled leave
+                kept = on[own]
+                rows, sizes = rows[kept], np.diff(np.append(begins, len(own)))[on]
+                live, begins, own = live[on], np.cumsum(sizes) - sizes, np.repeat(np.arange(on.sum()), sizes)
     total = np.log(np.maximum((likely * share[doc]).sum(1), 1e-30))
     return share, np.add.reduceat(total, first)
 
@@ -138,20 +152,21 @@ def infer(texts: list[bytes], logs: np.ndarray) -> np.ndarray:
     chosen[np.arange(len(docs)), single] = 1
     full, reached = maximise(likely, doc, first, n, np.full((len(docs), parts), 1 / parts, np.float32))
     cost = PENALTY * np.log(n + 1)
-    open_docs = np.flatnonzero(reached - best > cost)
-    if len(open_docs):
+    order = np.argsort(-full, axis=1, kind="stable")
+    for k in range(2, parts + 1):
+        open_docs = np.flatnonzero(reached - (k - 1) * cost > best)
+        if not len(open_docs):
+            break
         rows = np.isin(doc, open_docs)
         some, part_doc = likely[rows], np.searchsorted(open_docs, doc[rows])
         starts = np.searchsorted(part_doc, np.arange(len(open_docs)))
-        order = np.argsort(-full[open_docs], axis=1, kind="stable")
-        for k in range(2, min(parts, MAX_SET) + 1):
-            start = np.full((len(open_docs), parts), 0, np.float32)
-            np.put_along_axis(start, order[:, :k], np.take_along_axis(full[open_docs], order[:, :k], 1) + 1e-3, 1)
-            share, reached = maximise(some, part_doc, starts, n[open_docs], start / start.sum(1, keepdims=True))
-            gain = reached - (k - 1) * cost[open_docs]
-            better = gain > best[open_docs]
-            best[open_docs[better]] = gain[better]
-            chosen[open_docs[better]] = share[better]
+        start = np.zeros((len(open_docs), parts), np.float32)
+        np.put_along_axis(start, order[open_docs, :k], np.take_along_axis(full[open_docs], order[open_docs, :k], 1) + 1e-3, 1)
+        share, likelihood = maximise(some, part_doc, starts, n[open_docs], start / start.sum(1, keepdims=True))
+        gain = likelihood - (k - 1) * cost[open_docs]
+        better = gain > best[open_docs]
+        best[open_docs[better]] = gain[better]
+        chosen[open_docs[better]] = share[better]
     out[docs] = chosen
     return out
 

@@ -39,8 +39,8 @@ def test_transducer_after_resets(monkeypatch):
     monkeypatch.setattr(bpe, "MAX_ARCS", 50)
     monkeypatch.setattr(bpe, "LOOKAHEAD", 3)
     monkeypatch.setattr(bpe, "MAX_PAIRS", 20)
-    monkeypatch.setattr(bpe, "MAX_PIECES", 10)
-    monkeypatch.setattr(bpe, "MAX_WORDS", 10)
+    monkeypatch.setattr(bpe, "MAX_PIECE_BYTES", 2_000)
+    monkeypatch.setattr(bpe, "MAX_WORD_BYTES", 2_000)
     test_transducer_is_the_library()
 
 
@@ -62,6 +62,7 @@ def test_bpe_round_trip(spark, odd):
         assert r["decoded"] == (r["text"] or "")
         assert np.frombuffer(r["ids"], "<u4").tolist() == other.encode_ordinary(r["text"] or "")
     assert [r for r in bpe.encode(odd, RANKS, P.PATTERN, decoded="back").collect() if r["back"] != (r["text"] or "")] == []
+    assert bpe.encode(odd, RANKS, P.PATTERN, restored="same").filter("same").count() == len(out)
     assert bpe.encode(odd.limit(0), RANKS, P.PATTERN).count() == 0
 
 
