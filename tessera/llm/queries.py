@@ -149,7 +149,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP10_SQL = r"""
-WITH sized AS (
+WITH RECURSIVE sized AS (
     SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
         (('0x' || substr(md5('20|' || coalesce(doc_id::VARCHAR, '~') || '|' || coalesce(text, '')), 1, 13))::BIGINT::DOUBLE + 0.5)
             / 4503599627370496.0 AS u
@@ -173,18 +173,27 @@ WITH sized AS (
     SELECT sized.*, source_size, target, whole, p, target - whole * source_size AS budget,
         CASE WHEN p > 0 THEN (u / (1 - u)) * ((1 - p) / p) / (1 + (u / (1 - u)) * ((1 - p) / p)) ELSE 1 END AS v
     FROM sized JOIN parts ON sized.source IS NOT DISTINCT FROM parts.source
-), chosen AS (
-    SELECT *, sum(size) OVER (PARTITION BY source ORDER BY v, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) <= budget AS taken_in
-    FROM ranked
+), ordered AS MATERIALIZED (
+    SELECT *, row_number() OVER (PARTITION BY source ORDER BY v, doc_id NULLS FIRST, size) AS place FROM ranked WHERE p > 0
+), walk AS (
+    SELECT source, 0::BIGINT AS place, target - whole * source_size AS gap, 0.001::DOUBLE * target AS near, false AS taken_in FROM parts WHERE p > 0
+    UNION ALL
+    SELECT o.source, o.place, CASE WHEN o.size <= w.gap AND w.gap > w.near THEN w.gap - o.size ELSE w.gap END, w.near,
+        o.size = 0 OR (o.size <= w.gap AND w.gap > w.near)
+    FROM walk w JOIN ordered o ON o.source IS NOT DISTINCT FROM w.source AND o.place = w.place + 1
 ), gaps AS (
-    SELECT source, first(budget) - coalesce(sum(size) FILTER (taken_in), 0) AS gap FROM chosen GROUP BY source
+    SELECT source, min(gap) AS gap FROM walk GROUP BY source
+), chosen AS (
+    SELECT ordered.*, taken_in FROM ordered JOIN walk ON ordered.source IS NOT DISTINCT FROM walk.source AND ordered.place = walk.place
 ), last_in AS (
-    SELECT chosen.source, arg_min(doc_id, (abs(size - gap), v, doc_id, size)) AS doc_id
+    SELECT chosen.source, arg_min(chosen.place, (abs(size - gap), v, doc_id, size)) AS place
     FROM chosen JOIN gaps ON chosen.source IS NOT DISTINCT FROM gaps.source
-    WHERE NOT taken_in AND p > 0 AND size > 0 AND abs(size - gap) < gap GROUP BY chosen.source
+    WHERE NOT taken_in AND abs(size - gap) < gap GROUP BY chosen.source
 ), counted AS (
-    SELECT chosen.*, whole + CASE WHEN (taken_in AND p > 0) OR last_in.doc_id IS NOT NULL THEN 1 ELSE 0 END AS copies
-    FROM chosen LEFT JOIN last_in ON chosen.source IS NOT DISTINCT FROM last_in.source AND chosen.doc_id = last_in.doc_id
+    SELECT chosen.doc_id, chosen.size, chosen.source_size, chosen.target, chosen.source,
+        whole + CASE WHEN taken_in OR last_in.place IS NOT NULL THEN 1 ELSE 0 END AS copies
+    FROM chosen LEFT JOIN last_in ON chosen.source IS NOT DISTINCT FROM last_in.source AND chosen.place = last_in.place
+    UNION ALL SELECT doc_id, size, source_size, target, source, whole FROM ranked WHERE p = 0
 )
 SELECT doc_id, size, source_size, target, (size * copies)::BIGINT AS taken, copies::BIGINT AS copies, source FROM counted
 """

@@ -1,5 +1,6 @@
 """Operators over all rows: top-k, near-duplicates, language model, mixing, pipeline; brute force and edge cases."""
 
+import hashlib
 import math
 import random
 import zlib
@@ -177,6 +178,38 @@ def test_mixing(spark):
     assert mixing.mix(df.limit(0)).count() == 0
 
 
+def test_mixing_passes_over_what_does_not_fit(spark):
+    # source b has a target of about 9,000 words, 10,000 in short documents, and one of 20,000
+    rows = [(i, "w " * 100, "a") for i in range(240)] + [(1000 + i, "w " * (90 + i % 20), "b") for i in range(100)] + [(2000, "w " * 20_000, "b")]
+    for seed in range(4):
+        out = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), weights=(5, 1), seed=seed).collect()
+        for source in "ab":
+            own = [r for r in out if r["source"] == source]
+            assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 60, (seed, source)
+
+
+def test_mixing_is_the_walk_in_order(spark):
+    rng = random.Random(3)
+    rows = [(i, "w " * rng.choice([1, 3, 10, 50, 400, 2000]), rng.choice(["a", "b", None])) for i in range(400)]
+    out = {r["doc_id"]: r for r in mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    for source in ("a", "b", None):
+        own = [r for r in out.values() if r["source"] == source]
+        whole, ratio = math.floor(own[0]["target"] / own[0]["source_size"]), own[0]["target"] / own[0]["source_size"]
+        p, gap = ratio - whole, own[0]["target"] - whole * own[0]["source_size"]
+        texts = {i: t for i, t, _ in rows}
+        u = {r["doc_id"]: (int(hashlib.md5(f"20|{r['doc_id']}|{texts[r['doc_id']]}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52 for r in own}
+        order = sorted(own, key=lambda r: u[r["doc_id"]])
+        taken = set()
+        for r in order if p else []:
+            if r["size"] <= gap and gap > mixing.NEAR * own[0]["target"]:
+                gap -= r["size"]
+                taken.add(r["doc_id"])
+        rest = [(abs(r["size"] - gap), k) for k, r in enumerate(order) if r["doc_id"] not in taken and abs(r["size"] - gap) < gap]
+        if p and rest:
+            taken.add(order[min(rest)[1]]["doc_id"])
+        assert {r["doc_id"] for r in own if r["copies"] > whole} == taken
+
+
 def test_pipeline(spark):
     rng = random.Random(6)
     english, german = "the cat sat on that mat with hats and other things they have".split(), "zum hund über grün mögen wüst böse straße schön das und".split()
