@@ -44,7 +44,7 @@ ENTRY_BYTES = 160
 LOOKAHEAD = 256
 #: Above all ranks.
 NONE = 1 << 60
-FLUSH_BYTES = 16 << 20
+FLUSH_BYTES = 4 << 20
 
 
 class Transducer:

@@ -107,29 +107,31 @@ def format_conversations(conversations: DataFrame, template: Template | None = N
     """
     template = template or Template()
     turns = conversations.select(
-        F.col("conv_id").cast("long").alias("conv_id"),
+        # as text: a null beside them would make doubles of large ids
+        F.col("conv_id").cast("long").cast("string").alias("conv_id"),
         F.col("turn").cast("long").alias("turn"),
         F.coalesce("role", F.lit("")).alias("role"),
         F.coalesce("text", F.lit("")).alias("text"),
     )
     by_conv = turns.repartition(partitions, "conv_id") if partitions else turns.repartition("conv_id")
+    # ids need to stand together only
     ordered = by_conv.sortWithinPartitions("conv_id", "turn", "role", "text").drop("turn")
 
     def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         writer, at, number, state = Writer(template), (), 0, template.start
         for frame in frames:
             out: list[tuple] = []
-            for conv, role, text in zip(frame["conv_id"].astype("Int64"), frame["role"], frame["text"], strict=True):
-                if at != (key := (None if conv is pd.NA else conv,)):
+            for conv, role, text in zip(frame["conv_id"], frame["role"], frame["text"], strict=True):
+                if at != (key := (None if conv is None else int(conv),)):
                     at, number, state = key, 0, template.start
                 allowed = (state, role) in template.moves
                 # after a turn that is not allowed, the machine goes on as if the role had just come in order
                 state = template.moves.get((state, role)) or next((v for k, v in template.moves.items() if k[1] == role), state)
                 out += [(at[0], number, i, t, loss, state, allowed) for i, (t, loss) in enumerate(writer.segments(role, text))]
                 number += 1
-            frame = pd.DataFrame(out, columns=["conv_id", "turn_no", "segment", "text", "loss", "state", "allowed"])
-            frame["conv_id"] = frame["conv_id"].astype("Int64")
-            yield frame
+            made = pd.DataFrame([x[1:] for x in out], columns=["turn_no", "segment", "text", "loss", "state", "allowed"])
+            made.insert(0, "conv_id", pd.array([x[0] for x in out], "Int64"))
+            yield made
 
     return ordered.mapInPandas(write, SEGMENTS)
 
@@ -166,9 +168,9 @@ def read_back(segments: DataFrame, template: Template | None = None) -> DataFram
         formatted: list[str] = []
         for frame in frames:
             out = []
-            columns = [frame["conv_id"].astype("Int64"), *(frame[k] for k in ("turn_no", "segment", "text", "loss", "state", "allowed"))]
+            columns = [frame["conv_id"], *(frame[k] for k in ("turn_no", "segment", "text", "loss", "state", "allowed"))]
             for conv, turn, segment, text, loss, state, allowed in zip(*columns, strict=True):
-                conv = None if conv is pd.NA else int(conv)
+                conv = None if conv is None else int(conv)
                 if segment == 0 and turn == 0:
                     if now:
                         close(now, formatted)
@@ -191,7 +193,8 @@ def read_back(segments: DataFrame, template: Template | None = None) -> DataFram
             yield _frame([done(now)])
 
     def _frame(rows: list[dict]) -> pd.DataFrame:
-        frame = pd.DataFrame(rows, columns=[x.split()[0] for x in DIGEST.split(", ")])
-        return frame.astype({"conv_id": "Int64"})
+        frame = pd.DataFrame([{k: v for k, v in x.items() if k != "conv_id"} for x in rows], columns=[x.split()[0] for x in DIGEST.split(", ")][1:])
+        frame.insert(0, "conv_id", pd.array([x["conv_id"] for x in rows], "Int64"))
+        return frame
 
-    return segments.mapInPandas(read, DIGEST)
+    return segments.withColumn("conv_id", F.col("conv_id").cast("string")).mapInPandas(read, DIGEST)

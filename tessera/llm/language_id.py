@@ -185,8 +185,8 @@ def predict(docs: DataFrame, languages: list[str], logs: np.ndarray, *, text_col
         table = np.asfortranarray(model.value)
         for batch in batches:
             lettered = batch.column("__lettered").to_pylist()
-            made: list[list] = [[], [], [], []]
             for begun, texts in blocks(batch, text_col):
+                made: list[list] = [[], [], [], []]
                 shares = infer(texts, table)
                 own = shares[:, :-1]
                 pick = own.argmax(1) if own.shape[1] else np.zeros(len(texts), int)
@@ -199,8 +199,9 @@ def predict(docs: DataFrame, languages: list[str], logs: np.ndarray, *, text_col
                         row = (languages[pick[i]], float(min(1.0, share[pick[i]])), float(share[-1]), ",".join(languages[k] for k in held))
                     for column, value in zip(made, row, strict=True):
                         column.append(value)
-            arrays = [pa.array(made[0], pa.string()), pa.array(made[1], pa.float64()), pa.array(made[2], pa.float64()), pa.array(made[3], pa.string())]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *arrays], names=[*keep, *added])
+                part = batch.slice(begun, len(texts))
+                arrays = [pa.array(made[0], pa.string()), pa.array(made[1], pa.float64()), pa.array(made[2], pa.float64()), pa.array(made[3], pa.string())]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *arrays], names=[*keep, *added])
 
     return docs.select(*dict.fromkeys([*keep, text_col]), has_letter(F.col(text_col)).alias("__lettered")).mapInArrow(run, schema)
 

@@ -17,9 +17,10 @@ among them, are dealt over several cells by a hash of the id, so no group meets
 (k + 1 numbers a pivot, MAX_PIVOTS pivots) go to the driver and are broadcast.
 
 Edge cases: vectors that are null or empty, or hold null, NaN or infinite components, and rows with null id take no part;
-rows that repeat an id count once (the smallest vector of the id); vectors are compared with vectors of the most frequent
-length only; ties go to the smaller id; a query with fewer than k candidates returns all; an empty table gives an empty
-result; other columns are ignored. Scores must fit a 64-bit integer; inner products are exact while they stay below 2**53.
+rows that repeat an id are rows of their own: each is a query or a candidate, and a query meets every row but itself;
+vectors of different lengths have no inner product, so each length (MAX_LENGTHS at most) is searched by itself; ties go to
+the smaller id; a query with fewer than k candidates returns all; an empty table gives an empty result; other columns are
+ignored. Scores that may not fit a 64-bit integer are an error; all others are exact.
 """
 
 from __future__ import annotations
@@ -39,6 +40,9 @@ MAX_PIVOTS = 256
 QUERIES_A_PIVOT = 64
 CELL_QUERIES = 2_048
 CELL_ROWS = 8_192
+MAX_LENGTHS = 100
+#: Of the terms of a bound: far more than the rounding of sums of products.
+SLACK = 1e-9
 
 
 def _matrix(blobs: pd.Series) -> np.ndarray:
@@ -48,20 +52,22 @@ def _matrix(blobs: pd.Series) -> np.ndarray:
 def _exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Integer inner products of all rows of a and b; in doubles where these are exact."""
     bound = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * a.shape[1]
+    if bound >= 2**63:
+        raise OverflowError("inner products may exceed 64 bits")
     return (a.astype(float) @ b.astype(float).T).astype(np.int64) if bound < 2**53 else a @ b.T
 
 
 def vectors(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(id, v): whole vectors as integers, one row an id."""
+    """(id, v, row): whole vectors as integers; row tells rows apart once this is written."""
     x = F.col(vector_col)
     finite = F.coalesce(F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < F.lit(float("inf")))), F.lit(False))
     whole = F.transform(x, lambda e: F.floor(e.cast("double") * SCALE).cast("long"))
     sound = df.filter(F.col(id_col).isNotNull() & finite & (F.size(x) > 0)).select(F.col(id_col).cast("long").alias("id"), whole.alias("v"))
-    return sound.groupBy("id").agg(F.min("v").alias("v"))
+    return sound.withColumn("row", F.monotonically_increasing_id())
 
 
 def _assign(data: DataFrame, pivots: np.ndarray) -> DataFrame:
-    """(id, blob, cell, far): the vector, its nearest pivot and its distance from it."""
+    """(id, row, blob, cell, far, norm): the vector, its nearest pivot and its distance from it."""
     shared = data.sparkSession.sparkContext.broadcast(pivots)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -74,50 +80,63 @@ def _assign(data: DataFrame, pivots: np.ndarray) -> DataFrame:
             square = (x * x).sum(1)[:, None] - 2 * x @ p.T + (p * p).sum(1)
             near = square.argmin(1)
             yield pd.DataFrame({
-                "id": frame["id"], "blob": [r.tobytes() for r in v.astype("<i8")], "cell": near.astype(np.int32),
+                "id": frame["id"], "row": frame["row"], "blob": [r.tobytes() for r in v.astype("<i8")], "cell": near.astype(np.int32),
                 "far": np.sqrt(np.maximum(square[np.arange(len(x)), near], 0)), "norm": np.sqrt((x * x).sum(1)),
             })
 
-    return data.mapInPandas(run, "id long, blob binary, cell int, far double, norm double")
+    return data.mapInPandas(run, "id long, row long, blob binary, cell int, far double, norm double")
 
 
 def _bounds(queries: pd.DataFrame, near: pd.DataFrame, pivots: np.ndarray, k: int) -> np.ndarray:
-    """theta for each query group; nan for groups without queries. near: (cell, far, norm) of the vectors next to the pivots."""
+    """theta for each query group; nan for groups without queries. near: (cell, far, norm) of the vectors next to the pivots.
+
+    The bounds are computed in doubles, so each is lowered by more than the rounding of its terms.
+    """
     p = pivots.astype(float)
     theta = np.full(len(p), np.nan)
     inner, norms = p @ p.T, np.sqrt((p * p).sum(1))
     j, far, size = near["cell"].to_numpy(), near["far"].to_numpy(), near["norm"].to_numpy()
     for row in queries.itertuples():
         low = inner[row.cell, j] - norms[row.cell] * far - row.reach * size
+        low -= SLACK * (norms[row.cell] * (norms[j] + far) + row.reach * size) + 1
         theta[row.cell] = np.partition(low, len(low) - k - 1)[len(low) - k - 1] if len(low) > k else -np.inf
-    # the bounds are computed in doubles
-    return theta - 1e-6 * np.abs(np.where(np.isfinite(theta), theta, 0)) - 1.0
+    return theta
 
 
 def top_k(df: DataFrame, *, id_col: str, vector_col: str, every: int, k: int) -> DataFrame:
     """(query_id, rank, vec_id, score): for each id divisible by ``every``, the k best other vectors."""
     data = materialise(vectors(df, id_col, vector_col), "vectors")
-    length = data.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    data = data.filter(F.size("v") == (length["n"] if length else 0))
+    lengths = [r["n"] for r in data.select(F.size("v").alias("n")).distinct().limit(MAX_LENGTHS + 1).collect()]
+    if len(lengths) > MAX_LENGTHS:
+        raise ValueError(f"more than {MAX_LENGTHS} lengths of vectors")
+    out = df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    for n in sorted(lengths):
+        out = out.unionByName(_top_k(data.filter(F.size("v") == n), every, k))
+    return out
+
+
+def _top_k(data: DataFrame, every: int, k: int) -> DataFrame:
+    """For vectors of one length."""
+    spark = data.sparkSession
     is_query = F.pmod(F.col("id"), F.lit(every)) == 0
     n, asked = data.agg(F.count("*"), F.coalesce(F.sum(is_query.cast("long")), F.lit(0))).first()
     if not asked:
-        return df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     wanted = min(MAX_PIVOTS, max(8, math.ceil(asked / QUERIES_A_PIVOT)))
     picked = data.select("v", F.xxhash64("id").alias("h")).orderBy("h").limit(wanted)
     pivots = np.unique(np.array([r["v"] for r in picked.collect()], np.int64), axis=0)
 
     data = materialise(_assign(data, pivots), "voronoi")
     queries = data.filter(is_query).groupBy("cell").agg(F.max("far").alias("reach"), F.count("*").alias("n")).toPandas()
-    order = Window.partitionBy("cell").orderBy("far", "id")
-    near = data.select("cell", "far", "norm", "id").withColumn("at", F.row_number().over(order)).filter(F.col("at") <= k + 1)
+    order = Window.partitionBy("cell").orderBy("far", "id", "row")
+    near = data.select("cell", "far", "norm", "id", "row").withColumn("at", F.row_number().over(order)).filter(F.col("at") <= k + 1)
     theta = _bounds(queries, near.select("cell", "far", "norm").toPandas(), pivots, k)
     reach = np.zeros(len(pivots))
     reach[queries["cell"]] = queries["reach"]
     parts = np.zeros(len(pivots), np.int64)
     parts[queries["cell"]] = np.ceil(queries["n"] / CELL_QUERIES)
     data_parts = max(1, math.ceil(n / CELL_ROWS))
-    shared = data.sparkSession.sparkContext.broadcast((pivots, theta, reach, parts))
+    shared = spark.sparkContext.broadcast((pivots, theta, reach, parts))
 
     def replicate(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         p, low, far, count = shared.value
@@ -126,45 +145,48 @@ def top_k(df: DataFrame, *, id_col: str, vector_col: str, every: int, k: int) ->
             if not len(frame):
                 continue
             x = _matrix(frame["blob"]).astype(float)
-            high = x @ p[used].astype(float).T + far[used] * frame["norm"].to_numpy()[:, None]
+            size, size_of = p[used].astype(float), frame["norm"].to_numpy()[:, None]
+            high = x @ size.T + far[used] * size_of
+            high += SLACK * size_of * (np.sqrt((size * size).sum(1)) + far[used]) + 1
             own, group = np.nonzero(high >= low[used])
             each = count[used][group]
             own, group = np.repeat(own, each), np.repeat(used[group], each)
             part = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
             some = frame.iloc[own]
             # small components travel as 16 bits
-            yield pd.DataFrame({"grp": group.astype(np.int32), "part": part.astype(np.int32), "slice": (some["hash"] % data_parts).astype(np.int32), "id": some["id"], "blob": _packed(some["blob"])})
+            yield pd.DataFrame({"grp": group.astype(np.int32), "part": part.astype(np.int32), "slice": (some["hash"] % data_parts).astype(np.int32), "id": some["id"], "row": some["row"], "blob": _packed(some["blob"])})
 
     def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         count = shared.value[3]
         for frame in frames:
             some = frame.loc[frame.index.repeat(data_parts)]
             part = some["hash"] % np.maximum(count[some["cell"]], 1)
-            yield pd.DataFrame({"grp": some["cell"].astype(np.int32), "part": part.astype(np.int32), "slice": np.tile(np.arange(data_parts, dtype=np.int32), len(frame)), "id": some["id"], "blob": _packed(some["blob"])})
+            yield pd.DataFrame({"grp": some["cell"].astype(np.int32), "part": part.astype(np.int32), "slice": np.tile(np.arange(data_parts, dtype=np.int32), len(frame)), "id": some["id"], "row": some["row"], "blob": _packed(some["blob"])})
 
     def solve(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        out: list[list[np.ndarray]] = [[], [], [], []]
         if len(left) and len(right):
             order = right["id"].to_numpy().argsort(kind="stable")
-            ids, data_rows = right["id"].to_numpy()[order], _unpacked(right["blob"].iloc[order])
+            ids, rows, vectors = right["id"].to_numpy()[order], right["row"].to_numpy()[order], _unpacked(right["blob"].iloc[order])
             for begun in range(0, len(left), 512):
-                asked_ids = left["id"].to_numpy()[begun : begun + 512]
-                score = _exact(_unpacked(left["blob"].iloc[begun : begun + 512]), data_rows)
-                score[asked_ids[:, None] == ids[None, :]] = np.iinfo(np.int64).min
-                for q, row in zip(asked_ids, score, strict=True):
-                    cut = np.partition(row, len(row) - k)[len(row) - k] if len(row) > k else row.min()
-                    best = np.flatnonzero(row >= cut)
-                    best = best[np.lexsort((ids[best], -row[best]))][: k + 1]
-                    best = best[ids[best] != q][:k]
-                    out.append(pd.DataFrame({"query_id": q, "vec_id": ids[best], "score": row[best]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
-
-    hashed = data.select("id", "blob", "cell", "norm", F.pmod(F.xxhash64("id"), F.lit(1 << 30)).alias("hash"))
-    schema = "grp int, part int, slice int, id long, blob binary"
+                some = left.iloc[begun : begun + 512]
+                asked, own = some["id"].to_numpy(), some["row"].to_numpy()
+                score = _exact(_unpacked(some["blob"]), vectors)
+                for i, row in enumerate(score):
+                    # one more than k, as the query itself may be among them
+                    cut = np.partition(row, len(row) - k - 1)[len(row) - k - 1] if len(row) > k + 1 else row.min()
+                    best = np.flatnonzero((row >= cut) & (rows != own[i]))
+                    best = best[np.lexsort((ids[best], -row[best]))][:k]
+                    for column, value in zip(out, (np.full(len(best), own[i]), np.full(len(best), asked[i]), ids[best], row[best]), strict=True):
+                        column.append(value)
+        return pd.DataFrame({c: np.concatenate(v) if v else np.zeros(0, np.int64) for c, v in zip(("row", "query_id", "vec_id", "score"), out, strict=True)})
+
+    hashed = data.select("id", "row", "blob", "cell", "norm", F.pmod(F.xxhash64("id", "row"), F.lit(1 << 30)).alias("hash"))
+    schema = "grp int, part int, slice int, id long, row long, blob binary"
     cells = ["grp", "part", "slice"]
     asked_rows = hashed.filter(is_query).mapInPandas(ask, schema).groupBy(cells)
-    solved = asked_rows.cogroup(hashed.mapInPandas(replicate, schema).groupBy(cells)).applyInPandas(solve, "query_id long, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    solved = asked_rows.cogroup(hashed.mapInPandas(replicate, schema).groupBy(cells)).applyInPandas(solve, "row long, query_id long, vec_id long, score long")
+    best = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
     ranked = solved.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
 

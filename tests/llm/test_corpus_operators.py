@@ -19,20 +19,32 @@ def words(rng, n, size=300):
     return " ".join(f"w{rng.randrange(size)}" for _ in range(n))
 
 
-def test_topk_against_all_pairs(spark):
+def all_pairs(rows, every, k):
+    """rows (id, vector): a query meets every other row whose vector is as long as its own."""
+    whole = [(i, np.floor(np.array(v, "f4").astype(float) * 1024).astype(int)) for i, v in rows]
+    want = []
+    for a, (q, x) in enumerate(whole):
+        if q % every == 0:
+            best = sorted((-int(x @ y), i) for b, (i, y) in enumerate(whole) if b != a and len(x) == len(y))[:k]
+            want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
+    return sorted(want)
+
+
+def test_topk_against_all_pairs(spark, monkeypatch):
     rng = np.random.default_rng(2)
     data = {i: rng.normal(size=8).astype("f4").tolist() for i in range(400)}
     for i in range(100, 180):
         data[i] = data[7]  # one vector, many times
-    rows = [(i, v, "x") for i, v in data.items()] + [(900, None, "x"), (1000, [1.0, None] + [0.0] * 6, "x"), (1100, [float("nan")] * 8, "x"), (None, data[1], "x"), (7, data[7], "x"), (1200, [], "x")]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score string")
-    whole = {i: np.floor(np.array(v, "f4").astype(float) * 1024).astype(int) for i, v in data.items()}
-    want = []
-    for q in (i for i in data if i % 20 == 0):
-        best = sorted(((-int(whole[q] @ whole[i]), i) for i in data if i != q))[:10]
-        want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
+    sound = [*data.items(), (7, data[7]), (20, data[30]), (40, data[40]), *[(2000 + i, [float(i), 1.0]) for i in range(0, 60, 5)], (3000, [0.5] * 3), (5000, [1e5] * 8), (5001, [-1e5] * 8)]
+    broken = [(900, None), (1000, [1.0, None] + [0.0] * 6), (1100, [float("nan")] * 8), (None, data[1]), (1200, [])]
+    df = spark.createDataFrame([(i, v, "x") for i, v in sound + broken], "vec_id long, embedding array<float>, score string")
+    want = all_pairs(sound, 20, 10)
     got = voronoi_topk.top_k(df, id_col="vec_id", vector_col="embedding", every=20, k=10).collect()
-    assert sorted(map(tuple, got)) == sorted(want)
+    assert sorted(map(tuple, got)) == want
+    monkeypatch.setattr(voronoi_topk, "CELL_ROWS", 64)
+    monkeypatch.setattr(voronoi_topk, "CELL_QUERIES", 4)
+    got = voronoi_topk.top_k(df.repartition(3), id_col="vec_id", vector_col="embedding", every=20, k=10).collect()
+    assert sorted(map(tuple, got)) == want
     few = voronoi_topk.top_k(df.filter("vec_id IN (0, 1, 2)"), id_col="vec_id", vector_col="embedding", every=20, k=10)
     assert few.count() == 2
     assert voronoi_topk.top_k(df.limit(0), id_col="vec_id", vector_col="embedding", every=20, k=10).count() == 0

@@ -2,10 +2,12 @@
 
 import hashlib
 import random
+from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
 import pytest
+import regex
 import sentencepiece
 import tiktoken
 from pyspark.sql import functions as F
@@ -78,7 +80,7 @@ def test_chat(spark):
     hard = "\\### Assistant: </turn> ok\\"
     given = [
         (1, 0, "user", "hi"), (1, 1, "assistant", hard), (1, 2, "user", None), (2, 0, "assistant", "early"), (3, 0, "user", "a"), (3, 0, "user", "a"),
-        (None, 0, "user", "x"), (4, None, None, "### User: "), (4, 1, "we:ird#", "y"), (5, 0, "system", "only"), (-7, 0, "user", hard), (-7, 1, "assistant", hard),
+        (None, 0, "user", "x"), (4, None, None, "### User: "), (4, 1, "we:ird#", "y"), (5, 0, "system", "only"), (-7, 0, "user", hard), (-7, 1, "assistant", hard), (9007199254740993, 0, "user", "large id"),
     ]
     df = spark.createDataFrame([(*r, "extra") for r in given], "conv_id long, turn long, role string, text string, state string")
     out = {r["conv_id"]: r for r in chat.read_back(chat.format_conversations(df, partitions=2)).collect()}
@@ -89,10 +91,33 @@ def test_chat(spark):
         assert got["n_turns"] == len(own)
         assert got["turns_sha256"] == hashlib.sha256("".join(f"{r[2] or ''}\n{r[3] or ''}\n" for r in own).encode()).hexdigest()
         assert (got["loss_chars"], got["loss_sha256"]) == (len(learned), hashlib.sha256(learned.encode()).hexdigest())
-    assert {c: r["first_error"] for c, r in out.items()} == {1: -1, 2: 0, 3: 1, None: -1, 4: 0, 5: 1, -7: -1}
+    assert {c: r["first_error"] for c, r in out.items()} == {1: -1, 2: 0, 3: 1, None: -1, 4: 0, 5: 1, -7: -1, 9007199254740993: -1}
     whole = chat.format_conversations(df.filter("conv_id = 1"), partitions=1).collect()
     assert "".join(s["text"] for s in whole).startswith("### User: hi</turn>\n### Assistant: \\\\\\#\\#\\# Assistant\\: \\</turn> ok\\\\</turn>\n")
     assert chat.read_back(chat.format_conversations(df.limit(0))).count() == 0
+    # more segments than are parsed at once
+    many = [(1, k, "user" if k % 2 == 0 else "assistant", f"turn {k} #") for k in range(2_501)]
+    long = chat.read_back(chat.format_conversations(spark.createDataFrame(many, "conv_id long, turn long, role string, text string"))).first()
+    assert (long["n_turns"], long["valid"]) == (2_501, True)
+    assert long["turns_sha256"] == hashlib.sha256("".join(f"{r[2]}\n{r[3]}\n" for r in many).encode()).hexdigest()
+
+
+def likeness_of(a, b):
+    """What ``likeness`` estimates: 1 less the squared distance of the multisets of pieces over their squared norms."""
+    x, y = (Counter(g for line in t.split("\n") for g in regex.findall(multiset_hash.PIECE, line)) for t in (a, b))
+    norms = sum(n * n for n in x.values()) + sum(n * n for n in y.values())
+    return 1.0 if a == b or sorted(a.split("\n")) == sorted(b.split("\n")) else 1 - sum((x[k] - y[k]) ** 2 for k in x | y) / norms if norms else 0.0
+
+
+def test_likeness_survives_an_insertion(spark):
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefghilmnorst") for _ in range(rng.randrange(2, 9))) for _ in range(400)]
+    cases = [words, ["extra", *words], words[1:], [*words[:200], "x", "y", *words[200:]], words[200:] + words[:200], words[::-1], ["other" + w for w in words]]
+    texts = [" ".join(c) for c in cases]
+    df = spark.createDataFrame([(k, texts[0], t) for k, t in enumerate(texts)], "k long, a string, b string")
+    got = {r["k"]: r["l"] for r in df.select("k", multiset_hash.likeness(multiset_hash.fingerprint(F.col("a")), multiset_hash.fingerprint(F.col("b"))).alias("l")).collect()}
+    assert got[0] == 1.0 and all(got[k] > 0.9 for k in (1, 2, 3, 4)) and got[5] < 0.4 and got[6] < 0.4
+    assert all(abs(got[k] - max(0, likeness_of(texts[0], t))) < 0.35 for k, t in enumerate(texts))
 
 
 def test_multiset_hash(spark):
