@@ -47,8 +47,6 @@ NO_RESOURCE = [
     "history", "session", "sessions", "dashboard", "settings", "profile", "search",
 ]
 VERBS = r"export\s+(?:async\s+)?(?:function|const)\s+(GET|POST|PUT|PATCH|DELETE|OPTIONS|HEAD)\b"
-CALLS = r"(?i)\b(?:app|router|\w*[Rr]outer)\.(get|post|put|patch|delete|options|head)\(\s*[\"'`]([^\"'`]+)[\"'`]"
-MOUNTS = r"\b(?:app|router)\.use\(\s*[\"'`]([^\"'`]+)[\"'`]\s*,\s*(\w+)\s*\)"
 
 ROUTES = ["project_id", "route", "file", "kind", "methods"]
 
@@ -158,24 +156,67 @@ def page_routes(files: DataFrame, framework: str) -> DataFrame:
     return found.select("project_id", _route(segments).alias("route"), F.col("path").alias("file"), F.when(api, "api").otherwise("page").alias("kind"), methods.alias("methods"))
 
 
+# Calls that declare routes, and that hang a router or plugin under a prefix. A mounted router may have any
+# name that ends in router.
+DIRECT = r"(?i)\b(?:app|router)\.(get|post|put|patch|delete|options|head)\(\s*[\"'`]([^\"'`]+)[\"'`]"
+MOUNTED = r"(?i)\b(?:app|\w*router)\.(get|post|put|patch|delete|options|head)\(\s*[\"'`]([^\"'`]+)[\"'`]"
+MOUNT = r"\b(?:app|router)\.use\(\s*[\"'`]([^\"'`]+)[\"'`]\s*,\s*(\w+)\s*\)"
+FASTIFY = r"(?i)\b(?:fastify|app|server)\.(get|post|put|patch|delete|options|head)\(\s*[\"'`]([^\"'`]+)[\"'`]"
+FASTIFY_OBJECT = r"(?s)\.route\(\s*\{[^}]*?method:\s*[\"'`]?(\w+)[\"'`]?[^}]*?url:\s*[\"'`]([^\"'`]+)[\"'`]"
+FASTIFY_REGISTER = r"\.register\(\s*(\w+)\s*,\s*\{[^}]*?prefix:\s*[\"'`]([^\"'`]+)[\"'`]"
+
+
+def _scripts(files: DataFrame) -> DataFrame:
+    return files.filter(paths.is_production(F.col("path")) & F.col("path").rlike(r"\.[cm]?[jt]s\z")).select("project_id", F.col("path").alias("file"), "content")
+
+
+def _calls(scripts: DataFrame, *patterns: str) -> DataFrame:
+    """(project_id, file, verb, sub) of all calls that a pattern finds."""
+    found = [F.arrays_zip(F.transform(F.regexp_extract_all("content", F.lit(p), 1), lambda v: F.upper(v)).alias("verb"), F.regexp_extract_all("content", F.lit(p), 2).alias("sub")) for p in patterns]
+    return scripts.select("project_id", "file", F.explode(F.concat(*found)).alias("c")).select("project_id", "file", "c.verb", "c.sub").distinct()
+
+
+def _mounts(scripts: DataFrame, pattern: str, prefix: int, name: int) -> DataFrame:
+    """(project_id, src, mount, prefix, name) of all mounting calls."""
+    both = F.arrays_zip(F.regexp_extract_all("content", F.lit(pattern), prefix).alias("prefix"), F.regexp_extract_all("content", F.lit(pattern), name).alias("name"))
+    return scripts.select("project_id", F.col("file").alias("src"), F.posexplode(both).alias("mount", "m")).select("project_id", "src", "mount", "m.prefix", "m.name")
+
+
+def _targets(mounts: DataFrame, scripts: DataFrame, edges: DataFrame, calls: DataFrame) -> DataFrame:
+    """mounts with the imported file that holds the mounted routes: the one that has the mounted name as a word or, if none
+    has, the one that declares routes; without routes, or if there is no single one, the mount is left out."""
+    imported = edges.select("project_id", "src", F.col("dst").alias("file")).distinct()
+    declares = calls.select("project_id", "file").distinct().withColumn("declares", F.lit(True))
+    tried = mounts.join(imported, ["project_id", "src"]).join(scripts, ["project_id", "file"]).join(declares, ["project_id", "file"], "left")
+    named = F.regexp_like("content", F.concat(F.lit(r"\b"), F.col("name"), F.lit(r"\b")))
+    tried = tried.select(*mounts.columns, "file", named.alias("named"), F.coalesce("declares", F.lit(False)).alias("declares"))
+    each = tried.groupBy(*mounts.columns).agg(
+        F.count_if("named").alias("n"), F.min(F.when(F.col("named"), F.col("file"))).alias("by_name"), F.count_if("declares").alias("d"), F.min(F.when(F.col("declares"), F.col("file"))).alias("by_routes")
+    )
+    file = F.when(F.col("n") == 1, F.col("by_name")).when((F.col("n") == 0) & (F.col("d") == 1), F.col("by_routes"))
+    return each.select(*mounts.columns, file.alias("file")).join(declares.select("project_id", "file"), ["project_id", "file"])
+
+
+def _composed(resolved: DataFrame, calls: DataFrame) -> DataFrame:
+    """The mounted routes under their prefixes, as routes of the mounting files."""
+    under = F.when(F.col("sub").isin("/", ""), F.col("prefix")).otherwise(F.concat(F.regexp_replace("prefix", r"/\z", ""), F.lit("/"), F.regexp_replace("sub", "^/", "")))
+    return resolved.join(calls, ["project_id", "file"]).select("project_id", under.alias("route"), F.col("src").alias("file"), "verb")
+
+
+def _alone(calls: DataFrame, resolved: DataFrame) -> DataFrame:
+    return calls.join(resolved.select("project_id", "file"), ["project_id", "file"], "left_anti").select("project_id", F.col("sub").alias("route"), "file", "verb")
+
+
 def express_routes(files: DataFrame, edges: DataFrame) -> DataFrame:
     """Routes of router calls; a mounted router's routes go to the mounting file under the mount's prefix.
 
-    A mount is resolved to the one imported file that defines router calls; others keep the method USE.
+    A mount whose router is not found keeps the method USE.
     """
-    own = files.filter(paths.is_production(F.col("path")) & F.col("content").rlike(r"(?i)router|\bapp\.")).select("project_id", "path", "content")
-    verbs, routes = (F.regexp_extract_all("content", F.lit(CALLS), i) for i in (1, 2))
-    calls = own.select("project_id", F.col("path").alias("file"), F.explode(F.arrays_zip(F.transform(verbs, lambda v: F.upper(v)).alias("verb"), routes.alias("sub"))).alias("c")).select("project_id", "file", "c.verb", "c.sub")
-    prefixes = F.regexp_extract_all("content", F.lit(MOUNTS), 1)
-    mounts = own.select("project_id", F.col("path").alias("src"), F.posexplode(prefixes).alias("mount", "prefix"))
-    targets = edges.select("project_id", "src", F.col("dst").alias("file")).distinct().join(calls.select("project_id", "file").distinct(), ["project_id", "file"])
-    resolved = mounts.join(targets, ["project_id", "src"]).groupBy("project_id", "src", "mount", "prefix").agg(F.min("file").alias("file"), F.count("*").alias("n")).filter("n = 1")
-    under = F.when(F.col("sub").isin("/", ""), F.col("prefix")).otherwise(F.concat(F.regexp_replace("prefix", r"/\z", ""), F.lit("/"), F.regexp_replace("sub", "^/", "")))
-    mounted = resolved.join(calls, ["project_id", "file"]).select("project_id", under.alias("route"), F.col("src").alias("at"), "verb")
-    left = mounts.join(resolved, ["project_id", "src", "mount"], "left_anti").select("project_id", F.col("prefix").alias("route"), F.col("src").alias("at"), F.lit("USE").alias("verb"))
-    alone = calls.join(resolved.select("project_id", "file"), ["project_id", "file"], "left_anti").select("project_id", F.col("sub").alias("route"), F.col("file").alias("at"), "verb")
-    every = mounted.unionByName(left).unionByName(alone).groupBy("project_id", "route", "at").agg(F.array_sort(F.collect_set("verb")).alias("methods"))
-    return every.select("project_id", "route", F.col("at").alias("file"), F.lit("api").alias("kind"), "methods")
+    scripts = _scripts(files)
+    mounts, mounted = _mounts(scripts, MOUNT, 1, 2), _calls(scripts, MOUNTED)
+    resolved = _targets(mounts, scripts, edges, mounted)
+    left = mounts.join(resolved, ["project_id", "src", "mount"], "left_anti").select("project_id", F.col("prefix").alias("route"), F.col("src").alias("file"), F.lit("USE").alias("verb"))
+    return _api(_composed(resolved, mounted).unionByName(left).unionByName(_alone(_calls(scripts, DIRECT), resolved)))
 
 
 def crud(routes: DataFrame) -> DataFrame:
@@ -195,7 +236,6 @@ ALL_VERBS = ["DELETE", "GET", "HEAD", "OPTIONS", "PATCH", "POST", "PUT"]
 NO_PAGE_FEATURE = ["api", "auth", "login", "register", "signin", "signup", "logout"]
 NEST_CLASS = r"@Controller\(([^)]*)\)[\s\S]*?(?=@Controller\(|\z)"
 NEST_METHOD = r"@(Get|Post|Put|Patch|Delete|Options|Head|All)\(\s*(?:[\"'`]([^\"'`]*)[\"'`])?"
-FASTIFY = r"(?i)\b(?:fastify|app|server)\.(get|post|put|patch|delete|options|head)\(\s*[\"'`]([^\"'`]+)[\"'`]"
 
 
 def _joined(prefix: Column, sub: Column) -> Column:
@@ -211,7 +251,7 @@ def _api(found: DataFrame) -> DataFrame:
 
 def nest_routes(files: DataFrame) -> DataFrame:
     """Controller prefix with each method's path; an object or no argument is the empty prefix."""
-    own = files.filter(F.contains("content", F.lit("@Controller"))).select("project_id", F.col("path").alias("file"), "content")
+    own = files.filter(paths.is_production(F.col("path")) & F.contains("content", F.lit("@Controller"))).select("project_id", F.col("path").alias("file"), "content")
     classes = own.select("project_id", "file", F.explode(F.regexp_extract_all("content", F.lit(NEST_CLASS), 0)).alias("body"))
     prefix = F.regexp_extract(F.regexp_extract("body", NEST_CLASS, 1), r"^\s*[\"'`]([^\"'`]*)[\"'`]", 1)
     verbs, subs = (F.regexp_extract_all("body", F.lit(NEST_METHOD), i) for i in (1, 2))
@@ -220,12 +260,17 @@ def nest_routes(files: DataFrame) -> DataFrame:
     return _api(each.select("project_id", _joined(F.col("prefix"), F.col("m.sub")).alias("route"), "file", F.explode(names).alias("verb")))
 
 
-def fastify_routes(files: DataFrame) -> DataFrame:
-    """Direct verb calls of production sources."""
-    own = files.filter(paths.is_production(F.col("path")) & F.col("content").rlike(FASTIFY)).select("project_id", F.col("path").alias("file"), "content")
-    verbs, routes = (F.regexp_extract_all("content", F.lit(FASTIFY), i) for i in (1, 2))
-    each = own.select("project_id", "file", F.explode(F.arrays_zip(verbs.alias("verb"), routes.alias("route"))).alias("m"))
-    return _api(each.select("project_id", F.col("m.route").alias("route"), "file", F.upper("m.verb").alias("verb")))
+def fastify_routes(files: DataFrame, edges: DataFrame | None = None) -> DataFrame:
+    """Routes of verb calls and of route objects; a registered plugin's routes go to the registering file under its prefix.
+
+    Without edges no plugin is found.
+    """
+    scripts = _scripts(files)
+    calls = _calls(scripts, FASTIFY, FASTIFY_OBJECT)
+    if edges is None:
+        return _api(calls.select("project_id", F.col("sub").alias("route"), "file", "verb"))
+    resolved = _targets(_mounts(scripts, FASTIFY_REGISTER, 2, 1), scripts, edges, calls)
+    return _api(_composed(resolved, calls).unionByName(_alone(calls, resolved)))
 
 
 def metadata(files: DataFrame) -> DataFrame:

@@ -5,17 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import paths
 from ..functions.text import entity_name
 
-# Scalar types of the schema language; words that SQL puts after a table keyword; owner fields.
+# Scalar types of the schema language; names in queries that are no entity; words of plain copy; clients.
 SCALARS = ["String", "Boolean", "Int", "BigInt", "Float", "Decimal", "DateTime", "Json", "Bytes", "Unsupported"]
-CATALOGS = ["information_schema", "pg_catalog", "sqlite_master", "dual"]
-NO_TABLE = ["select", "where", "set", "values", "the", "a", "an", "and", "or", "on", "as", "by", "if", "not", "exists", "lateral"]
+CATALOGS = [
+    "information_schema", "pg_catalog", "pg_stat_activity", "sqlite_master", "sqlite_sequence", "sqlite_temp_master",
+    "migrations", "schema_migrations", "knex_migrations", "_prisma_migrations",
+]
+NO_TABLE = [
+    "a", "an", "the", "this", "that", "these", "those", "your", "my", "our", "their", "his", "her", "its", "all", "any", "some", "each", "us", "you", "me", "them",
+]
+CLIENTS = ["pg", "pg-promise", "mysql2", "mysql2/promise", "mysql", "better-sqlite3", "sqlite3", "node:sqlite"]
 MODEL = r"(?m)^model\s+(\w+)\s*\{([\s\S]*?)\n\}"
 FIELD = r"(?m)^\s+(\w+)\s+(\w+)(\[\])?(\?)?"
-LITERAL = r"\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`"
-TABLE = r"(?i)\b(?:from|into|update|join)\s+[\"`]?([A-Za-z_][\w]*)"
-DRIVERS = r"""(from|require\()\s*['"](pg|pg-promise|mysql2?|mysql2/promise|better-sqlite3|sqlite3)['"]"""
+#: Comments and string literals, whichever begins first.
+LITERAL = r"//[^\n]*|/\*[\s\S]*?\*/|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`"
+TABLE = r"(?i)\b(?:from|into|update|join)\s+[\"'`]?([A-Za-z_][A-Za-z0-9_]*)"
+DRIVERS = r"""(?i)(from\s+|require\(\s*)["'](""" + "|".join(CLIENTS) + r""")["']"""
 
 
 def prisma_fields(files: DataFrame) -> DataFrame:
@@ -62,13 +70,20 @@ def graph_relations(fields: DataFrame) -> DataFrame:
 
 
 def sql_tables(files: DataFrame) -> DataFrame:
-    """(project_id, entity, files): tables in the SQL strings of projects that import a raw driver."""
-    code = files.filter(F.col("extension").isin(".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs")).select("project_id", "path", "content")
+    """(project_id, entity, files): tables in the SQL strings of production sources, if one of these imports a raw client.
+
+    Comments, and template strings with holes, are no SQL; nor are names that begin like a sentence or a product.
+    """
+    code = files.filter(paths.is_production(F.col("path"))).select("project_id", "path", "extension", "content")
     active = code.filter(F.col("content").rlike(DRIVERS)).select("project_id").distinct()
-    literals = code.join(active, "project_id", "left_semi").select("project_id", "path", F.explode(F.regexp_extract_all("content", F.lit(LITERAL), 0)).alias("sql"))
-    tables = literals.filter(F.col("sql").rlike(r"(?i)\b(select|insert|update|delete)\b")).select("project_id", "path", F.explode(F.regexp_extract_all("sql", F.lit(TABLE), 1)).alias("t"))
+    scanned = code.filter(F.col("extension").isin(".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs")).join(active, "project_id", "left_semi")
+    literals = scanned.select("project_id", "path", F.explode(F.regexp_extract_all("content", F.lit(LITERAL), 0)).alias("sql"))
+    literals = literals.filter(~F.startswith("sql", F.lit("/")) & ~(F.startswith("sql", F.lit("`")) & F.contains("sql", F.lit("${"))))
+    bare = F.substring(F.col("sql"), F.lit(2), F.length("sql") - 2)
+    queries = literals.withColumn("sql", bare).filter(F.col("sql").rlike(r"(?i)\b(?:select|insert|update|delete|with)\b"))
+    tables = queries.select("project_id", "path", F.explode(F.regexp_extract_all("sql", F.lit(TABLE), 1)).alias("t"))
     named = tables.filter(~F.lower("t").isin(CATALOGS + NO_TABLE) & ~F.col("t").rlike("^[A-Z][a-z]"))
-    return named.groupBy("project_id", entity_name(F.col("t")).alias("entity")).agg(F.array_sort(F.collect_set("path")).alias("files"))
+    return named.groupBy("project_id", entity_name(F.lower("t")).alias("entity")).agg(F.array_sort(F.collect_set("path")).alias("files"))
 
 
 def ownership(names: Column) -> Column:

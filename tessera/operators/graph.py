@@ -6,6 +6,7 @@ folder (see ``written``), so a lost executor repeats one step.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -21,9 +22,13 @@ COMPILED = [(".js", ".ts"), (".js", ".tsx"), (".mjs", ".mts"), (".cjs", ".cts")]
 
 
 def written(df: DataFrame) -> DataFrame:
-    """df, written to the folder in spark.checkpoint.dir (a temporary one where that is unset) and read back."""
+    """df, written to the folder in spark.checkpoint.dir and read back; under a local master a temporary one will do."""
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/tessera-shared"
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "local")):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = f"file://{tempfile.gettempdir()}/tessera-shared"
     path = f"{folder.rstrip('/')}/step-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -81,17 +86,22 @@ def entry_points(files: DataFrame, edges: DataFrame, most: int = 20) -> DataFram
 
 
 def distances(edges: DataFrame, seeds: DataFrame, most: int = 1_000) -> DataFrame:
-    """seeds(project_id, path) to (project_id, path, distance) over edges src to dst, for all that is reached."""
+    """seeds(project_id, path) to (project_id, path, distance) over edges src to dst, for all that is reached.
+
+    Each step writes only what it reaches first. A path longer than ``most`` edges is an error, never cut off.
+    """
     links = written(edges.select("project_id", "src", "dst").distinct())
-    reached = written(seeds.select("project_id", "path").distinct().withColumn("distance", F.lit(0)))
-    for step in range(1, most + 1):
-        edge = reached.filter(F.col("distance") == step - 1).select("project_id", F.col("path").alias("src"))
+    front = written(seeds.select("project_id", "path").distinct().withColumn("distance", F.lit(0)))
+    reached = front
+    for step in range(1, most + 2):
+        edge = front.select("project_id", F.col("path").alias("src"))
         more = links.join(edge, ["project_id", "src"]).select("project_id", F.col("dst").alias("path")).distinct()
-        more = written(more.join(reached, ["project_id", "path"], "left_anti").withColumn("distance", F.lit(step)))
-        if not more.take(1):
-            break
-        reached = written(reached.unionByName(more))
-    return reached
+        front = written(more.join(reached, ["project_id", "path"], "left_anti").withColumn("distance", F.lit(step)))
+        if not front.take(1):
+            return reached
+        if step <= most:
+            reached = reached.unionByName(front)
+    raise RuntimeError(f"paths of more than {most} edges")
 
 
 def owned(edges: DataFrame, seeds: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ blocks masked, so that only top-level declarations count (confidence high). Othe
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -23,7 +24,7 @@ NAME = r"[A-Za-z_$][\w$]*"
 DECLARATION = re.compile(
     r"(?P<export>export\s+)?(?P<default>default\s+)?(?:declare\s+)?(?:abstract\s+)?(?:(?P<async>async\s+)?function\s*\*?\s*(?P<function>" + NAME + r")?"
     r"|class\s+(?P<class>" + NAME + r")|interface\s+(?P<interface>" + NAME + r")|type\s+(?P<type>" + NAME + r")\s*[=<]|(?:const\s+)?enum\s+(?P<enum>" + NAME + r")"
-    r"|const\s+(?P<const>" + NAME + r")|(?:let|var)\s+(?P<other>" + NAME + r"))"
+    r"|const(?P<const>\s+(?=[\w$])|\s*(?=[{\[]))|(?:let|var)(?P<other>\s+(?=[\w$])|\s*(?=[{\[])))"
 )
 METHOD = re.compile(r"(?:^|[;}\n])\s*(?:(?:public|private|protected|static|override|readonly)\s+)*(?P<async>async\s+)?\*?(?P<name>" + NAME + r")\s*(?:<[^>]*>)?\(")
 KEYWORDS = {"if", "for", "while", "switch", "catch", "return", "function", "constructor", "new", "await", "super"}
@@ -37,31 +38,66 @@ ANY_SYMBOL = [
     ("type", re.compile(r"(?P<export>export\s+)?type\s+(?P<name>[A-Za-z_$][A-Za-z0-9_$]*)")),
     ("enum", re.compile(r"(?P<export>export\s+)?enum\s+(?P<name>[A-Za-z_$][A-Za-z0-9_$]*)")),
 ]
+SPECIFIERS = [
+    re.compile(r"""(?<![\w$.])import\s*(?:type\s+)?(?:[\w$*{}\s,]+?\s*from\s*)?['"]([^'"]+)['"]"""),
+    re.compile(r"""(?<![\w$.])export\s*(?:type\s+)?(?:\*(?:\s*as\s+[\w$]+)?|\{[^}]*\})\s*from\s*['"]([^'"]+)['"]"""),
+    re.compile(r"""(?<![\w$.])require\(\s*['"]([^'"]+)['"]\s*\)"""),
+]
 FUNCTIONS = ("function", "const", "class", "method")
 MASKED = re.compile(r"""//[^\n]*|/\*.*?\*/|"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`|(?<=[(,=:\[!&|?{};\n])\s*/(?![/*])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\n\[])+/[a-z]*""", re.DOTALL)
 
 
-def masked(text: str, keep_strings: bool = False) -> str:
-    """Comments, and unless kept strings, as blanks of the same length; line breaks stay."""
+def masked(text: str, keep_quotes: bool = False) -> str:
+    """Comments and strings as blanks of the same length; line breaks, and if kept the quotes of strings, stay."""
 
     def blank(m: re.Match) -> str:
-        if keep_strings and m[0][0] in "\"'`":
-            return m[0]
-        return re.sub(r"[^\n]", " ", m[0])
+        gap = re.sub(r"[^\n]", " ", m[0])
+        return m[0][0] + gap[1:-1] + m[0][-1] if keep_quotes and m[0][0] in "\"'" else gap
 
     return MASKED.sub(blank, text)
 
 
-def depths(code: str) -> list[int]:
-    """Nesting of braces, brackets and parentheses before each character."""
-    out, depth = [], 0
-    for c in code:
-        if c in ")}]":
-            depth -= 1
-        out.append(depth)
-        if c in "({[":
-            depth += 1
-    return out
+class Nesting:
+    """How deep in braces, brackets and parentheses a place is, from the places where that changes."""
+
+    def __init__(self, code: str) -> None:
+        self.at, self.depth, depth = [], [0], 0
+        for m in re.finditer(r"[(){}\[\]]", code):
+            opens = m[0] in "({["
+            depth += 1 if opens else -1
+            # a bracket lies outside what it encloses
+            self.at.append(m.end() if opens else m.start())
+            self.depth.append(depth)
+
+    def __getitem__(self, place: int) -> int:
+        return self.depth[bisect_right(self.at, place)]
+
+
+def bound_names(code: str, nesting: Nesting, at: int) -> Iterator[tuple[int, str]]:
+    """Places and names that a declaration binds whose first name or pattern begins at ``at``."""
+    outer = nesting[at]
+    while m := re.compile(r"\s*(?:(" + NAME + r")|[{\[])").match(code, at):
+        if m[1]:
+            yield m.start(1), m[1]
+            at = m.end()
+        else:
+            opened = m.end() - 1
+            at = opened + 1
+            while at < len(code) and nesting[at] > outer:
+                at += 1
+            # in a pattern, what stands before a comma, a default or the end is bound, but not a key before its colon
+            for name in re.finditer(r"(" + NAME + r")\s*(?=[,}\]]|=(?!>))", code[opened:at + 1]):
+                if not re.search(r"=\s*$", code[opened : opened + name.start()]):
+                    yield opened + name.start(1), name[1]
+            at += 1
+        # on to a comma of this declaration
+        while at < len(code) and not (nesting[at] == outer and code[at] in ",;"):
+            if nesting[at] < outer or nesting[at] == outer and code[at] == "\n" and re.match(r"\s*[\w$@]", code[at:]) and not re.search(r"[,=+\-*/&|?:<>.]\s*$", code[max(0, at - 80) : at]):
+                return
+            at += 1
+        if at >= len(code) or code[at] == ";":
+            return
+        at += 1
 
 
 def script_of(path: str, content: str) -> str | None:
@@ -79,11 +115,10 @@ def script_of(path: str, content: str) -> str | None:
 
 def scan_script(text: str) -> tuple[list[str], list[str], list[dict]]:
     """Imports in order, exported names sorted, top-level symbols in order."""
-    code, plain = masked(text), masked(text, keep_strings=True)
-    nesting = depths(code)
-    imports = re.findall(r"""(?<![\w$.])import\s*(?:type\s+)?(?:[\w$*{}\s,]+?\s*from\s*)?['"]([^'"]+)['"]""", plain)
-    imports += re.findall(r"""(?<![\w$.])export\s*(?:type\s+)?(?:\*(?:\s*as\s+[\w$]+)?|\{[^}]*\})\s*from\s*['"]([^'"]+)['"]""", plain)
-    imports += re.findall(r"""(?<![\w$.])require\(\s*['"]([^'"]+)['"]\s*\)""", plain)
+    # keywords count outside strings only; what stands between quotes comes from the text itself
+    code, quoted = masked(text), masked(text, keep_quotes=True)
+    nesting = Nesting(code)
+    imports = [text[m.start(1) : m.end(1)] for p in SPECIFIERS for m in p.finditer(quoted)]
     exports, symbols = set(), []
     for m in re.finditer(r"(?<![\w$.])export\s*(?:type\s*)?\{([^}]*)\}", code):
         exports |= {part.split(" as ")[-1].strip().removeprefix("type ").strip() for part in m[1].split(",") if part.strip()}
@@ -96,12 +131,18 @@ def scan_script(text: str) -> tuple[list[str], list[str], list[dict]]:
         kind = next((k for k in ("function", "class", "interface", "type", "enum", "const", "other") if m[k]), kind)
         if not kind:
             continue
-        name, exported = m[kind], bool(m["export"])
+        exported = bool(m["export"])
+        if kind in ("const", "other"):
+            bound = list(bound_names(code, nesting, m.end()))
+            if exported:
+                exports |= {name for _, name in bound}
+            for at, name in bound if kind == "const" else []:
+                is_async = bool(re.match(r"[^=;\n]*=\s*async\b", code[at + len(name) :]))
+                symbols.append({"name": name, "kind": kind, "line": text.count("\n", 0, at) + 1, "exported": exported, "is_async": is_async})
+            continue
+        name, is_async = m[kind], bool(m["async"])
         if exported and not m["default"]:
             exports.add(name)
-        if kind == "other":
-            continue
-        is_async = bool(m["async"]) or kind == "const" and bool(re.match(r"[^=;\n]*=\s*async\b", code[m.end() :]))
         symbols.append({"name": name, "kind": kind, "line": text.count("\n", 0, m.start()) + 1, "exported": exported, "is_async": is_async})
         if kind == "class" and (opening := code.find("{", m.end())) >= 0:
             inner = nesting[opening] + 1

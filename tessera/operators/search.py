@@ -22,13 +22,23 @@ def confidence(score: Column) -> Column:
 def set_similarity(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
     """(left_id, terms), (right_id, terms) of distinct terms to pairs with a Jaccard similarity of at least ``least``.
 
-    Terms of the right side are joined by equality; the right side should be the smaller one.
+    Terms are ordered the longest first, as long terms are mostly rare. Of n terms two similar sets share at least
+    least * n, so both hold one of the other's among the first n - ceil(least * n) + 1: only these are joined, sets whose
+    sizes alone rule a pair out are left, and whole sets are compared for the pairs that remain.
     """
-    a = left.select("left_id", F.size("terms").alias("n"), F.explode("terms").alias("term"))
-    b = right.select("right_id", F.size("terms").alias("m"), F.explode("terms").alias("term"))
-    both = a.join(b, "term").groupBy("left_id", "right_id", "n", "m").agg(F.count("*").alias("both"))
-    similarity = F.col("both") / (F.col("n") + F.col("m") - F.col("both"))
-    return both.withColumn("similarity", similarity).filter(F.col("similarity") >= least).select("left_id", "right_id", "similarity")
+
+    def first(df: DataFrame, id_col: str, size: str) -> DataFrame:
+        n = F.size("terms")
+        ordered = F.array_sort(F.transform("terms", lambda t: F.struct((-F.length(t)).alias("k"), t.alias("t"))))
+        head = F.slice(ordered, F.lit(1), (n - F.ceil(n * least - 1e-9) + 1).cast("int"))
+        return df.filter(n > 0).select(id_col, n.alias(size), F.explode(head).alias("x")).select(id_col, size, F.col("x.t").alias("term"))
+
+    fits = (F.col("n") >= F.col("m") * least - 1e-9) & (F.col("m") >= F.col("n") * least - 1e-9)
+    pairs = first(left, "left_id", "n").join(first(right, "right_id", "m"), "term").filter(fits).select("left_id", "right_id").distinct()
+    whole = pairs.join(left.select("left_id", F.col("terms").alias("a")), "left_id").join(right.select("right_id", F.col("terms").alias("b")), "right_id")
+    both = F.size(F.array_intersect("a", "b"))
+    similarity = both / (F.size("a") + F.size("b") - both)
+    return whole.select("left_id", "right_id", similarity.alias("similarity")).filter(F.col("similarity") >= least)
 
 
 def signals(rows: DataFrame, key: str, value: Column, table: list[tuple[str, str, int]], high: int) -> DataFrame:

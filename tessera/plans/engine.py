@@ -71,11 +71,12 @@ def analyse(files: DataFrame) -> Analysis:
 def routes(files: DataFrame, edges: DataFrame) -> DataFrame:
     """Routes of every project under the frameworks that it uses."""
     used = detectors.frameworks(files).select("project_id", F.explode(F.array_compact(F.array("frontend", "backend"))).alias("framework"))
+    used = graph.written(used)
 
     def of(framework: str) -> DataFrame:
         return files.join(used.filter(F.col("framework") == framework), "project_id", "left_semi")
 
-    found = detectors.express_routes(of("express"), edges)
+    found = detectors.express_routes(of("express"), edges).unionByName(detectors.fastify_routes(of("fastify"), edges)).unionByName(detectors.nest_routes(of("nestjs")))
     for framework in ("nextjs", "astro", "nuxt", "sveltekit"):
         found = found.unionByName(detectors.page_routes(of(framework), framework))
     return found

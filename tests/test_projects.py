@@ -1,5 +1,6 @@
 """Source projects with literal expectations."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import paths, text
@@ -220,3 +221,68 @@ def test_other_routes_and_metadata(spark):
     ]
     pages = spark.createDataFrame([("p", "/quran", "a", "page"), ("p", "/quran/x", "b", "page"), ("p", "/", "c", "page"), ("p", "/[id]", "d", "page"), ("p", "/login", "e", "page")], "project_id string, route string, file string, kind string")
     assert rows(detectors.page_features(pages), "segment", "files") == [("quran", ["a", "b"])]
+
+
+def test_mounts_are_resolved_by_name(spark):
+    two = {
+        "package.json": '{"dependencies": {"express": "1"}}',
+        "src/server.ts": 'import { usersRouter } from "./users.js";\nimport { postsRouter } from "./posts.js";\napp.use("/users", usersRouter);\napp.use("/posts", postsRouter);\napp.use("/static", serve);\napp.get("/health", ok);\n',
+        "src/users.ts": 'export const usersRouter = Router();\nusersRouter.get("/", list);\nusersRouter.post("/:id", add);\n',
+        "src/posts.ts": 'export const postsRouter = Router();\npostsRouter.get("/", list);\n',
+        "src/client.ts": 'apiRouter.get("/elsewhere", x);\n',
+    }
+    files = tree.from_rows(spark, "two", two)
+    found = engine.analyse(files)
+    assert rows(engine.routes(files, found.edges), "route", "file", "methods") == [
+        ("/health", "src/server.ts", ["GET"]), ("/posts", "src/server.ts", ["GET"]), ("/static", "src/server.ts", ["USE"]), ("/users", "src/server.ts", ["GET"]), ("/users/:id", "src/server.ts", ["POST"]),
+    ]
+
+
+def test_every_backend_has_routes(spark):
+    fast = {
+        "package.json": '{"dependencies": {"fastify": "5"}}',
+        "src/server.ts": 'import payments from "./plugins/payments.js";\nconst app = Fastify();\napp.get("/health", ok);\napp.route({ method: \'PUT\', url: \'/users/:id\', handler: x });\napp.register(payments, { prefix: \'/api/payments\' });\n',
+        "src/plugins/payments.ts": 'export default async function payments(fastify) {\n  fastify.get("/", x);\n  fastify.get("/:id", y);\n}\n',
+    }
+    nest = {"package.json": '{"dependencies": {"@nestjs/core": "1"}}', "src/users.controller.ts": '@Controller("users")\nexport class Users {\n  @Get(":id") one() {}\n}\n'}
+    files = tree.from_rows(spark, "fast", fast).unionByName(tree.from_rows(spark, "nest", nest))
+    assert rows(engine.routes(files, engine.analyse(files).edges), "project_id", "route", "file", "methods") == [
+        ("fast", "/api/payments", "src/server.ts", ["GET"]), ("fast", "/api/payments/:id", "src/server.ts", ["GET"]), ("fast", "/health", "src/server.ts", ["GET"]),
+        ("fast", "/users/:id", "src/server.ts", ["PUT"]), ("nest", "/users/:id", "src/users.controller.ts", ["GET"]),
+    ]
+
+
+def test_sql_strings_only(spark):
+    code = {
+        "src/db.ts": 'import { DatabaseSync } from "node:sqlite";\n/* SELECT * FROM comments */ const a = "update your profile"; const b = "select a file from this page";\n',
+        "src/run.ts": "// don't: SELECT * FROM notes\nq('SELECT 1 FROM schema_migrations'); q(`WITH x AS (SELECT * FROM order_items) SELECT 1`); q(`SELECT * FROM ${t}`); q(\"Update DevMap now\");\n",
+        "test/run.test.ts": 'q("SELECT * FROM widgets");',
+    }
+    assert rows(entities.sql_tables(tree.from_rows(spark, "s", code)), "entity", "files") == [("Order_item", ["src/run.ts"])]
+
+
+def test_bindings_and_strings():
+    text = """export const { GET, POST: post = 1, ...rest } = handlers
+export const a = 1, b = async () => { const inner = 2, other = 3 }, [c, d] = pair;
+export let e = 1
+const f = x
+  .map(y)
+import real from "./real";
+const s = `import a from "./fake"`, t = "require('./nope')"
+const r = require("./needed")
+"""
+    imports, exports, symbols = parsing.scan_script(text)
+    assert imports == ["./real", "./needed"]
+    assert exports == ["GET", "a", "b", "c", "d", "e", "post", "rest"]
+    assert [(s["name"], s["line"], s["is_async"]) for s in symbols] == [
+        ("GET", 1, False), ("post", 1, False), ("rest", 1, False), ("a", 2, False), ("b", 2, True), ("c", 2, False), ("d", 2, False), ("f", 4, False), ("s", 7, False), ("t", 7, False), ("r", 8, False),
+    ]
+
+
+def test_distances_are_whole_or_an_error(spark):
+    chain = spark.createDataFrame([("p", str(i), str(i + 1)) for i in range(4)] + [("p", "4", "0")], "project_id string, src string, dst string")
+    seeds = spark.createDataFrame([("p", "0")], "project_id string, path string")
+    assert rows(graph.distances(chain, seeds), "path", "distance") == [(str(i), i) for i in range(5)]
+    assert graph.distances(chain, seeds, most=4).count() == 5
+    with pytest.raises(RuntimeError):
+        graph.distances(chain, seeds, most=3)
