@@ -6,11 +6,14 @@ import re
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word is a run of characters other than space, tab, line feed, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
+#: 64-bit words of a bitmap of hashes (8 MB).
+BITMAP_WORDS = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -48,3 +51,18 @@ def word_count(text: Column) -> Column:
 def fold(id_col: Column, n: int) -> Column:
     """crc32 of the id's decimal text, modulo n; a null id takes part as the empty text."""
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % n
+
+
+def bitmap(hashes: DataFrame) -> np.ndarray:
+    """hashes(h) as bits of an array of fixed size: a hash that was not given may seem to be there, none is missed."""
+    at = F.shiftrightunsigned("h", 6).bitwiseAND(F.lit(BITMAP_WORDS - 1))
+    words = hashes.groupBy(at.alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 AS int))")).alias("bits")).toArrow()
+    out = np.zeros(BITMAP_WORDS, np.uint64)
+    out[words["w"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
+    return out
+
+
+def in_bitmap(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Whether each of the signed 64-bit hashes may be among those that the bitmap was made of."""
+    x = hashes.view(np.uint64)
+    return (bits[(x >> np.uint64(6)) & np.uint64(BITMAP_WORDS - 1)] >> (x & np.uint64(63)) & np.uint64(1)).astype(bool)
