@@ -112,6 +112,26 @@ def owned(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     return reached.join(foreign, ["project_id", "path"], "left_anti").unionByName(seeds.select("project_id", "path")).distinct()
 
 
+def owned_by_name(edges: DataFrame, seeds: DataFrame, most: int = 1_000) -> DataFrame:
+    """seeds(project_id, name, path) to (project_id, name, path): as owned, for the seeds of each name by themselves."""
+    links = written(edges.select("project_id", "src", "dst").distinct())
+    own = written(seeds.select("project_id", "name", "path").distinct())
+    front, reached = own, own
+    for _ in range(most + 1):
+        edge = front.select("project_id", "name", F.col("path").alias("src"))
+        more = links.join(edge, ["project_id", "src"]).select("project_id", "name", F.col("dst").alias("path")).distinct()
+        front = written(more.join(reached, ["project_id", "name", "path"], "left_anti"))
+        if not front.take(1):
+            break
+        reached = reached.unionByName(front)
+    else:
+        raise RuntimeError(f"paths of more than {most} edges")
+    into = reached.join(links.withColumnRenamed("dst", "path"), ["project_id", "path"])
+    inside = reached.withColumnRenamed("path", "src")
+    foreign = into.join(inside, ["project_id", "name", "src"], "left_anti").select("project_id", "name", "path").distinct()
+    return reached.join(foreign, ["project_id", "name", "path"], "left_anti").unionByName(own).distinct()
+
+
 def bounded_paths(edges: DataFrame, roots: DataFrame, depth: int, children: int = 25) -> DataFrame:
     """(project_id, root, depth, path, is_cycle, hidden): the tree below each root as paths.
 

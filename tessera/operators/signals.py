@@ -25,19 +25,24 @@ def _uses_ai() -> Column:
     return known | prefixed | F.col("content").rlike("|".join(map(re.escape, V.AI_HOSTS))) | (F.col("role") == "ai-integration")
 
 
-def feature_signals(files: DataFrame, analyses: DataFrame, most: int = 5) -> DataFrame:
-    """(project_id, ord, name, files): features with enough of their first ``most`` files by path.
-
-    Each file is exploded only to the features it shows; one literal pattern a feature is compiled once a task.
-    """
+def shown(files: DataFrame, analyses: DataFrame) -> DataFrame:
+    """(project_id, path, ord): each file with the features that its path, imports or contents show."""
     own = files.select("project_id", "path", "content", paths.role(F.col("path")).alias("role"))
     own = own.filter(~F.col("role").isin("test", "documentation", "config") & paths.is_production(F.col("path")))
     seen = own.join(analyses.select("project_id", "path", "imports"), ["project_id", "path"]).withColumn("all", F.lower(F.array_join("imports", "\n")))
-    shown = []
+    found = []
     for i, (_, _, terms) in enumerate(V.FEATURES):
         hit = _uses_ai() if not terms else F.lower("path").rlike(_term_pattern(terms)) | F.col("all").rlike("|".join(map(re.escape, terms)))
-        shown.append(F.when(hit, F.lit(i)))
-    each = seen.select("project_id", "path", F.explode(F.array_compact(F.array(*shown))).alias("ord"))
+        found.append(F.when(hit, F.lit(i)))
+    return seen.select("project_id", "path", F.explode(F.array_compact(F.array(*found))).alias("ord"))
+
+
+def feature_signals(files: DataFrame, analyses: DataFrame, most: int = 5) -> DataFrame:
+    """(project_id, ord, name, files): features with enough of their first ``most`` files by path.
+
+    Each file is exploded only to the features it shows; one literal pattern a feature is compiled once a task.
+    """
+    each = shown(files, analyses)
     rank = F.row_number().over(Window.partitionBy("project_id", "ord").orderBy("path"))
     kept = each.withColumn("rank", rank).filter(F.col("rank") <= most).groupBy("project_id", "ord").agg(F.array_sort(F.collect_list("path")).alias("files"))
     at = F.col("ord") + 1

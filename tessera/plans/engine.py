@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import paths, text
-from ..operators import detectors, entities, graph, parsing, ranking
+from ..operators import detectors, entities, feature_list, graph, parsing, ranking
 
 CRITICAL = 10
 
@@ -80,3 +80,8 @@ def routes(files: DataFrame, edges: DataFrame) -> DataFrame:
     for framework in ("nextjs", "astro", "nuxt", "sveltekit"):
         found = found.unionByName(detectors.page_routes(of(framework), framework))
     return found
+
+
+def features(files: DataFrame, found: Analysis, routed: DataFrame) -> DataFrame:
+    """The merged feature list of every project; routed are its routes."""
+    return feature_list.detect(files, found.analyses, found.edges, routed, found.fields, found.entry_points)
