@@ -59,6 +59,17 @@ PART_OF = r"(Item|Entry|Detail|Line|Row|Part|Step|Variant|Option)\z"
 AUTH_TERMS = ["auth", "authentication", "login", "session", "jwt", "next-auth"]
 # Page folders that name no feature.
 NO_PAGE = ["auth", "oauth", "callback", "api", "static", "assets", "public"]
+# How client routers pair a path with a component: elements, objects, lazy imports, and a map of hash routes.
+CLIENT_ROUTES = [
+    r"<Route\s+[^>]*?path=[\"'`]([^\"'`]+)[\"'`][^>]*?element=\{<(\w+)",
+    r"<Route\s+[^>]*?path=[\"'`]([^\"'`]+)[\"'`][^>]*?component=\{?(\w+)",
+    r"\{\s*path:\s*[\"'`]([^\"'`]+)[\"'`][^}]*?element:\s*<(\w+)",
+    r"\{\s*path:\s*[\"'`]([^\"'`]+)[\"'`][^}]*?Component:\s*(\w+)",
+    r"\{\s*path:\s*[\"'`]([^\"'`]+)[\"'`][^}]*?component:\s*(\w+)\s*[,}]",
+]
+LAZY_ROUTE = r"\{\s*path:\s*[\"'`]([^\"'`]+)[\"'`][^}]*?component:\s*\(\)\s*=>\s*import\(\s*[\"'`]([^\"'`]+)[\"'`]\s*\)"
+HASH_ROUTE = r"[\"'`](/[^\"'`]*)[\"'`]\s*:\s*(\w+)"
+HASH_ROUTER = r"from\s+[\"']svelte-spa-router[\"']|require\(\s*[\"']svelte-spa-router[\"']\s*\)"
 PARTS = ["project_id", "part", "at", "name", "purpose", "files", "entry_points", "search_terms", "confidence"]
 UNICODE = "path COLLATE UNICODE"
 
@@ -210,22 +221,53 @@ def by_entity(files: DataFrame, fields: DataFrame, tables: DataFrame, most: int
     )
 
 
-def by_page(routes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Page routes by their first fixed folder, with all files that only these pages reach."""
+def _by_segment(pages: DataFrame, edges: DataFrame, part: int, noun: str, counted: str, dynamic: str) -> DataFrame:
+    """pages(project_id, route, path) by the first folder of the route, with all files that only these pages reach."""
     segment = F.try_element_at(F.filter(F.split("route", "/"), lambda s: s != ""), F.lit(1))
-    pages = routes.filter("kind = 'page'").withColumn("name", segment).filter(F.col("name").isNotNull() & ~F.startswith("name", F.lit("[")) & ~F.lower("name").isin(NO_PAGE))
-    pages = graph.written(pages.select("project_id", "name", "route", F.col("file").alias("path")))
+    pages = pages.withColumn("name", segment).filter(F.col("name").isNotNull() & ~F.col("name").rlike(dynamic) & ~F.lower("name").isin(NO_PAGE))
+    pages = graph.written(pages.select("project_id", "name", "route", "path"))
     own = graph.owned_by_name(edges, pages).groupBy("project_id", "name").agg(F.array_sort(F.collect_set("path")).alias("files"))
-    seeds = pages.groupBy("project_id", "name").agg(F.array_sort(F.collect_set("path")).alias("seeds"), F.count_distinct("route").alias("n"))
+    seeds = pages.groupBy("project_id", "name").agg(F.array_sort(F.collect_set("path")).alias("seeds"), F.count_distinct(counted).alias("n"))
     one = text.entity_name(F.col("name"))
-    purpose = F.concat(F.lit("Frontend page"), F.when(F.col("n") > 1, "s").otherwise(""), F.lit(' under "'), "name", F.lit('".'))
+    purpose = F.concat(F.lit(noun), F.when(F.col("n") > 1, "s").otherwise(""), F.lit(' under "'), "name", F.lit('".'))
     at = F.row_number().over(Window.partitionBy("project_id").orderBy("name"))
     return own.join(seeds, ["project_id", "name"]).select(
-        "project_id", F.lit(4).alias("part"), at.alias("at"), one.alias("name"), purpose.alias("purpose"), "files", F.slice("seeds", 1, 2).alias("entry_points"),
+        "project_id", F.lit(part).alias("part"), at.alias("at"), one.alias("name"), purpose.alias("purpose"), "files", F.slice("seeds", 1, 2).alias("entry_points"),
         F.array_distinct(F.array(F.lower("name"), F.lower(one))).alias("search_terms"), F.lit("medium").alias("confidence"),
     )
 
 
+def by_page(routes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Features of page routes; folders in brackets name none."""
+    pages = routes.filter("kind = 'page'").select("project_id", "route", F.col("file").alias("path"))
+    return _by_segment(pages, edges, 4, "Frontend page", "route", r"^\[")
+
+
+def client_routes(files: DataFrame, edges: DataFrame) -> DataFrame:
+    """(project_id, route, path): routes that scripts declare for a component, with the component's file.
+
+    A named component is the imported file of that name; a lazily imported one is found as any import is.
+    """
+    own = files.filter(paths.is_production(F.col("path"))).select("project_id", F.col("path").alias("src"), "content")
+    pairs = [F.arrays_zip(F.regexp_extract_all("content", F.lit(p), 1).alias("route"), F.regexp_extract_all("content", F.lit(p), 2).alias("target")) for p in CLIENT_ROUTES]
+    hash_map = F.arrays_zip(F.regexp_extract_all("content", F.lit(HASH_ROUTE), 1).alias("route"), F.regexp_extract_all("content", F.lit(HASH_ROUTE), 2).alias("target"))
+    pairs.append(F.when(F.col("content").rlike(HASH_ROUTER), hash_map).otherwise(F.slice(hash_map, 1, 0)))
+    named = own.select("project_id", "src", F.explode(F.concat(*pairs)).alias("c")).select("project_id", "src", "c.route", F.lower("c.target").alias("target"))
+    stem = F.lower(F.regexp_replace(paths.file_name(F.col("dst")), r"\.[^/.]+$", ""))
+    imported = edges.select("project_id", "src", "ord", "dst", stem.alias("target"))
+    by_name = named.join(imported, ["project_id", "src", "target"]).groupBy("project_id", "src", "route", "target").agg(F.min_by("dst", F.struct("ord", "dst")).alias("path"))
+    lazy = F.arrays_zip(F.regexp_extract_all("content", F.lit(LAZY_ROUTE), 1).alias("route"), F.regexp_extract_all("content", F.lit(LAZY_ROUTE), 2).alias("specifier"))
+    late = own.select("project_id", F.col("src").alias("path"), F.posexplode(lazy).alias("ord", "c")).select("project_id", "path", "ord", "c.route", "c.specifier")
+    found = graph.resolve_imports(files.select("project_id", "path"), late.select("project_id", "path", "ord", "specifier"))
+    by_file = late.withColumnRenamed("path", "src").join(found.select("project_id", "src", "ord", "dst"), ["project_id", "src", "ord"])
+    return by_name.select("project_id", "route", "path").unionByName(by_file.select("project_id", "route", F.col("dst").alias("path"))).distinct()
+
+
+def by_client_route(files: DataFrame, edges: DataFrame) -> DataFrame:
+    """Features of routes that the browser resolves; parameters and wildcards name none."""
+    return _by_segment(client_routes(files, edges), edges, 5, "Client-side route", "path", r"^[:*]")
+
+
 def auth_files(files: DataFrame, analyses: DataFrame) -> DataFrame:
     """(project_id, path, priority, confidence) of files that have a part in authentication."""
     path, role = F.col("path"), paths.role(F.col("path"))
@@ -281,7 +323,7 @@ def detect(files: DataFrame, analyses: DataFrame, edges: DataFrame, routes: Data
     tables = entities.sql_tables(files)
     names = fields.select("project_id", "entity").unionByName(tables.select("project_id", "entity")).distinct()
     every = by_role(files, analyses).select(PARTS)
-    for more in (by_signal(files, analyses), by_capability(capabilities(routes, names)), by_entity(files, fields, tables), by_page(routes, edges)):
+    for more in (by_signal(files, analyses), by_capability(capabilities(routes, names)), by_entity(files, fields, tables), by_page(routes, edges), by_client_route(files, edges)):
         every = every.unionByName(more.select(PARTS))
     terms = F.array_distinct(F.transform("search_terms", lambda t: F.lower(t)))
     ready = every.withColumn("search_terms", terms).withColumn("ord", F.col("part") * 1_000_000 + F.col("at")).withColumn("evidence", F.col("files"))

@@ -110,3 +110,20 @@ def test_owned_by_name(spark):
     seeds = spark.createDataFrame([("p", "one", "a"), ("p", "two", "b"), ("p", "two", "b")], "project_id string, name string, path string")
     got = sorted((r["name"], r["path"]) for r in graph.owned_by_name(edges, seeds).collect())
     assert got == [("one", "a"), ("one", "x"), ("one", "y"), ("two", "b")]
+
+
+def test_client_routes(spark):
+    spa = {
+        "src/App.tsx": 'import QuranPage from "./QuranPage.js";\nimport Doa from "./Doa.js";\nexport const r = <><Route path="/quran/:id" element={<QuranPage />} /><Route path="/:id" element={<Doa />} /></>;\n',
+        "src/router.ts": 'import Doa from "./Doa.js";\nexport const routes = [{ path: "/doa", component: Doa }, { path: "/about", component: () => import("./views/About.vue") }, { path: "/gone", component: Gone }];\n',
+        "src/hash.ts": 'import { wrap } from "svelte-spa-router";\nimport Doa from "./Doa.js";\nexport default { "/prayers": Doa };\n',
+        "src/plain.ts": 'import Doa from "./Doa.js";\nexport default { "/never": Doa };\n',
+        "src/QuranPage.tsx": "export default 1;\n", "src/Doa.tsx": "export default 1;\n", "src/views/About.vue": "<script>export default {}</script>\n",
+    }
+    files = tree.from_rows(spark, "spa", spa)
+    found = engine.analyse(files)
+    got = sorted((r["route"], r["path"]) for r in feature_list.client_routes(files, found.edges).collect())
+    assert got == [("/:id", "src/Doa.tsx"), ("/about", "src/views/About.vue"), ("/doa", "src/Doa.tsx"), ("/prayers", "src/Doa.tsx"), ("/quran/:id", "src/QuranPage.tsx")]
+    told = {r["name"]: (r["purpose"], r["files"], r["search_terms"]) for r in feature_list.by_client_route(files, found.edges).collect()}
+    assert told["Quran"] == ('Client-side route under "quran".', ["src/QuranPage.tsx"], ["quran"])
+    assert set(told) == {"About", "Doa", "Prayer", "Quran"}
