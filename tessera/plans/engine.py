@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import paths, text
+from ..functions import evidence, paths, text
 from ..operators import detectors, entities, feature_list, graph, parsing, ranking
 
 CRITICAL = 10
@@ -59,8 +59,11 @@ def analyse(files: DataFrame) -> Analysis:
     references = graph.reference_counts(edges)
     entries = graph.entry_points(meta, edges)
     index = meta.join(references, ["project_id", "path"], "left").join(parsed.select("project_id", "path", "exports", "top_functions", "confidence"), ["project_id", "path"])
+    targets = edges.groupBy("project_id", F.col("src").alias("path")).agg(F.array_sort(F.collect_set("dst")).alias("targets"))
+    index = index.join(targets, ["project_id", "path"], "left")
+    scope = evidence.scope(F.col("path"), F.col("exports"), F.coalesce("targets", F.array().cast("array<string>")))
     names = F.array_join("exports", " ")
-    index = index.select("project_id", "path", "lines", "hash", F.coalesce("refs", F.lit(0)).alias("refs"), paths.role(F.col("path")).alias("role"), paths.tier(F.col("path")).alias("tier"),
+    index = index.select("project_id", "path", "lines", "hash", F.coalesce("refs", F.lit(0)).alias("refs"), paths.role(F.col("path")).alias("role"), paths.tier(F.col("path")).alias("tier"), scope.alias("scope"),
                          paths.entry_rank(F.col("path")).alias("entry_rank"), text.search_terms(F.col("path"), names, F.array_join(F.col("top_functions.name"), " ")).alias("search_terms"), "exports", "confidence")
     return Analysis(
         parsed, edges, references, entries, critical_files(meta, references, entries), index, detectors.frameworks(files), detectors.database(files),

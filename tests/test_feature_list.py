@@ -54,6 +54,12 @@ def test_feature_list(shop):
     assert order["purpose"].startswith("Handles create, read, update, and delete operations for Order")
 
 
+def test_scopes_of_the_index(shop):
+    _, found, _ = shop
+    told = {r["path"]: r["scope"] for r in found.file_index.collect()}
+    assert (told["app/api/orders/route.ts"], told["lib/log.ts"], told["prisma/schema.prisma"], told["README.md"], told["src/index.ts"]) == ("api", "service", "database", "docs", "unknown")
+
+
 def test_low_evidence_is_never_high(spark):
     rows = tree.from_rows(spark, "low", {"package.json": '{"name": "low"}', "docs.md": "x", "README.md": "y"})
     found = engine.analyse(rows)
