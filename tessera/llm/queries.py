@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, language_id, mixing, multiset_hash, ngram_lm, simhash, token_count, training_order, voronoi_topk
+from . import bpe, chat, divergence, language_id, mixing, multiset_hash, ngram_lm, simhash, token_count, training_order, voronoi_topk
 from .common import fold, table
 
 
@@ -198,6 +198,44 @@ WITH RECURSIVE sized AS (
 SELECT doc_id, size, source_size, target, (size * copies)::BIGINT AS taken, copies::BIGINT AS copies, source FROM counted
 """
 
+
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pair of a language's sources, and the terms that a source uses more than its language."""
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = r"""
+WITH docs AS (
+    SELECT row_number() OVER () AS d, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+        regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+    FROM documents
+), words AS (
+    SELECT d, lang, source, unnest(terms) AS term FROM docs
+), kept AS (
+    SELECT lang, term, count(*)::HUGEINT AS lang_count FROM words GROUP BY lang, term HAVING count(DISTINCT d) >= 30
+), counted AS (
+    SELECT lang, source, term, count(*)::HUGEINT AS count FROM words SEMI JOIN kept USING (lang, term) GROUP BY ALL
+), groups AS (
+    SELECT lang, source, coalesce(v, 0) AS v, coalesce(lang_n, 0) AS lang_n, coalesce(n, 0) AS n
+    FROM (SELECT DISTINCT lang, source FROM docs)
+    LEFT JOIN (SELECT lang, count(*)::HUGEINT AS v, sum(lang_count)::HUGEINT AS lang_n FROM kept GROUP BY lang) USING (lang)
+    LEFT JOIN (SELECT lang, source, sum(count)::HUGEINT AS n FROM counted GROUP BY ALL) USING (lang, source)
+), shares AS (
+    SELECT g.lang, source, term, coalesce(c.count, 0) AS count,
+        1 + 1000000000 * (coalesce(c.count, 0) + 5) // (n + 5 * v) AS p, 1 + 1000000000 * (lang_count + 5) // (lang_n + 5 * v) AS q
+    FROM groups g JOIN kept USING (lang) LEFT JOIN counted c USING (lang, source, term)
+), pairs AS (
+    SELECT a.lang, a.source, 'pair' AS part, b.source AS item, 0::HUGEINT AS value FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source WHERE a.v = 0
+    UNION ALL
+    SELECT a.lang, a.source, 'pair', b.source, sum(abs(a.p - b.p)) FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), rows AS (
+    SELECT * FROM pairs UNION ALL SELECT lang, source, 'term', term, p - q FROM shares WHERE count > 0 AND p > q
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM rows
+)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM ranked WHERE part = 'pair' OR rank <= 50
+"""
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_training_order": op2_training_order,
@@ -209,5 +247,11 @@ QUERIES = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_ngram_lm": op9_ngram_lm,
     "op10_source_mixing": op10_source_mixing,
+    "op11_source_divergence": op11_source_divergence,
+}
+ORACLES = {
+    "op3_chat_formatting": OP3_SQL,
+    "op4_voronoi_topk": OP4_SQL,
+    "op10_source_mixing": OP10_SQL,
+    "op11_source_divergence": OP11_SQL,
 }
-ORACLES = {"op3_chat_formatting": OP3_SQL, "op4_voronoi_topk": OP4_SQL, "op10_source_mixing": OP10_SQL}
