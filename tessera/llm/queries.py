@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, divergence, language_id, mixing, multiset_hash, ngram_lm, simhash, token_count, training_order, voronoi_topk
+from . import bpe, chat, divergence, language_id, mixing, multiset_hash, ngram_lm, passages, simhash, token_count, training_order, voronoi_topk
 from .common import fold, table
 
 
@@ -236,6 +236,19 @@ WITH docs AS (
 SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM ranked WHERE part = 'pair' OR rank <= 50
 """
 
+
+def op12_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every whole text without the passages of 50 bytes that an earlier document holds too."""
+    left = passages.without_repeats(table(spark, sf_dir, "documents"))
+    return left.select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_training_order": op2_training_order,
@@ -248,6 +261,7 @@ QUERIES = {
     "op9_ngram_lm": op9_ngram_lm,
     "op10_source_mixing": op10_source_mixing,
     "op11_source_divergence": op11_source_divergence,
+    "op12_repeated_passages": op12_repeated_passages,
 }
 ORACLES = {
     "op3_chat_formatting": OP3_SQL,
