@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, divergence, language_id, mixing, multiset_hash, ngram_lm, passages, simhash, token_count, training_order, voronoi_topk
+from . import bpe, chat, collocations, divergence, language_id, mixing, multiset_hash, ngram_lm, passages, simhash, token_count, training_order, voronoi_topk
 from .common import fold, table
 
 
@@ -249,6 +249,43 @@ def op12_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's best phrases of two and three words."""
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = r"""
+WITH pieces AS (
+    SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (
+        SELECT coalesce(lang, 'und') AS lang,
+            unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+        FROM documents)
+), starts AS (
+    SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM pieces
+), counts AS (
+    SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*)::HUGEINT AS f
+    FROM starts, (VALUES (1), (2), (3)) AS widths(k) WHERE i + k - 1 <= len(w) GROUP BY ALL
+), totals AS (
+    SELECT lang, sum(f)::BIGINT AS n FROM counts WHERE k = 1 GROUP BY lang
+), found AS (
+    SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM counts WHERE k > 1 AND f >= 10
+), cuts AS (
+    SELECT lang, phrase, a, 1 AS cut, w[1] AS head, array_to_string(w[2:], ' ') AS tail FROM found
+    UNION ALL SELECT lang, phrase, a, 2, array_to_string(w[:2], ' '), w[3] FROM found WHERE k = 3
+), scored AS (
+    SELECT cuts.lang, cuts.phrase, a, cut, x.f AS l, y.f AS r, 1000000 * a * a // (x.f * y.f) AS score
+    FROM cuts JOIN counts x ON x.lang = cuts.lang AND x.phrase = head JOIN counts y ON y.lang = cuts.lang AND y.phrase = tail
+), lowest AS (
+    SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1
+), longer AS (
+    SELECT lang, unnest([array_to_string(w[:2], ' '), array_to_string(w[2:], ' ')]) AS phrase, a FROM found WHERE k = 3
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM lowest
+    WHERE NOT EXISTS (SELECT 1 FROM longer WHERE longer.lang = lowest.lang AND longer.phrase = lowest.phrase AND 100 * longer.a >= 50 * lowest.a)
+)
+SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_training_order": op2_training_order,
@@ -262,10 +299,12 @@ QUERIES = {
     "op10_source_mixing": op10_source_mixing,
     "op11_source_divergence": op11_source_divergence,
     "op12_repeated_passages": op12_repeated_passages,
+    "op13_phrase_collocations": op13_phrase_collocations,
 }
 ORACLES = {
     "op3_chat_formatting": OP3_SQL,
     "op4_voronoi_topk": OP4_SQL,
     "op10_source_mixing": OP10_SQL,
     "op11_source_divergence": OP11_SQL,
+    "op13_phrase_collocations": OP13_SQL,
 }
