@@ -274,14 +274,15 @@ WITH pieces AS (
     UNION ALL SELECT lang, phrase, a, 2, array_to_string(w[:2], ' '), w[3] FROM found WHERE k = 3
 ), scored AS (
     SELECT cuts.lang, cuts.phrase, a, cut, x.f AS l, y.f AS r, 1000000 * a * a // (x.f * y.f) AS score
-    FROM cuts JOIN counts x ON x.lang = cuts.lang AND x.phrase = head JOIN counts y ON y.lang = cuts.lang AND y.phrase = tail
+    FROM cuts LEFT JOIN counts x ON x.lang = cuts.lang AND x.phrase = head LEFT JOIN counts y ON y.lang = cuts.lang AND y.phrase = tail
 ), lowest AS (
     SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1
 ), longer AS (
-    SELECT lang, unnest([array_to_string(w[:2], ' '), array_to_string(w[2:], ' ')]) AS phrase, a FROM found WHERE k = 3
+    SELECT lang, phrase, max(a) AS longest
+    FROM (SELECT lang, unnest([array_to_string(w[:2], ' '), array_to_string(w[2:], ' ')]) AS phrase, a FROM found WHERE k = 3) GROUP BY ALL
 ), ranked AS (
-    SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM lowest
-    WHERE NOT EXISTS (SELECT 1 FROM longer WHERE longer.lang = lowest.lang AND longer.phrase = lowest.phrase AND 100 * longer.a >= 50 * lowest.a)
+    SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank
+    FROM lowest LEFT JOIN longer USING (lang, phrase) WHERE longest IS NULL OR 100 * longest < 50 * a
 )
 SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
 """
