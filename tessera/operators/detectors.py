@@ -220,20 +220,22 @@ def express_routes(files: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def crud(routes: DataFrame) -> DataFrame:
-    """(project_id, resource, evidence, confidence) of API routes: high with read, write and delete."""
+    """(project_id, resource, evidence, seen, confidence) of API routes: high with read, write and delete; seen is its first route."""
     segments = F.filter(_segments(F.col("route")), lambda s: ~F.startswith(s, F.lit("[")) & ~F.lower(s).isin("api", "v1", "v2", "v3"))
     resource = F.lower(F.try_element_at(segments, F.lit(1)))
     named = routes.filter("kind = 'api'").withColumn("resource", resource).filter((F.length("resource") > 2) & ~F.col("resource").isin(NO_RESOURCE))
     sums = named.groupBy("project_id", "resource").agg(
-        F.array_sort(F.collect_set("file")).alias("evidence"), *[F.bool_or(_any([F.array_contains("methods", v) for v in verbs])).alias(n)
+        F.array_sort(F.collect_set("file")).alias("evidence"), F.min(F.struct("route", "file")).alias("seen"), *[F.bool_or(_any([F.array_contains("methods", v) for v in verbs])).alias(n)
         for n, verbs in (("r", ["GET"]), ("w", ["POST", "PUT", "PATCH"]), ("d", ["DELETE"]))]
     )
-    return sums.filter("r OR w").select("project_id", "resource", "evidence", F.when(F.expr("r AND w AND d"), "high").otherwise("medium").alias("confidence"))
+    return sums.filter("r OR w").select("project_id", "resource", "evidence", "seen", F.when(F.expr("r AND w AND d"), "high").otherwise("medium").alias("confidence"))
 
 
-# Verbs of the catch-all decorator, and page folders that are no feature.
+# Verbs of the catch-all decorator.
 ALL_VERBS = ["DELETE", "GET", "HEAD", "OPTIONS", "PATCH", "POST", "PUT"]
-NO_PAGE_FEATURE = ["api", "auth", "login", "register", "signin", "signup", "logout"]
+NEST_FILE = r"\.[cm]?[jt]s\z"
+#: Comments, and strings, which may hold what looks like one.
+COMMENT = r"(\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`)|//[^\n]*|/\*[\s\S]*?\*/"
 NEST_CLASS = r"@Controller\(([^)]*)\)[\s\S]*?(?=@Controller\(|\z)"
 NEST_METHOD = r"@(Get|Post|Put|Patch|Delete|Options|Head|All)\(\s*(?:[\"'`]([^\"'`]*)[\"'`])?"
 
@@ -251,7 +253,8 @@ def _api(found: DataFrame) -> DataFrame:
 
 def nest_routes(files: DataFrame) -> DataFrame:
     """Controller prefix with each method's path; an object or no argument is the empty prefix."""
-    own = files.filter(paths.is_production(F.col("path")) & F.contains("content", F.lit("@Controller"))).select("project_id", F.col("path").alias("file"), "content")
+    scripts = files.filter(F.col("path").rlike(NEST_FILE) & F.contains("content", F.lit("@Controller")))
+    own = scripts.select("project_id", F.col("path").alias("file"), F.regexp_replace("content", COMMENT, "$1").alias("content"))
     classes = own.select("project_id", "file", F.explode(F.regexp_extract_all("content", F.lit(NEST_CLASS), 0)).alias("body"))
     prefix = F.regexp_extract(F.regexp_extract("body", NEST_CLASS, 1), r"^\s*[\"'`]([^\"'`]*)[\"'`]", 1)
     verbs, subs = (F.regexp_extract_all("body", F.lit(NEST_METHOD), i) for i in (1, 2))
@@ -294,10 +297,3 @@ def metadata(files: DataFrame) -> DataFrame:
         F.when(F.size(types) > 0, types).otherwise(F.array(F.lit("unknown"))).alias("types"),
         F.when(F.coalesce("shared", F.lit(False)) | (F.coalesce("n", F.lit(0)) > 1), "monorepo").otherwise("single-package").alias("workspace"),
     )
-
-
-def page_features(routes: DataFrame) -> DataFrame:
-    """(project_id, segment, files): page routes grouped by their first fixed folder."""
-    segment = F.try_element_at(_segments(F.col("route")), F.lit(1))
-    pages = routes.filter("kind = 'page'").withColumn("segment", segment).filter(F.col("segment").isNotNull() & ~F.startswith("segment", F.lit("[")) & ~F.lower("segment").isin(NO_PAGE_FEATURE))
-    return pages.groupBy("project_id", "segment").agg(F.array_sort(F.collect_set("file")).alias("files"))

@@ -27,17 +27,19 @@ DRIVERS = r"""(?i)(from\s+|require\(\s*)["'](""" + "|".join(CLIENTS) + r""")["']
 
 
 def prisma_fields(files: DataFrame) -> DataFrame:
-    """(project_id, entity, ord, name, type, is_list, is_optional, is_relation) of all models; the first of a name counts."""
+    """(project_id, entity, ord, name, type, is_list, is_optional, is_relation, seen) of all models; the first of a name counts.
+
+    seen (path, at) is where a model is declared."""
     schemas = files.filter(F.endswith("path", F.lit(".prisma"))).select("project_id", "path", "content")
     zipped = F.arrays_zip(F.regexp_extract_all("content", F.lit(MODEL), 1).alias("entity"), F.regexp_extract_all("content", F.lit(MODEL), 2).alias("body"))
     models = schemas.select("project_id", "path", F.posexplode(zipped).alias("at", "m")).select("project_id", F.struct("path", "at").alias("seen"), "m.entity", "m.body")
-    first = models.groupBy("project_id", "entity").agg(F.min_by("body", "seen").alias("body"))
+    first = models.groupBy("project_id", "entity").agg(F.min_by("body", "seen").alias("body"), F.min("seen").alias("seen"))
     lines = F.regexp_extract_all("body", F.lit(FIELD), 0)
-    fields = first.select("project_id", "entity", F.posexplode(lines).alias("ord", "line"))
+    fields = first.select("project_id", "entity", "seen", F.posexplode(lines).alias("ord", "line"))
     kind = F.regexp_extract("line", FIELD, 2)
     return fields.select(
         "project_id", "entity", "ord", F.regexp_extract("line", FIELD, 1).alias("name"), kind.alias("type"), (F.regexp_extract("line", FIELD, 3) != "").alias("is_list"),
-        (F.regexp_extract("line", FIELD, 4) != "").alias("is_optional"), (kind.rlike("^[A-Z]") & ~kind.isin(SCALARS)).alias("is_relation"),
+        (F.regexp_extract("line", FIELD, 4) != "").alias("is_optional"), (kind.rlike("^[A-Z]") & ~kind.isin(SCALARS)).alias("is_relation"), "seen",
     )
 
 
@@ -70,20 +72,22 @@ def graph_relations(fields: DataFrame) -> DataFrame:
 
 
 def sql_tables(files: DataFrame) -> DataFrame:
-    """(project_id, entity, files): tables in the SQL strings of production sources, if one of these imports a raw client.
+    """(project_id, entity, files, seen): tables in the SQL strings of production sources, if one of these imports a raw client.
 
     Comments, and template strings with holes, are no SQL; nor are names that begin like a sentence or a product.
     """
     code = files.filter(paths.is_production(F.col("path"))).select("project_id", "path", "extension", "content")
     active = code.filter(F.col("content").rlike(DRIVERS)).select("project_id").distinct()
     scanned = code.filter(F.col("extension").isin(".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs")).join(active, "project_id", "left_semi")
-    literals = scanned.select("project_id", "path", F.explode(F.regexp_extract_all("content", F.lit(LITERAL), 0)).alias("sql"))
+    literals = scanned.select("project_id", "path", F.posexplode(F.regexp_extract_all("content", F.lit(LITERAL), 0)).alias("at", "sql"))
     literals = literals.filter(~F.startswith("sql", F.lit("/")) & ~(F.startswith("sql", F.lit("`")) & F.contains("sql", F.lit("${"))))
     bare = F.substring(F.col("sql"), F.lit(2), F.length("sql") - 2)
     queries = literals.withColumn("sql", bare).filter(F.col("sql").rlike(r"(?i)\b(?:select|insert|update|delete|with)\b"))
-    tables = queries.select("project_id", "path", F.explode(F.regexp_extract_all("sql", F.lit(TABLE), 1)).alias("t"))
+    tables = queries.select("project_id", "path", "at", F.posexplode(F.regexp_extract_all("sql", F.lit(TABLE), 1)).alias("place", "t"))
     named = tables.filter(~F.lower("t").isin(CATALOGS + NO_TABLE) & ~F.col("t").rlike("^[A-Z][a-z]"))
-    return named.groupBy("project_id", entity_name(F.lower("t")).alias("entity")).agg(F.array_sort(F.collect_set("path")).alias("files"))
+    return named.groupBy("project_id", entity_name(F.lower("t")).alias("entity")).agg(
+        F.array_sort(F.collect_set("path")).alias("files"), F.min(F.struct("path", "at", "place")).alias("seen")
+    )
 
 
 def ownership(names: Column) -> Column:

@@ -14,41 +14,41 @@ from ..functions import evidence, paths, text
 from ..functions import vocabulary as V
 from . import detectors, entities, features, graph, ranking, signals
 
-# Fixed values: (name, role, purpose, terms) of features that files' roles alone show.
+# Names, roles and terms of features that files' roles alone show; purposes are our own words.
 ROLES = [
-    ("Documentation", "documentation", "Contains project documentation, API references, and developer guides.", ["documentation", "docs", "guide", "reference", "api", "wiki"]),
-    ("Web Landing", "landing-ui", "Contains public-facing landing page and marketing UI components.", ["web", "landing", "marketing", "hero", "ui", "homepage"]),
-    ("CLI Commands", "cli-command", "Contains CLI entry points and command handlers.", ["cli", "command", "bin", "argv", "commander", "yargs"]),
+    ("Documentation", "documentation", "Explains the project to its readers: guides, references, readme files.", ["documentation", "docs", "guide", "reference", "api", "wiki"]),
+    ("Web Landing", "landing-ui", "Presents the product to visitors: landing pages and their sections.", ["web", "landing", "marketing", "hero", "ui", "homepage"]),
+    ("CLI Commands", "cli-command", "Runs commands from a terminal: entry files and what each command does.", ["cli", "command", "bin", "argv", "commander", "yargs"]),
 ]
-# What signals' features do, where it is not said of them all.
+# What signals' features do.
 SIGNAL_PURPOSES = {
-    "Authentication": "Handles authentication, identity, sessions, login, and access control.",
-    "Payments": "Handles payment providers, billing, and transaction workflows.",
-    "File Upload": "Handles file ingestion, cloud storage, and upload providers.",
-    "Email": "Handles transactional email delivery and templates.",
-    "AI Integration": "Handles AI providers, LLM calls, prompts, and model context.",
-    "Notifications": "Handles push notifications, real-time events, and user alerts.",
-    "Caching": "Handles in-memory and distributed caching strategies.",
-    "Search": "Handles full-text search, indexing, and faceted filtering.",
-    "Background Jobs": "Handles background processing, job queues, and scheduled tasks.",
-    "Logging & Monitoring": "Handles application logging, error tracking, and observability.",
-    "Testing": "Contains test suites, mocks, and testing infrastructure.",
-    "Internationalization": "Handles multi-language support, locale routing, and translations.",
-    "Analytics": "Handles user analytics, event tracking, and product metrics.",
-    "Rate Limiting": "Handles API rate limiting and request throttling.",
-    "CMS & Content": "Handles CMS integrations and structured content management.",
+    "Authentication": "Says who a user is and what they may do.",
+    "Payments": "Takes payments and keeps track of what was billed.",
+    "File Upload": "Receives files and stores them.",
+    "Email": "Writes and sends mail.",
+    "AI Integration": "Asks language models and uses their answers.",
+    "Notifications": "Tells users that something happened.",
+    "Caching": "Keeps results at hand that are costly to get.",
+    "Search": "Finds records by words and filters.",
+    "Background Jobs": "Does work later, in queues or on a schedule.",
+    "Logging & Monitoring": "Records what the program does and what goes wrong.",
+    "Testing": "Tests the program.",
+    "Internationalization": "Speaks the user's language.",
+    "Analytics": "Measures how the product is used.",
+    "Rate Limiting": "Turns away requests that come too often.",
+    "CMS & Content": "Edits and serves structured content.",
 }
-# What capabilities do.
+# What capabilities do.
 CAPABILITY_PURPOSES = {
-    "sharing": "Handles content sharing via public links and share tokens.",
-    "collaboration": "Handles team collaboration, workspaces, and member management.",
-    "discovery": "Handles public content discovery and browsing.",
-    "publishing": "Handles content publishing and visibility management.",
-    "social": "Handles social interactions like likes, favorites, and reactions.",
-    "file-management": "Handles file uploads, storage, and media management.",
-    "real-time": "Handles real-time events, websockets, and live updates.",
-    "search": "Handles full-text search and content filtering.",
-    "reporting": "Handles usage statistics, analytics, and reporting.",
+    "sharing": "Lets others see content by a link.",
+    "collaboration": "Lets several people work in one place.",
+    "discovery": "Shows content that anyone may browse.",
+    "publishing": "Decides what content is public.",
+    "social": "Lets people react to each other's content.",
+    "file-management": "Receives and serves media files.",
+    "real-time": "Pushes changes to clients as they happen.",
+    "search": "Answers searches over the content.",
+    "reporting": "Sums up usage in figures and reports.",
 }
 # Entities of sign-in libraries and of bookkeeping, and endings of parts of another entity.
 INFRASTRUCTURE = [
@@ -124,7 +124,7 @@ def by_signal(files: DataFrame, analyses: DataFrame, most: int = 5) -> DataFrame
     each = shown.select("project_id", F.col("ord").alias("at"), placed.alias("priority"), "path")
     found = _first_files(each.join(analyses.select("project_id", "path", "confidence"), ["project_id", "path"], "left"), most)
     least, backed = _nth([n for _, n, _ in V.FEATURES], "at"), F.size(F.filter("files", _backed))
-    terms = [_strings(t or V.AI_IMPORTS) for _, _, t in V.FEATURES]
+    terms = [_strings(t or V.AI_TERMS) for _, _, t in V.FEATURES]
     return found.filter((least == 1) | (backed >= least)).select(
         "project_id", F.lit(1).alias("part"), "at", _nth([n for n, _, _ in V.FEATURES], "at").alias("name"), _nth([SIGNAL_PURPOSES[n] for n, _, _ in V.FEATURES], "at").alias("purpose"),
         "files", best_entries(F.col("files")).alias("entry_points"), _nth(terms, "at").alias("search_terms"), "confidence",
@@ -141,7 +141,7 @@ def capabilities(routes: DataFrame, names: DataFrame) -> DataFrame:
     for key, out in (("resource", "direct"), ("one", "single")):
         made = made.join(known.select("project_id", F.col("low").alias(key), F.col("entity").alias(out)), ["project_id", key], "left")
     made = made.withColumn("entity", F.coalesce("direct", "single", text.capitalise(F.col("one"))))
-    sums = made.groupBy("project_id").agg(F.array_sort(F.collect_list(F.struct("resource", "entity", "evidence"))).alias("all"), F.max(F.col("confidence") == "high").alias("full"))
+    sums = made.groupBy("project_id").agg(F.array_sort(F.collect_list(F.struct("seen", "resource", "entity", "evidence"))).alias("all"), F.max(F.col("confidence") == "high").alias("full"))
     every, files = F.array_distinct(F.col("all")["entity"]), F.array_distinct(F.flatten(F.col("all")["evidence"]))
     crud = sums.select(
         "project_id", F.lit(0).alias("at"), F.lit("crud").alias("kind"), F.concat(F.col("all")[0]["entity"], F.lit(" Management")).alias("name"), every.alias("entities"),
@@ -155,7 +155,7 @@ def capabilities(routes: DataFrame, names: DataFrame) -> DataFrame:
 def by_capability(found: DataFrame) -> DataFrame:
     """Capabilities with a file to start from, or of high confidence."""
     about = F.when(F.size("entities") > 0, F.array_join("entities", ", ")).otherwise("resources")
-    purpose = F.when(F.col("kind") == "crud", F.concat(F.lit("Handles create, read, update, and delete operations for "), about, F.lit(".")))
+    purpose = F.when(F.col("kind") == "crud", F.concat(F.lit("Reads and changes "), about, F.lit(".")))
     for kind, said in CAPABILITY_PURPOSES.items():
         purpose = purpose.when(F.col("kind") == kind, said)
     terms = F.array_distinct(F.concat(F.array("kind"), F.transform("entities", lambda e: F.lower(e))))
@@ -183,7 +183,7 @@ def _named_files(files: DataFrame, names: DataFrame, most: int = 5) -> DataFrame
 def by_entity(files: DataFrame, fields: DataFrame, tables: DataFrame, most: int = 8) -> DataFrame:
     """Entities of the schema, those with relations; or, without a schema, of tables(project_id, entity, files) in SQL.
 
-    The first ``most`` entities by name are looked at; then those drop out that belong to one other alone, and bookkeeping.
+    The first ``most`` entities in order of declaration are looked at; then those drop out that belong to one other alone, and bookkeeping.
     """
     relations = graph.written(entities.graph_relations(fields))
     many = relations.filter("kind = 'one-to-many'")
@@ -193,8 +193,10 @@ def by_entity(files: DataFrame, fields: DataFrame, tables: DataFrame, most: int
     parts = graph.written(parts)
     ends = relations.select("project_id", F.explode(F.array("src", "dst")).alias("entity")).distinct()
     of_sql = tables.join(fields.select("project_id").distinct(), "project_id", "left_anti")
-    every = ends.withColumn("prisma", F.lit(True)).unionByName(of_sql.select("project_id", "entity", F.lit(False).alias("prisma")))
-    first = ranking.top_per_project(every, most, "entity").withColumnRenamed("rank", "at")
+    declared = fields.groupBy("project_id", "entity").agg(F.min(F.struct("seen.path", "seen.at", F.lit(0).alias("place"))).alias("seen"))
+    every = ends.join(declared, ["project_id", "entity"]).withColumn("prisma", F.lit(True))
+    every = every.unionByName(of_sql.select("project_id", "entity", "seen", F.lit(False).alias("prisma")))
+    first = ranking.top_per_project(every, most, "seen", "entity").withColumnRenamed("rank", "at")
     kept = first.filter(~F.col("entity").isin(INFRASTRUCTURE)).join(parts, ["project_id", "entity"], "left_anti")
     told = relations.join(parts.withColumnRenamed("entity", "dst"), ["project_id", "dst"], "left_anti").filter(~F.col("dst").isin(INFRASTRUCTURE))
     back = relations.filter("kind = 'many-to-many'").select("project_id", F.col("dst").alias("src"), F.col("src").alias("dst"), "kind")
@@ -298,21 +300,29 @@ def with_auth(merged: DataFrame, found: DataFrame) -> DataFrame:
     return merged.filter(~mine).unionByName(rows)
 
 
-def with_entries(rows: DataFrame, analyses: DataFrame, routes: DataFrame, entry_points: DataFrame) -> DataFrame:
+def routed_imports(each: DataFrame, routes: DataFrame, edges: DataFrame) -> DataFrame:
+    """each(project_id, name, path) to (project_id, name, routed): the file of the first route that imports a feature's file."""
+    at = F.struct(F.collate("route", "UNICODE").alias("route"), F.col("file").alias("file"))
+    starts = routes.groupBy("project_id", F.col("file").alias("src")).agg(F.min(at).alias("at"))
+    used = edges.join(starts, ["project_id", "src"]).select("project_id", F.col("dst").alias("path"), "at")
+    return each.join(used, ["project_id", "path"]).groupBy("project_id", "name").agg(F.min("at").alias("at")).select("project_id", "name", F.col("at.file").alias("routed"))
+
+
+def with_entries(rows: DataFrame, analyses: DataFrame, routes: DataFrame, entry_points: DataFrame, edges: DataFrame) -> DataFrame:
     """Entry points become the feature's files that are a route's or the project's; with a file read in full beside
-    another, or an entry point, confidence is high."""
+    another, or an entry point, confidence is high. Without such a file, the first route that imports one is the entry point."""
     each = rows.select("project_id", "name", F.explode("files").alias("path"))
     starts = routes.select("project_id", F.col("file").alias("path")).unionByName(entry_points.select("project_id", "path")).distinct().withColumn("starts", F.lit(True))
     sure = analyses.filter("confidence = 'high'").select("project_id", "path", F.lit(True).alias("sure"))
     sums = each.join(starts, ["project_id", "path"], "left").join(sure, ["project_id", "path"], "left").groupBy("project_id", "name").agg(
         F.array_sort(F.collect_set(F.when(F.col("starts"), F.col("path")))).alias("related"), F.max(F.coalesce("sure", F.lit(False))).alias("sure")
     )
-    both = rows.join(sums, ["project_id", "name"], "left").withColumn("related", F.coalesce("related", F.array().cast("array<string>")))
+    both = rows.join(sums, ["project_id", "name"], "left").join(routed_imports(each, routes, edges), ["project_id", "name"], "left").withColumn("related", F.coalesce("related", F.array().cast("array<string>")))
     high = F.col("sure") & ((F.size("files") >= 2) | (F.size("related") > 0))
     api = F.try_element_at(F.filter("related", lambda f: f.rlike("(^|/)api/")), F.lit(1))
     config = F.try_element_at(F.filter("files", lambda f: evidence.auth_priority(f) == 20), F.lit(1))
     own = F.when(F.col("name") == "Authentication", F.coalesce(api, config))
-    entry = F.coalesce(own, F.try_element_at("related", F.lit(1)), F.try_element_at("files", F.lit(1)))
+    entry = F.coalesce(own, F.try_element_at("related", F.lit(1)), F.col("routed"), F.try_element_at("files", F.lit(1)))
     return both.withColumn("confidence", F.when(high, "high").otherwise(F.col("confidence"))).select(
         "project_id", "name", "purpose", "files", entry.alias("entry_point"), F.col("related").alias("entry_points"), "search_terms", "evidence", "confidence"
     )
@@ -327,5 +337,5 @@ def detect(files: DataFrame, analyses: DataFrame, edges: DataFrame, routes: Data
         every = every.unionByName(more.select(PARTS))
     terms = F.array_distinct(F.transform("search_terms", lambda t: F.lower(t)))
     ready = every.withColumn("search_terms", terms).withColumn("ord", F.col("part") * 1_000_000 + F.col("at")).withColumn("evidence", F.col("files"))
-    merged = graph.written(features.merge(ready.withColumn("business_flow", F.array().cast("array<string>"))))
-    return with_entries(graph.written(with_auth(merged, auth_files(files, analyses))), analyses, routes, entry_points)
+    merged = graph.written(features.merge(ready.withColumn("business_flow", F.array().cast("array<string>")), apart=1_000_000))
+    return with_entries(graph.written(with_auth(merged, auth_files(files, analyses))), analyses, routes, entry_points, edges)

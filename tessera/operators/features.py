@@ -79,14 +79,14 @@ def _together(old: dict, new: dict) -> dict:
     }
 
 
-def fold(rows: list[dict], threshold: float = THRESHOLD) -> list[dict]:
-    """The list after each row, in order, has joined the most similar one before it or been added."""
+def fold(rows: list[dict], threshold: float = THRESHOLD, apart: int = 0) -> list[dict]:
+    """The list after each row, in order, has joined the most similar one before it or been added; always if ord < apart."""
     merged: list[dict] = []
     known: list[tuple] = []
     for row in rows:
         own = _identity(row)
         best, at = max(((score(k, own), -i) for i, k in enumerate(known)), default=(0.0, 0))
-        if known and best >= threshold:
+        if known and best >= threshold and row["ord"] >= apart:
             merged[-at] = _together(merged[-at], row)
             known[-at] = _identity(merged[-at])
         else:
@@ -95,13 +95,15 @@ def fold(rows: list[dict], threshold: float = THRESHOLD) -> list[dict]:
     return merged
 
 
-def merge(features: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """features of FEATURE, with ord unique in a project, to the merged lists; the first name stays."""
+def merge(features: DataFrame, threshold: float = THRESHOLD, apart: int = 0) -> DataFrame:
+    """features of FEATURE, with ord unique in a project, to the merged lists; the first name stays.
+
+    Those with ord below apart begin the list as they are; later ones may join them."""
     columns = [c.split()[0] for c in FEATURE.split(", ")]
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         rows = frame.sort_values("ord").to_dict("records")
         rows = [{k: list(v) if hasattr(v, "tolist") else v for k, v in r.items()} for r in rows]
-        return pd.DataFrame(fold(rows, threshold), columns=columns)
+        return pd.DataFrame(fold(rows, threshold, apart), columns=columns)
 
     return features.select(columns).groupBy("project_id").applyInPandas(run, FEATURE)

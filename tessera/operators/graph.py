@@ -132,28 +132,28 @@ def owned_by_name(edges: DataFrame, seeds: DataFrame, most: int = 1_000) -> Data
     return reached.join(foreign, ["project_id", "name", "path"], "left_anti").unionByName(own).distinct()
 
 
-def bounded_paths(edges: DataFrame, roots: DataFrame, depth: int, children: int = 25) -> DataFrame:
-    """(project_id, root, depth, path, is_cycle, hidden): the tree below each root as paths.
+def bounded_paths(edges: DataFrame, roots: DataFrame, depth: int, children: int = 25, keys: tuple[str, ...] = ("project_id",)) -> DataFrame:
+    """(*keys, root, depth, path, is_cycle, hidden): the tree below each root as paths; keys tell graphs apart.
 
     A node that is on its own branch already closes a cycle and is not followed. Of each node's edges the first
     ``children`` by ord are shown; hidden counts the others.
     """
-    order = Window.partitionBy("project_id", "src").orderBy("ord", "dst")
-    ranked = edges.withColumn("rank", F.row_number().over(order)).withColumn("hidden", F.greatest(F.count("*").over(Window.partitionBy("project_id", "src")) - children, F.lit(0)))
-    shown = written(ranked.filter(F.col("rank") <= children).select("project_id", "src", "dst", "rank"))
-    hidden = written(ranked.select("project_id", F.col("src").alias("node"), "hidden").distinct())
-    level = roots.select("project_id", F.col("path").alias("root"), F.lit(0).alias("depth"), F.array("path").alias("path"), F.lit(False).alias("is_cycle"))
+    order = Window.partitionBy(*keys, "src").orderBy("ord", "dst")
+    ranked = edges.withColumn("rank", F.row_number().over(order)).withColumn("hidden", F.greatest(F.count("*").over(Window.partitionBy(*keys, "src")) - children, F.lit(0)))
+    shown = written(ranked.filter(F.col("rank") <= children).select(*keys, "src", "dst", "rank"))
+    hidden = written(ranked.select(*keys, F.col("src").alias("node"), "hidden").distinct())
+    level = roots.select(*keys, F.col("path").alias("root"), F.lit(0).alias("depth"), F.array("path").alias("path"), F.lit(False).alias("is_cycle"))
     found = [level]
     for step in range(1, depth + 1):
-        grown = level.filter(~F.col("is_cycle")).withColumn("src", F.element_at("path", -1)).join(shown, ["project_id", "src"])
-        level = grown.select("project_id", "root", F.lit(step).alias("depth"), F.concat("path", F.array("dst")).alias("path"), F.array_contains("path", F.col("dst")).alias("is_cycle"))
+        grown = level.filter(~F.col("is_cycle")).withColumn("src", F.element_at("path", -1)).join(shown, [*keys, "src"])
+        level = grown.select(*keys, "root", F.lit(step).alias("depth"), F.concat("path", F.array("dst")).alias("path"), F.array_contains("path", F.col("dst")).alias("is_cycle"))
         found.append(level)
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
     followed = ~F.col("is_cycle") & (F.col("depth") < depth)
-    joined = out.withColumn("node", F.element_at("path", -1)).join(hidden, ["project_id", "node"], "left")
-    return joined.select("project_id", "root", "depth", "path", "is_cycle", F.when(followed, F.coalesce("hidden", F.lit(0))).otherwise(0).alias("hidden"))
+    joined = out.withColumn("node", F.element_at("path", -1)).join(hidden, [*keys, "node"], "left")
+    return joined.select(*keys, "root", "depth", "path", "is_cycle", F.when(followed, F.coalesce("hidden", F.lit(0))).otherwise(0).alias("hidden"))
 
 
 def change_impact(edges: DataFrame, members: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import evidence, paths, text
-from ..operators import detectors, entities, feature_list, graph, parsing, ranking
+from ..operators import business_flows, detectors, entities, feature_list, graph, parsing, ranking
 
 CRITICAL = 10
 
@@ -86,5 +86,6 @@ def routes(files: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def features(files: DataFrame, found: Analysis, routed: DataFrame) -> DataFrame:
-    """The merged feature list of every project; routed are its routes."""
-    return feature_list.detect(files, found.analyses, found.edges, routed, found.fields, found.entry_points)
+    """The merged feature list of every project, each feature with its flow; routed are its routes."""
+    listed = graph.written(feature_list.detect(files, found.analyses, found.edges, routed, found.fields, found.entry_points))
+    return business_flows.with_flows(listed, files, found.edges)

@@ -219,8 +219,6 @@ def test_other_routes_and_metadata(spark):
     assert rows(told, "project_id", "name", "package_manager", "types", "workspace") == [
         ("cli", "c", "pnpm", ["node-cli"], "monorepo"), ("express", "express", "unknown", ["api-service"], "single-package"), ("next", "shop", "unknown", ["web-app"], "single-package"),
     ]
-    pages = spark.createDataFrame([("p", "/quran", "a", "page"), ("p", "/quran/x", "b", "page"), ("p", "/", "c", "page"), ("p", "/[id]", "d", "page"), ("p", "/login", "e", "page")], "project_id string, route string, file string, kind string")
-    assert rows(detectors.page_features(pages), "segment", "files") == [("quran", ["a", "b"])]
 
 
 def test_mounts_are_resolved_by_name(spark):
@@ -255,7 +253,7 @@ def test_every_backend_has_routes(spark):
 def test_sql_strings_only(spark):
     code = {
         "src/db.ts": 'import { DatabaseSync } from "node:sqlite";\n/* SELECT * FROM comments */ const a = "update your profile"; const b = "select a file from this page";\n',
-        "src/run.ts": "// don't: SELECT * FROM notes\nq('SELECT 1 FROM schema_migrations'); q(`WITH x AS (SELECT * FROM order_items) SELECT 1`); q(`SELECT * FROM ${t}`); q(\"Update DevMap now\");\n",
+        "src/run.ts": "// don't: SELECT * FROM notes\nq('SELECT 1 FROM schema_migrations'); q(`WITH x AS (SELECT * FROM order_items) SELECT 1`); q(`SELECT * FROM ${t}`); q(\"Update Acme now\");\n",
         "test/run.test.ts": 'q("SELECT * FROM widgets");',
     }
     assert rows(entities.sql_tables(tree.from_rows(spark, "s", code)), "entity", "files") == [("Order_item", ["src/run.ts"])]
