@@ -17,6 +17,7 @@ CATALOGS = [
 NO_TABLE = [
     "a", "an", "the", "this", "that", "these", "those", "your", "my", "our", "their", "his", "her", "its", "all", "any", "some", "each", "us", "you", "me", "them",
 ]
+NO_ENTITY = ["api", "v1", "v2", "v3", "public", "internal", "private", "auth", "oauth", "callback", "health", "ping", "status", "static", "assets", "files", "me", "self"]
 CLIENTS = ["pg", "pg-promise", "mysql2", "mysql2/promise", "mysql", "better-sqlite3", "sqlite3", "node:sqlite"]
 MODEL = r"(?m)^model\s+(\w+)\s*\{([\s\S]*?)\n\}"
 FIELD = r"(?m)^\s+(\w+)\s+(\w+)(\[\])?(\?)?"
@@ -90,6 +91,34 @@ def sql_tables(files: DataFrame) -> DataFrame:
     )
 
 
+def route_hints(routes: DataFrame) -> DataFrame:
+    """(project_id, entity, files, seen): what the fixed folders of API routes are named after; files is null.
+
+    Only folders in brackets count as parameters, so ":id" names an entity of its own.
+    """
+    parts = F.filter(F.split("route", "/"), lambda s: s != "")
+    each = routes.filter("kind = 'api'").select("project_id", F.col("route").alias("path"), F.posexplode(parts).alias("at", "part"))
+    named = each.filter(~F.startswith("part", F.lit("[")) & (F.length("part") > 2) & ~F.lower("part").isin(NO_ENTITY))
+    seen = F.min(F.struct("path", "at", F.lit(0).alias("place"))).alias("seen")
+    return named.groupBy("project_id", entity_name(F.col("part")).alias("entity")).agg(F.lit(None).cast("array<string>").alias("files"), seen)
+
+
+def extract(files: DataFrame, fields: DataFrame, routes: DataFrame) -> DataFrame:
+    """(project_id, source, entity, files, seen) by the first source that a project has: its schema, SQL strings, API routes.
+
+    One aggregate finds each project's source; SQL strings are only looked for in projects without a schema, routes only in
+    projects without both. A project without any has no rows.
+    """
+    none = F.lit(None).cast("array<string>").alias("files")
+    declared = F.min(F.struct("seen.path", "seen.at", F.lit(0).alias("place"))).alias("seen")
+    schema = fields.groupBy("project_id", "entity").agg(declared).select("project_id", F.lit("prisma").alias("source"), "entity", none, "seen")
+    modelled = schema.select("project_id").distinct()
+    tables = sql_tables(files.join(modelled, "project_id", "left_anti")).select("project_id", F.lit("sql").alias("source"), "entity", "files", "seen")
+    known = modelled.unionByName(tables.select("project_id")).distinct()
+    hints = route_hints(routes.join(known, "project_id", "left_anti")).select("project_id", F.lit("route-hint").alias("source"), "entity", "files", "seen")
+    return schema.unionByName(tables).unionByName(hints)
+
+
 def ownership(names: Column) -> Column:
     """How users share a project's data, from all field names as an array.
 

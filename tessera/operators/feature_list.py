@@ -180,8 +180,8 @@ def _named_files(files: DataFrame, names: DataFrame, most: int = 5) -> DataFrame
     return sums.select("project_id", "entity", F.col("f")["path"].alias("files"))
 
 
-def by_entity(files: DataFrame, fields: DataFrame, tables: DataFrame, most: int = 8) -> DataFrame:
-    """Entities of the schema, those with relations; or, without a schema, of tables(project_id, entity, files) in SQL.
+def by_entity(files: DataFrame, fields: DataFrame, others: DataFrame, most: int = 8) -> DataFrame:
+    """Entities of the schema, those with relations; or, without a schema, others(project_id, entity, files, seen).
 
     The first ``most`` entities in order of declaration are looked at; then those drop out that belong to one other alone, and bookkeeping.
     """
@@ -192,10 +192,9 @@ def by_entity(files: DataFrame, fields: DataFrame, tables: DataFrame, most: int
     parts = parents.join(children, ["project_id", "entity"], "left").filter((F.col("parents") == 1) & (F.col("owns").isNull() | F.col("entity").rlike(PART_OF))).select("project_id", "entity")
     parts = graph.written(parts)
     ends = relations.select("project_id", F.explode(F.array("src", "dst")).alias("entity")).distinct()
-    of_sql = tables.join(fields.select("project_id").distinct(), "project_id", "left_anti")
     declared = fields.groupBy("project_id", "entity").agg(F.min(F.struct("seen.path", "seen.at", F.lit(0).alias("place"))).alias("seen"))
     every = ends.join(declared, ["project_id", "entity"]).withColumn("prisma", F.lit(True))
-    every = every.unionByName(of_sql.select("project_id", "entity", "seen", F.lit(False).alias("prisma")))
+    every = every.unionByName(others.select("project_id", "entity", "seen", F.lit(False).alias("prisma")))
     first = ranking.top_per_project(every, most, "seen", "entity").withColumnRenamed("rank", "at")
     kept = first.filter(~F.col("entity").isin(INFRASTRUCTURE)).join(parts, ["project_id", "entity"], "left_anti")
     told = relations.join(parts.withColumnRenamed("entity", "dst"), ["project_id", "dst"], "left_anti").filter(~F.col("dst").isin(INFRASTRUCTURE))
@@ -207,7 +206,8 @@ def by_entity(files: DataFrame, fields: DataFrame, tables: DataFrame, most: int
     )
     sums = sums.select("project_id", "entity", F.array_distinct(F.col("o")["dst"]).alias("own"), "peers")
     none = F.array().cast("array<string>")
-    named = _named_files(files, kept.filter("prisma").select("project_id", "entity")).unionByName(of_sql.select("project_id", "entity", "files"))
+    unnamed = kept.join(others.filter("files IS NOT NULL"), ["project_id", "entity"], "left_anti").select("project_id", "entity")
+    named = _named_files(files, unnamed).unionByName(others.filter("files IS NOT NULL").select("project_id", "entity", "files"))
     rows = kept.join(sums, ["project_id", "entity"], "left").join(named, ["project_id", "entity"])
     rows = rows.withColumn("own", F.coalesce("own", none)).withColumn("peers", F.coalesce("peers", none))
     owned, peers = F.array_join("own", ", "), F.array_join("peers", ", ")
@@ -270,12 +270,12 @@ def by_client_route(files: DataFrame, edges: DataFrame) -> DataFrame:
     return _by_segment(client_routes(files, edges), edges, 5, "Client-side route", "path", r"^[:*]")
 
 
-def auth_files(files: DataFrame, analyses: DataFrame) -> DataFrame:
-    """(project_id, path, priority, confidence) of files that have a part in authentication."""
+def auth_files(files: DataFrame, analyses: DataFrame, flags: DataFrame) -> DataFrame:
+    """(project_id, path, priority, confidence) of files that have a part in authentication; flags(project_id, path, said)."""
     path, role = F.col("path"), paths.role(F.col("path"))
     scoped = files.filter(paths.is_production(path) & evidence.is_evidence(path) & ~evidence.is_analyzer(path) & ~role.isin("test", "documentation", "config", "ai-integration"))
-    both = scoped.select("project_id", "path", "content").join(analyses.select("project_id", "path", "symbols", "imports", "confidence"), ["project_id", "path"])
-    part = evidence.auth_role(path, F.col("symbols")["name"], F.col("imports"), F.col("content"))
+    both = scoped.select("project_id", "path").join(analyses.select("project_id", "path", "symbols", "imports", "confidence"), ["project_id", "path"]).join(flags, ["project_id", "path"])
+    part = evidence.auth_role(path, F.col("symbols")["name"], F.col("imports"), F.col("said"))
     return both.filter(part.isNotNull()).select("project_id", "path", evidence.auth_priority(path).alias("priority"), "confidence")
 
 
@@ -328,14 +328,13 @@ def with_entries(rows: DataFrame, analyses: DataFrame, routes: DataFrame, entry_
     )
 
 
-def detect(files: DataFrame, analyses: DataFrame, edges: DataFrame, routes: DataFrame, fields: DataFrame, entry_points: DataFrame) -> DataFrame:
+def detect(files: DataFrame, analyses: DataFrame, edges: DataFrame, routes: DataFrame, fields: DataFrame, entry_points: DataFrame, flags: DataFrame) -> DataFrame:
     """(project_id, name, purpose, files, entry_point, entry_points, search_terms, evidence, confidence) of all projects."""
-    tables = entities.sql_tables(files)
-    names = fields.select("project_id", "entity").unionByName(tables.select("project_id", "entity")).distinct()
+    found = graph.written(entities.extract(files, fields, routes))
     every = by_role(files, analyses).select(PARTS)
-    for more in (by_signal(files, analyses), by_capability(capabilities(routes, names)), by_entity(files, fields, tables), by_page(routes, edges), by_client_route(files, edges)):
+    for more in (by_signal(files, analyses), by_capability(capabilities(routes, found)), by_entity(files, fields, found.filter("source <> 'prisma'")), by_page(routes, edges), by_client_route(files, edges)):
         every = every.unionByName(more.select(PARTS))
     terms = F.array_distinct(F.transform("search_terms", lambda t: F.lower(t)))
     ready = every.withColumn("search_terms", terms).withColumn("ord", F.col("part") * 1_000_000 + F.col("at")).withColumn("evidence", F.col("files"))
     merged = graph.written(features.merge(ready.withColumn("business_flow", F.array().cast("array<string>")), apart=1_000_000))
-    return with_entries(graph.written(with_auth(merged, auth_files(files, analyses))), analyses, routes, entry_points, edges)
+    return with_entries(graph.written(with_auth(merged, auth_files(files, analyses, flags))), analyses, routes, entry_points, edges)

@@ -45,6 +45,73 @@ def similarity(a: str, b: str) -> Column:
     return parts[0] + parts[1] + parts[2] + parts[3]
 
 
+def explained(a: str, b: str, threshold: float = THRESHOLD) -> Column:
+    """Of two struct columns as for similarity: (score, threshold, similar, factors, weaknesses).
+
+    factors(name, score, weight, contribution, detail), one a part of the score; weaknesses tell of scores just below the
+    threshold and of features without files.
+    """
+    terms = {k: (normal_terms(F.col(f"{a}.{k}")), normal_terms(F.col(f"{b}.{k}"))) for k in ("search_terms", "entities")}
+    scores = {"files": text.jaccard(F.col(f"{a}.files"), F.col(f"{b}.files"))} | {k: text.jaccard(*v) for k, v in terms.items()}
+    scores["name"] = text.dice(text.trigrams(F.col(f"{a}.name")), text.trigrams(F.col(f"{b}.name")))
+
+    def detail(k: str, said: Column) -> Column:
+        x, y = F.size(F.col(f"{a}.{k}")), F.size(F.col(f"{b}.{k}"))
+        return F.when((x == 0) & (y == 0), "both empty").when((x == 0) | (y == 0), "one side empty").otherwise(said)
+
+    shared = F.size(F.filter(F.col(f"{b}.files"), lambda f: F.array_contains(F.col(f"{a}.files"), f)))
+    most = F.greatest(F.size(F.col(f"{a}.files")), F.size(F.col(f"{b}.files")))
+    said = {"files": detail("files", F.when(shared > 0, F.format_string("overlap %d/%d files", shared, most)).otherwise("overlap none"))}
+    said |= {k: detail(k, F.format_string("jaccard %.3f", scores[k])) for k in terms} | {"name": F.format_string("trigram %.3f", scores["name"])}
+    factors = [
+        F.struct(F.lit(k).alias("name"), scores[k].alias("score"), F.lit(w).alias("weight"), (scores[k] * w).alias("contribution"), said[k].alias("detail")) for k, w in WEIGHTS.items()
+    ]
+    total = similarity(a, b)
+    bare = (F.size(F.col(f"{a}.files")) == 0) | (F.size(F.col(f"{b}.files")) == 0)
+    near = (total < threshold) & (total >= threshold - 0.1)
+    weak = F.array_compact(F.array(
+        F.when(bare, "one or both sides have no files, so their overlap says little"), F.when(near, F.format_string(f"score %.3f is close to threshold {threshold}", total))
+    ))
+    return F.struct(total.alias("score"), F.lit(threshold).alias("threshold"), (total >= threshold).alias("similar"), F.array(*factors).alias("factors"), weak.alias("weaknesses"))
+
+
+def signatures(features: DataFrame) -> DataFrame:
+    """(project_id, name, files, terms, entities): what a feature is made of, each sorted and joined by bars, for storing."""
+    kinds = {"files": F.col("files"), "terms": normal_terms(F.col("search_terms")), "entities": normal_terms(entities(F.col("name"), F.col("search_terms")))}
+    return features.select("project_id", "name", *[F.array_join(F.array_sort(v), "|").alias(k) for k, v in kinds.items()])
+
+
+def signature_similarity(a: str, b: str) -> Column:
+    """Of two structs of signatures: as similarity without names, their weight shared out over the rest."""
+    def part(x: str, k: str) -> Column:
+        return F.filter(F.split(F.col(f"{x}.{k}"), r"\|"), lambda t: t != "")
+
+    weights = {"files": WEIGHTS["files"], "terms": WEIGHTS["search_terms"], "entities": WEIGHTS["entities"]}
+    scores = [text.jaccard(part(a, k), part(b, k)) * (w / (1 - WEIGHTS["name"])) for k, w in weights.items()]
+    return scores[0] + scores[1] + scores[2]
+
+
+def followed(before: DataFrame, after: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Signatures of two analyses to (project_id, name, was, score): the feature that each one was before, the most similar one.
+
+    Only features that share a file, term or entity are held against each other; was is null for new ones.
+    """
+    def parts(df: DataFrame, name: str) -> DataFrame:
+        def marked(kind: str) -> Column:
+            return F.transform(F.filter(F.split(kind, r"\|"), lambda t: t != ""), lambda t: F.concat(F.lit(f"{kind}:"), t))
+
+        tagged = F.concat(*map(marked, ("files", "terms", "entities")))
+        return df.select("project_id", F.col("name").alias(name), F.explode(F.array_distinct(tagged)).alias("part"))
+
+    pairs = parts(after, "name").join(parts(before, "was"), ["project_id", "part"]).select("project_id", "name", "was").distinct()
+    a = after.select("project_id", "name", F.struct("files", "terms", "entities").alias("a"))
+    b = before.select("project_id", F.col("name").alias("was"), F.struct("files", "terms", "entities").alias("b"))
+    scored = pairs.join(a, ["project_id", "name"]).join(b, ["project_id", "was"]).withColumn("score", signature_similarity("a", "b")).filter(F.col("score") >= threshold)
+    best = scored.groupBy("project_id", "name").agg(F.min(F.struct((-F.col("score")).alias("s"), "was")).alias("m"))
+    joined = after.select("project_id", "name").join(best, ["project_id", "name"], "left")
+    return joined.select("project_id", "name", F.col("m.was").alias("was"), (-F.col("m.s")).alias("score"))
+
+
 def _jaccard(a: set, b: set) -> float:
     return 1.0 if not a and not b else len(a & b) / len(a | b)
 

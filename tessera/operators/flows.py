@@ -43,10 +43,10 @@ def request_flows(routes: DataFrame, edges: DataFrame, most: int | None = 5) ->
     return flows.select("project_id", F.concat(F.lit("Request "), "route").alias("name"), paths.alias("steps"), F.when(F.size(paths) > 1, "high").otherwise("medium").alias("confidence"))
 
 
-def importance(refs: Column, critical: Column, features: Column, is_entry: Column, path: Column) -> Column:
-    """0 to 100: references, critical score, features, entry points and conventional names."""
+def importance(refs: Column, critical: Column, features: Column, is_entry: Column, path: Column, semantic: Column) -> Column:
+    """0 to 100: references, critical score, number of features, entry points, conventional names, semantic points."""
     named = path.rlike(r"(^|/)(index|main|app|server|layout|page|route)\.")
-    score = refs * 10 + critical * 5 + features * 8 + F.when(is_entry, 20).otherwise(0) + F.when(named, 5).otherwise(0) + F.when(features > 0, 20).otherwise(0)
+    score = refs * 10 + critical * 5 + features * 8 + F.when(is_entry, 20).otherwise(0) + F.when(named, 5).otherwise(0) + semantic
     return F.least(F.lit(100), score)
 
 

@@ -1,6 +1,6 @@
 """All queries of the library by name, with their SQL."""
 
-from . import tables
+from . import project_tables, tables
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "tables"]
+__all__ = ["ORACLES", "QUERIES", "project_tables", "tables"]

@@ -96,7 +96,7 @@ def test_path_rules(spark):
         ],
         "path string, symbols array<string>, imports array<string>, content string",
     )
-    got = [r[0] for r in cases.select(evidence.auth_role(*map(F.col, cases.columns))).collect()]
+    got = [r[0] for r in cases.select(evidence.auth_role(*map(F.col, cases.columns[:3]), evidence.said(F.col("content")))).collect()]
     assert got == ["auth-config", "guard", "provider", "consumer", None, "auth-config", None, None]
     scopes = spark.createDataFrame(
         [

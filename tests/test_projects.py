@@ -185,7 +185,7 @@ def test_flows_and_reading_path(spark):
     routed = engine.routes(files, found.edges)
     got = rows(flows.request_flows(routed, found.edges), "name", "steps", "confidence")
     assert ("Request /api/session", ["app/api/session/route.ts", "lib/auth.ts", "lib/db.ts"], "high") in got
-    ranked = found.file_index.withColumn("importance", flows.importance(F.col("refs"), F.lit(0), F.lit(0), F.lit(False), F.col("path")))
+    ranked = found.file_index.withColumn("importance", flows.importance(F.col("refs"), F.lit(0), F.lit(0), F.lit(False), F.col("path"), F.lit(0)))
     read = flows.reading_path(files, found.entry_points, found.critical_files, ranked).filter("project_id = 'next'").orderBy("place").collect()
     assert read[0]["path"] == "package.json" and len({r["path"] for r in read}) == len(read) <= 12
 
