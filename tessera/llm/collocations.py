@@ -29,6 +29,11 @@ LEAST, TOP, SCALE = 10, 2000, 1_000_000
 ABSORBED = 50
 #: Entries a task holds; entries of a container that bursts; bytes split into words at a time; words a task knows by id.
 HELD, BURST, PART, KNOWN = 1_000_000, 4096, 1 << 20, 1_000_000
+#: Phrases that a trie takes at a time; bits of a word's id: KNOWN and the words of one part stay below.
+BATCH, _BITS = 200_000, 21
+#: Rows that runs leave a task in.
+RUN_ROWS = 50_000
+_LAST = (1 << _BITS) - 1
 
 #: A-Z lower-cased, a piece's end to a full stop, tab to space; a full stop is then no byte of any word.
 _BYTES = bytes(b | 0x20 if 0x41 <= b <= 0x5A else 0x2E if b in b".,;:!?\x0a\x0b\x0c\x0d" else 0x20 if b == 9 else b for b in range(256))
@@ -56,6 +61,7 @@ class _Ids(dict):
 
     def __init__(self, lang: str, frequent: np.ndarray) -> None:
         self.names: list[bytes] = []
+        self.hashes = np.zeros(1024, np.uint64)
         self.seed, self.frequent = _seed(lang), frequent
         self[_END] = -1
 
@@ -64,52 +70,87 @@ class _Ids(dict):
         if int(self.frequent[(x >> 6) & (BITMAP_WORDS - 1)]) >> (x & 63) & 1:
             self[word] = found = len(self.names)
             self.names.append(word)
+            if found == len(self.hashes):
+                self.hashes = np.concatenate([self.hashes, np.zeros(found, np.uint64)])
+            self.hashes[found] = x
         else:
             self[word] = found = -1
         return found
 
 
 class _Branch:
-    """A burst container: containers by the second word, asked by the same keys as the container that it replaces."""
+    """A burst container: containers by the second word."""
 
     def __init__(self, entries: dict[int, int]) -> None:
-        self.children: dict[int, dict[int, int]] = defaultdict(lambda: defaultdict(int))
-        for key, n in entries.items():
-            self.children[key >> 32][key & 0xFFFFFFFF] = n
-
-    def __getitem__(self, key: int) -> int:
-        return self.children[key >> 32][key & 0xFFFFFFFF]
-
-    def __setitem__(self, key: int, n: int) -> None:
-        self.children[key >> 32][key & 0xFFFFFFFF] = n
+        self.children: dict[int, dict[int, int]] = {}
+        self.size = 0
+        self.add(list(entries), list(entries.values()))
+
+    def add(self, rests: list[int], counts: list[int]) -> None:
+        children = self.children
+        for rest, n in zip(rests, counts):
+            second = rest >> _BITS
+            if second not in children:
+                children[second] = {}
+            child = children[second]
+            if rest in child:
+                child[rest] += n
+            else:
+                child[rest] = n
+                self.size += 1
 
     def __len__(self) -> int:
-        return sum(map(len, self.children.values()))
+        return self.size
 
     def items(self) -> Iterator[tuple[int, int]]:
-        return ((second << 32 | third, n) for second, rest in self.children.items() for third, n in rest.items())
+        return (entry for child in self.children.values() for entry in child.items())
 
 
 class HatTrie:
-    """Counts of phrases of three ids, or of two (the third is 0), by first id and packed rest."""
+    """Counts of phrases of three ids, or of two (the third is 0), packed in 63 bits: by first id, then in containers by the rest.
 
-    def __init__(self, burst: int = BURST) -> None:
-        self.root: dict[int, defaultdict | _Branch] = defaultdict(lambda: defaultdict(int))
-        self.burst = burst
+    Phrases are taken in sorted batches of BATCH, so that each subtree is entered once a batch.
+    """
 
-    def add(self, first: list[int], rest: list[int]) -> None:
-        root = self.root
-        for a, key in zip(first, rest):
-            root[a][key] += 1
-        for a in set(first):
-            if len(root[a]) > self.burst and not isinstance(root[a], _Branch):
-                root[a] = _Branch(root[a])
+    def __init__(self, burst: int = BURST) -> None:
+        self.root: dict[int, dict[int, int] | _Branch] = {}
+        self.burst, self.waiting, self.n_waiting = burst, [], 0
+
+    def add(self, packed: np.ndarray) -> None:
+        self.waiting.append(packed)
+        self.n_waiting += len(packed)
+        if self.n_waiting >= BATCH:
+            self.settle()
+
+    def settle(self) -> None:
+        """Count what was added since the last batch."""
+        if not self.n_waiting:
+            return
+        different, counts = np.unique(np.concatenate(self.waiting), return_counts=True)
+        self.waiting, self.n_waiting = [], 0
+        firsts = different >> (2 * _BITS)
+        rests, numbers = (different & ((1 << 2 * _BITS) - 1)).tolist(), counts.tolist()
+        cuts = [0, *(np.flatnonzero(np.diff(firsts)) + 1).tolist(), len(rests)]
+        for begin, end in zip(cuts, cuts[1:]):
+            first = int(firsts[begin])
+            node = self.root.get(first)
+            if node is None:
+                node = self.root[first] = dict(zip(rests[begin:end], numbers[begin:end]))
+            elif isinstance(node, _Branch):
+                node.add(rests[begin:end], numbers[begin:end])
+            else:
+                get = node.get
+                for rest, n in zip(rests[begin:end], numbers[begin:end]):
+                    node[rest] = get(rest, 0) + n
+            if not isinstance(node, _Branch) and len(node) > self.burst:
+                self.root[first] = _Branch(node)
 
     def __len__(self) -> int:
-        return sum(map(len, self.root.values()))
+        return self.n_waiting + sum(map(len, self.root.values()))
 
     def spill(self, keep: int) -> Iterator[tuple[int, list[tuple[int, int]]]]:
         """Take the largest subtrees out until keep entries are left: (first id, entries)."""
+        self.settle()
         size = len(self)
         for first in sorted(self.root, key=lambda a: len(self.root[a]), reverse=True):
             if size <= keep:
@@ -119,12 +160,15 @@ class HatTrie:
             yield first, list(node.items())
 
 
-def _run(lang: str, names: list[bytes], first: int, entries: list[tuple[int, int]], width: int) -> pa.RecordBatch:
-    """One subtree as rows in byte order of their phrases."""
+def _rows(names: list[bytes], first: int, entries: list[tuple[int, int]], width: int) -> list[tuple[bytes, bytes, int]]:
+    """One subtree as a run: rows in byte order of their phrases."""
     begin = names[first] + b" "
-    rows = sorted((begin + names[key >> 32], names[key & 0xFFFFFFFF] if width == 3 else b"", n) for key, n in entries)
+    return sorted((begin + names[rest >> _BITS], names[rest & _LAST] if width == 3 else b"", n) for rest, n in entries)
+
+
+def _batch(langs: list[str], rows: list[tuple[bytes, bytes, int]]) -> pa.RecordBatch:
     head, tail, n = zip(*rows)
-    return pa.RecordBatch.from_arrays([pa.array([lang] * len(rows), pa.string()), pa.array(head, pa.binary()), pa.array(tail, pa.binary()), pa.array(n, pa.int64())], ["lang", "head", "tail", "f"])
+    return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(head, pa.binary()), pa.array(tail, pa.binary()), pa.array(n, pa.int64())], ["lang", "head", "tail", "f"])
 
 
 def _texts(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[str, bytes]]:
@@ -153,57 +197,68 @@ def _count_words(batches: Iterator[pa.RecordBatch], held: int) -> Iterator[pa.Re
     yield from rows()
 
 
-def _allowed(ids: _Ids, at: np.ndarray, pairs: np.ndarray | None, known: dict[int, bool]) -> np.ndarray:
+def _pair_hash(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Of two words' hashes; the same as _pair_column."""
+    return first ^ (second << np.uint64(21) | second >> np.uint64(43))
+
+
+def _pair_column(first: Column, second: Column) -> Column:
+    return first.bitwiseXOR(F.shiftleft(second, 21).bitwiseOR(F.shiftrightunsigned(second, 43)))
+
+
+def _allowed(ids: _Ids, at: np.ndarray, pairs: np.ndarray | None) -> np.ndarray:
     """Whether a phrase may begin at each place: its pairs of words are frequent (or, without pairs, its words)."""
     both = (at[:-1] >= 0) & (at[1:] >= 0)
     if pairs is None:
         return both
-    keys = at[:-1][both] << 32 | at[1:][both]
-    different, where = np.unique(keys, return_inverse=True)
-    new = [k for k in different.tolist() if k not in known]
-    if new:
-        names, seed = ids.names, ids.seed
-        hashes = np.array([xxhash.xxh64_intdigest(names[k >> 32] + b" " + names[k & 0xFFFFFFFF], seed) for k in new], np.uint64)
-        known.update(zip(new, in_bitmap(pairs, hashes.view(np.int64)).tolist()))
-    both[both] = np.array([known[k] for k in different.tolist()], bool)[where]
+    hashes = _pair_hash(ids.hashes[at[:-1][both]], ids.hashes[at[1:][both]])
+    both[both] = in_bitmap(pairs, hashes.view(np.int64))
     return both[:-1] & both[1:]
 
 
 def _count_phrases(batches: Iterator[pa.RecordBatch], frequent: Broadcast, width: int, held: int, burst: int) -> Iterator[pa.RecordBatch]:
     """(lang, text) to runs of phrases of width words; frequent: bitmaps of words and, for width 3, of pairs."""
     words_seen, pairs_seen = frequent.value
-    state: dict[str, tuple[_Ids, HatTrie, dict[int, bool]]] = {}
+    state: dict[str, tuple[_Ids, HatTrie]] = {}
     added = 0
 
     def spilled(keep: int) -> Iterator[pa.RecordBatch]:
-        for lang, (ids, trie, _) in state.items():
+        langs: list[str] = []
+        rows: list[tuple[bytes, bytes, int]] = []
+        for lang, (ids, trie) in state.items():
             for first, entries in trie.spill(keep // len(state)):
-                yield _run(lang, ids.names, first, entries, width)
+                rows += _rows(ids.names, first, entries, width)
+                langs += [lang] * len(entries)
+                if len(rows) >= RUN_ROWS:
+                    yield _batch(langs, rows)
+                    langs, rows = [], []
+        if rows:
+            yield _batch(langs, rows)
 
     for lang, text in _texts(batches):
-        if lang not in state:
-            state[lang] = _Ids(lang, words_seen), HatTrie(burst), {}
-        ids, trie, known = state[lang]
-        # a text's words as ids; what spans two parts of a long text is counted once, at the second
-        before = np.zeros(0, np.int64)
+        last: list[bytes] = []
         for words in _words(text):
-            at = np.concatenate([before, np.fromiter(map(ids.__getitem__, words), np.int64, len(words))])
-            before = at[-(width - 1) :]
-            if len(at) < width:
-                continue
-            begin = np.flatnonzero(_allowed(ids, at, pairs_seen, known))
-            rest = at[begin + 1] << 32 | (at[begin + 2] if width == 3 else 0)
-            trie.add(at[begin].tolist(), rest.tolist())
-            added += len(begin)
-        if added > held:
-            added = sum(len(t) for _, t, _ in state.values())
+            # what spans two parts of a long text is counted with the second
+            words = last + words
+            last = words[-(width - 1) :]
             if added > held:
-                yield from spilled(held // 2)
-                added = sum(len(t) for _, t, _ in state.values())
-        if sum(len(i) + len(k) for i, _, k in state.values()) > KNOWN * len(state):
-            yield from spilled(0)
-            state.clear()
-            added = 0
+                added = sum(len(trie) for _, trie in state.values())
+                if added > held // 2:
+                    yield from spilled(held // 4)
+                    added = sum(len(trie) for _, trie in state.values())
+            if sum(len(ids) for ids, _ in state.values()) > KNOWN:
+                yield from spilled(0)
+                state.clear()
+                added = 0
+            if lang not in state:
+                state[lang] = _Ids(lang, words_seen), HatTrie(burst)
+            ids, trie = state[lang]
+            at = np.fromiter(map(ids.__getitem__, words), np.int64, len(words))
+            if len(at) >= width:
+                begin = np.flatnonzero(_allowed(ids, at, pairs_seen))
+                packed = at[begin] << (2 * _BITS) | at[begin + 1] << _BITS
+                trie.add(packed | at[begin + 2] if width == 3 else packed)
+                added += len(begin)
     yield from spilled(0)
 
 
@@ -235,7 +290,8 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, held: int
     h = F.xxhash64("lang", "phrase").alias("h")
     frequent = context.broadcast((bitmap(words.select(h)), None))
     pairs = _merged(texts.mapInArrow(lambda b: _count_phrases(b, frequent, 2, held, burst), _RUNS), "collocation-pairs", least)
-    frequent_pairs = context.broadcast((frequent.value[0], bitmap(pairs.select(h))))
+    first, second = (F.xxhash64("lang", F.split("phrase", " ")[i]) for i in (0, 1))
+    frequent_pairs = context.broadcast((frequent.value[0], bitmap(pairs.select(_pair_column(first, second).alias("h")))))
     triples = _merged(texts.mapInArrow(lambda b: _count_phrases(b, frequent_pairs, 3, held, burst), _RUNS), "collocation-triples", least)
 
     part = F.split("phrase", " ")

@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from tessera.llm import collocations as C
@@ -58,21 +59,24 @@ def test_parts_of_a_long_text():
     assert whole == [b"one", b"two", b".", b"three", b"four", b".", b"five", b"six", b"seven", b".", b"eight"]
 
 
-def test_trie_counts_and_spills_the_largest_first():
-    rng = random.Random(9)
+@pytest.mark.parametrize("batch", [1, 70, 200_000])
+def test_trie_counts_and_spills_the_largest_first(monkeypatch, batch):
+    monkeypatch.setattr(C, "BATCH", batch)
+    rng = np.random.default_rng(9)
     trie, want, got = C.HatTrie(burst=4), Counter(), Counter()
     for _ in range(30):
-        first, rest = [rng.randrange(6) for _ in range(50)], [rng.randrange(7) << 32 | rng.randrange(9) for _ in range(50)]
-        trie.add(first, rest)
-        want.update(zip(first, rest))
+        packed = rng.integers(0, 6, 50) << 42 | rng.integers(0, 7, 50) << 21 | rng.integers(0, 9, 50)
+        trie.add(packed)
+        want.update(packed.tolist())
         if len(trie) > 150:
             sizes = []
             for a, entries in trie.spill(75):
                 sizes.append(len(entries))
-                got.update({(a, key): n for key, n in entries})
+                got.update({a << 42 | rest: n for rest, n in entries})
             assert sizes == sorted(sizes, reverse=True) and len(trie) <= 75
+    trie.settle()
     assert any(isinstance(c, C._Branch) for c in trie.root.values())
-    got.update({(a, key): n for a, entries in trie.spill(0) for key, n in entries})
+    got.update({a << 42 | rest: n for a, entries in trie.spill(0) for rest, n in entries})
     assert got == want and not len(trie)
 
 
