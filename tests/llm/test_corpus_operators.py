@@ -5,8 +5,10 @@ import math
 import random
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -246,3 +248,31 @@ def test_pipeline(spark):
     assert tokens.filter("NOT restored").count() == 0 and tokens.count() == mixed.count()
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, df.limit(0), "").count() == 0
+
+
+def brute_top_k(rows, every, k):
+    """rows (id, doubles) to the k best integer inner products of each query, clamped to 64 bits."""
+    whole = [(i, [int(Fraction(x) * 1024 // 1) for x in v]) for i, v in rows]
+    out = []
+    for n, (i, a) in enumerate(whole):
+        if i % every == 0:
+            found = [(min(max(sum(x * y for x, y in zip(a, b)), -(2**63)), 2**63 - 1), j) for m, (j, b) in enumerate(whole) if m != n and len(a) == len(b)]
+            out += [(i, at + 1, j, s) for at, (s, j) in enumerate(sorted(found, key=lambda f: (-f[0], f[1]))[:k])]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("size", [1.0, 4e5, 1e9, 2.0**52, 3e17, 1e300])
+def test_top_k_of_large_components(spark, size):
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in rng.normal(size=6) * (size if i % 3 == 0 else 1.0)]) for i in range(40)]
+    rows += [(100, [size, 0.0, 0.0, 0.0, 0.0, 0.0]), (101, [-size, 0.0, 0.0, 0.0, 0.0, 0.0]), (102, [0.0] * 6), (103, [1.5] * 6), (105, [size])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = voronoi_topk.top_k(df, id_col="vec_id", vector_col="embedding", every=5, k=7).collect()
+    assert sorted(map(tuple, got)) == brute_top_k(rows, 5, 7)
+
+
+def test_scores_at_the_ends_of_the_range():
+    a = np.array([[2**31, 2**31], [2**61, 1], [-(2**61), 0]], np.int64)
+    b = np.array([[2**31, 2**31 - 1], [4, -1], [3, 3], [-4, 0], [2**61, 2**61]], np.int64)
+    want = [[min(max(sum(int(x) * int(y) for x, y in zip(r, c)), -(2**63)), 2**63 - 1) for c in b] for r in a]
+    assert voronoi_topk._exact(a, b).tolist() == want
