@@ -9,15 +9,16 @@ Components of the vector:
 * 4 equality components of 62 bits: XXH64 of the whole paragraph under four seeds, modulo 2**62; and the number of
   paragraphs, modulo 2**62.
 * 126 likeness components modulo 2**20, three to a 64-bit integer: each piece of a paragraph adds the bits of two XXH64
-  values; and the number of pieces, modulo 2**62. A piece ends after a word that ends in one of a few characters, so its
-  borders follow from the words and not from their places: a word put in or taken out changes one piece (of four to five
-  words on average, 32 at most). A bit b
+  values; and the number of pieces, modulo 2**62. Pieces are the pairs of neighbouring words whose own hash is divisible
+  by four, and the last word of a paragraph. Which pairs these are follows from the words alone, in any script, so a word
+  put in or taken out changes half a pair on average. A bit b
   stands for the sign 2b - 1, so differences of two fingerprints are sums of random signs, whose mean square estimates
   the squared norm of the difference of the two multisets of pieces. ``likeness`` is 1 less that norm over the sum of
   the two texts' own norms: 1 for equal fingerprints, near 0 for texts with nothing in common, within about 0.1. It is
   meaningful below 2**19 pieces a text; equality has no such bound.
 
-Edge cases: a null text counts as the empty text, which is one empty paragraph and no piece; two fingerprints without
+Edge cases: a null text counts as the empty text, which is one empty paragraph and no piece; text without spaces has one
+piece a paragraph; two fingerprints without
 pieces are alike only if equal. Texts of any length are read whole. Repeated rows give repeated results.
 """
 
@@ -33,8 +34,17 @@ ONES = 1 | 1 << 21 | 1 << 42
 LANE = (1 << 20) - 1
 LANES = LANE | LANE << 21 | LANE << 42
 WIDE = (1 << 62) - 1
-#: A word, and more words up to the first that ends in d, l or punctuation.
-PIECE = r"[^ \t\x0B\f\r]++(?:(?<![dl\p{P}])[ \t\x0B\f\r]++[^ \t\x0B\f\r]++){0,31}"
+#: A word of a paragraph; one pair of words in so many is a piece.
+IN_LINE = r"[^ \t\x0B\f\r]++"
+ONE_IN = 4
+
+
+def _pieces(words: Column) -> Column:
+    """Hashes of the pieces among a paragraph's words."""
+    rest = F.greatest(F.size(words) - 1, F.lit(0))
+    pairs = F.zip_with(F.slice(words, F.lit(1), rest), F.slice(words, F.lit(2), rest), lambda a, b: F.xxhash64(a, b))
+    kept = F.filter(pairs, lambda h: h.bitwiseAND(F.lit(ONE_IN - 1)) == 0)
+    return F.when(F.size(words) > 0, F.concat(kept, F.array(F.xxhash64(F.try_element_at(words, F.lit(-1)))))).otherwise(kept)
 
 
 def fingerprint(text: Column) -> Column:
@@ -46,8 +56,9 @@ def fingerprint(text: Column) -> Column:
         return F.struct(*[((acc[f"e{i}"] + F.shiftrightunsigned(F.xxhash64(F.lit(i), x), 2)).bitwiseAND(F.lit(WIDE))).alias(f"e{i}") for i in range(SEEDS)])
 
     equality = F.aggregate(lines, F.struct(*[long.alias(f"e{i}") for i in range(SEEDS)]), whole, lambda acc: F.array(*[acc[f"e{i}"] for i in range(SEEDS)]))
-    pieces = F.flatten(F.transform(lines, lambda x: F.regexp_extract_all(x, F.lit(PIECE), 0)))
-    hashes = F.transform(pieces, lambda x: F.xxhash64(x))
+    words = F.transform(lines, lambda x: F.regexp_extract_all(x, F.lit(IN_LINE), 0))
+    # hashed again, since the low bits of those that are kept are all alike
+    hashes = F.transform(F.flatten(F.transform(words, _pieces)), lambda h: F.xxhash64(h))
 
     def bits(acc: Column, h: Column) -> Column:
         other = F.xxhash64(h)

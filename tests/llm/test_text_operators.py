@@ -10,6 +10,7 @@ import pytest
 import regex
 import sentencepiece
 import tiktoken
+import xxhash
 from pyspark.sql import functions as F
 
 from tessera.llm import bpe, chat, language_id, multiset_hash, token_count
@@ -104,7 +105,13 @@ def test_chat(spark):
 
 def likeness_of(a, b):
     """What ``likeness`` estimates: 1 less the squared distance of the multisets of pieces over their squared norms."""
-    x, y = (Counter(g for line in t.split("\n") for g in regex.findall(multiset_hash.PIECE, line)) for t in (a, b))
+    def pieces(text):
+        for line in text.split("\n"):
+            w = regex.findall(multiset_hash.IN_LINE, line)
+            yield from (p for p in zip(w, w[1:]) if xxhash.xxh64_intdigest(p[1].encode(), xxhash.xxh64_intdigest(p[0].encode(), 42)) % multiset_hash.ONE_IN == 0)
+            yield from w[-1:]
+
+    x, y = (Counter(pieces(t)) for t in (a, b))
     norms = sum(n * n for n in x.values()) + sum(n * n for n in y.values())
     return 1.0 if a == b or sorted(a.split("\n")) == sorted(b.split("\n")) else 1 - sum((x[k] - y[k]) ** 2 for k in x | y) / norms if norms else 0.0
 
@@ -120,6 +127,16 @@ def test_likeness_survives_an_insertion(spark):
     assert all(abs(got[k] - max(0, likeness_of(texts[0], t))) < 0.35 for k, t in enumerate(texts))
 
 
+@pytest.mark.parametrize("letters, end", [("абвгдежзиклмн", ""), ("天地玄黃宇宙洪荒日月", ""), ("ABCDEFGH", ""), ("abcfghijk", "e"), ("𐐀𐐁𐐂𐐃", "😀")])
+def test_likeness_survives_an_insertion_in_any_script(spark, letters, end):
+    rng = random.Random(8)
+    words = ["".join(rng.choice(letters) for _ in range(rng.randrange(2, 9))) + end for _ in range(400)]
+    texts = [" ".join(c) for c in (words, ["x", *words], [*words, "x"], [*words[:200], "x", *words[200:]], words[1:], words[::-1])]
+    df = spark.createDataFrame([(k, texts[0], t, "clash") for k, t in enumerate(texts)], "k long, a string, b string, next string")
+    got = {r["k"]: r["l"] for r in df.select("k", multiset_hash.likeness(multiset_hash.fingerprint(F.col("a")), multiset_hash.fingerprint(F.col("b"))).alias("l")).collect()}
+    assert got[0] == 1.0 and all(got[k] > 0.9 for k in (1, 2, 3, 4)) and got[5] < 0.4
+
+
 def test_multiset_hash(spark):
     fp, both = multiset_hash.fingerprint, F.col
     words = " ".join(f"word{i}" for i in range(400))
