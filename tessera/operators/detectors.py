@@ -276,8 +276,12 @@ def fastify_routes(files: DataFrame, edges: DataFrame | None = None) -> DataFram
     return _api(_composed(resolved, calls).unionByName(_alone(calls, resolved)))
 
 
-def metadata(files: DataFrame) -> DataFrame:
-    """(project_id, name, package_manager, types, workspace): from the root manifest, all manifests and the frameworks."""
+def metadata(files: DataFrame, facts: DataFrame | None = None) -> DataFrame:
+    """(project_id, name, package_manager, types, workspace): from the root manifest, all manifests and the frameworks.
+
+    facts(project_id, fact, value) of sources.tree tell of lock files, which count where no manager is declared, and of the
+    folder's name; without them both stay unknown.
+    """
     found = files.filter(F.endswith("path", F.lit("package.json")) & F.coalesce(F.try_parse_json("content").isNotNull(), F.lit(False)))
     parsed = F.from_json("content", "name string, bin string, main string, exports string, packageManager string, workspaces string")
     each = found.select("project_id", "path", parsed.alias("m"))
@@ -288,12 +292,18 @@ def metadata(files: DataFrame) -> DataFrame:
         F.bool_or((F.col("m.main").isNotNull() | F.col("m.exports").isNotNull()) & F.col("m.bin").isNull()).alias("library"),
     )
     every = frameworks(files).join(sums, "project_id", "left")
+    none = F.lit(None).cast("string")
+    if facts is None:
+        every = every.withColumns({"lock": none, "folder": none})
+    else:
+        told = facts.groupBy("project_id").agg(*[F.max(F.when(F.col("fact") == f, F.col("value"))).alias(n) for f, n in (("lock_manager", "lock"), ("folder_name", "folder"))])
+        every = every.join(told, "project_id", "left")
     types = F.array_compact(F.array(
         F.when(F.col("frontend").isNotNull(), "web-app"), F.when(F.col("backend").isNotNull(), "api-service"), F.when(F.col("cli"), "node-cli"), F.when(F.col("library"), "library")
     ))
     return every.select(
-        "project_id", F.when(F.col("declared") != "", F.col("declared")).otherwise(F.col("project_id")).alias("name"),
-        F.when(F.col("manager").isin("pnpm", "npm", "yarn", "bun"), F.col("manager")).otherwise("unknown").alias("package_manager"),
+        "project_id", F.when(F.col("declared") != "", F.col("declared")).otherwise(F.coalesce("folder", "project_id")).alias("name"),
+        F.coalesce(F.when(F.col("manager").isin("pnpm", "npm", "yarn", "bun"), F.col("manager")), "lock", F.lit("unknown")).alias("package_manager"),
         F.when(F.size(types) > 0, types).otherwise(F.array(F.lit("unknown"))).alias("types"),
         F.when(F.coalesce("shared", F.lit(False)) | (F.coalesce("n", F.lit(0)) > 1), "monorepo").otherwise("single-package").alias("workspace"),
     )

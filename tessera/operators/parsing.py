@@ -100,17 +100,23 @@ def bound_names(code: str, nesting: Nesting, at: int) -> Iterator[tuple[int, str
         at += 1
 
 
-def script_of(path: str, content: str) -> str | None:
-    """The script part of a component file, the text of any other; None if there is none."""
+def script_at(path: str, content: str) -> tuple[str, int] | None:
+    """The script part of a component file, or the text of any other, and where it begins; None if there is none."""
     if path.endswith((".vue", ".svelte")):
-        blocks = re.findall(r"<script(\s[^>]*)?\s*>(.*?)</script>", content, re.DOTALL | re.IGNORECASE)
+        blocks = [(m[1] or "", m[2], m.start(2)) for m in re.finditer(r"<script(\s[^>]*)?\s*>(.*?)</script>", content, re.DOTALL | re.IGNORECASE)]
         if path.endswith(".svelte"):
             blocks.sort(key=lambda b: bool(re.search(r"context\s*=\s*[\"']module", b[0])))
-        return blocks[0][1] if blocks and blocks[0][1].strip() else None
+        return blocks[0][1:] if blocks and blocks[0][1].strip() else None
     if path.endswith(".astro"):
         front = re.match(r"---\r?\n(.*?)\r?\n---", content, re.DOTALL)
-        return front[1] if front and front[1].strip() else None
-    return content
+        return (front[1], front.start(1)) if front and front[1].strip() else None
+    return content, 0
+
+
+def script_of(path: str, content: str) -> str | None:
+    """The script part of a component file, the text of any other; None if there is none."""
+    found = script_at(path, content)
+    return found and found[0]
 
 
 def scan_script(text: str) -> tuple[list[str], list[str], list[dict]]:
@@ -166,13 +172,15 @@ def scan_any(text: str) -> tuple[list[str], list[str], list[dict]]:
     return list(dict.fromkeys(ANY_IMPORT.findall(text))), sorted(s["name"] for s in symbols if s["exported"]), symbols
 
 
-def analyse_one(path: str, extension: str, content: str) -> tuple:
+def analyse_one(path: str, extension: str, content: str, remap_lines: bool = False) -> tuple:
+    lines = 0
     try:
         if extension in SCRIPT:
-            script = script_of(path.lower(), content)
+            script = script_at(path.lower(), content)
             if script is None:
                 return "script", "medium", [], [], [], []
-            found, analyzer, confidence = scan_script(script), "script", "high"
+            lines = content.count("\n", 0, script[1]) if remap_lines else 0
+            found, analyzer, confidence = scan_script(script[0]), "script", "high"
         elif extension in HEURISTIC:
             found, analyzer, confidence = scan_any(content), "heuristic", "medium"
         else:
@@ -180,16 +188,20 @@ def analyse_one(path: str, extension: str, content: str) -> tuple:
     except (ValueError, IndexError, re.error, RecursionError):
         return "fallback", "low", [], [], [], []
     imports, exports, symbols = found
+    symbols = [s | {"line": s["line"] + lines} for s in symbols] if lines else symbols
     main = sorted((s for s in symbols if s["kind"] in FUNCTIONS), key=lambda s: (not s["exported"], s["line"], s["name"]))[:MAIN_FUNCTIONS]
     return analyzer, confidence, imports, exports, symbols, main
 
 
-def analyse(files: DataFrame) -> DataFrame:
-    """files(project_id, path, extension, content) to a row of ANALYSES for each."""
+def analyse(files: DataFrame, remap_lines: bool = False) -> DataFrame:
+    """files(project_id, path, extension, content) to a row of ANALYSES for each.
+
+    Lines of symbols count from the start of the script block; from that of the file if remap_lines.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = [(r.project_id, r.path, *analyse_one(r.path, r.extension or "", r.content or "")) for r in frame.itertuples(index=False)]
+            rows = [(r.project_id, r.path, *analyse_one(r.path, r.extension or "", r.content or "", remap_lines)) for r in frame.itertuples(index=False)]
             yield pd.DataFrame(rows, columns=["project_id", "path", "analyzer", "confidence", "imports", "exports", "symbols", "top_functions"])
 
     return files.select("project_id", "path", "extension", "content").mapInPandas(run, ANALYSES)

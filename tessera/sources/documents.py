@@ -3,7 +3,8 @@
 A folder that driver and executors share holds one folder a project with its versions and a file CURRENT that names the one
 that counts. Tasks write documents of a new version beside the old ones; the driver's commit points CURRENT at it, in one
 atomic step a project, and drops the old versions. Projects that a write does not name stay as they are, and after an abort
-all do. A task that runs twice writes the same files.
+all do; what tasks still running at an abort leave behind is read by nobody and goes with the next commit. A task that
+runs twice writes the same files.
 """
 
 from __future__ import annotations

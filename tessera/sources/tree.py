@@ -26,6 +26,12 @@ IGNORED_EXTENSIONS = (
 )
 IGNORED_FILES = {"package-lock.json", "npm-shrinkwrap.json", "pnpm-lock.yaml", "yarn.lock", "bun.lock", "bun.lockb"}
 
+# What a lock file at the root says of the package manager, first that is there.
+LOCK_FILES = {
+    "pnpm-lock.yaml": "pnpm", "package-lock.json": "npm", "npm-shrinkwrap.json": "npm", "yarn.lock": "yarn", "bun.lock": "bun", "bun.lockb": "bun",
+}
+FACTS = "project_id string, fact string, value string"
+
 FILES = "project_id string, path string, extension string, size long, lines int, content string"
 CHUNK = 200
 
@@ -122,6 +128,38 @@ class TreeSource(DataSource):
         return TreeReader(root, self.options.get("project") or os.path.basename(os.path.abspath(root)))
 
 
+class FactsReader(TreeReader):
+    def partitions(self) -> list[Chunk]:
+        return [Chunk([])]
+
+    def read(self, partition: Chunk) -> Iterator[tuple]:
+        held = (manager for name, manager in LOCK_FILES.items() if os.path.exists(os.path.join(self.root, name)))
+        yield self.project, "lock_manager", next(held, None)
+        yield self.project, "folder_name", os.path.basename(os.path.abspath(self.root))
+
+
+class FactsSource(TreeSource):
+    """What a tree tells besides the files that are read, some of which are never listed: as sourcetree, rows of FACTS."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "sourcetreefacts"
+
+    def schema(self) -> str:
+        return FACTS
+
+    def reader(self, schema) -> FactsReader:
+        made = super().reader(schema)
+        return FactsReader(made.root, made.project)
+
+
+def read_facts(spark: SparkSession, root: str, project: str | None = None) -> DataFrame:
+    """(project_id, fact, value): lock_manager, the package manager of the first lock file, or null; folder_name."""
+    spark.dataSource.register(FactsSource)
+    reader = spark.read.format("sourcetreefacts")
+    return (reader.option("project", project) if project else reader).load(root)
+
+
 def read_tree(spark: SparkSession, root: str, project: str | None = None) -> DataFrame:
     spark.dataSource.register(TreeSource)
     reader = spark.read.format("sourcetree")
