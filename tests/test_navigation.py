@@ -6,8 +6,8 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import business_flows, detectors, entities, features, graph, memo, parsing, retrieval, targets
-from tessera.plans import engine, file_index, navigation
+from tessera.operators import business_flows, detectors, entities, feature_list, features, graph, memo, parsing, retrieval, targets
+from tessera.plans import engine, file_index, navigation, snapshot
 from tessera.sources import documents, tree
 
 SHOP = {
@@ -58,6 +58,23 @@ def test_full_index(shop):
     assert len(said["warnings"]) == 4 and said["warnings"][3].startswith("package.json could not be parsed")
 
 
+def test_snapshot_with_all_facts(shop):
+    files, found, routed, listed, index, _ = shop
+    known = entities.extract(files, found.fields, routed)
+    facts = [
+        snapshot.feature_facts(listed), snapshot.route_facts(routed), snapshot.entity_facts(known, entities.graph_relations(found.fields)),
+        snapshot.capability_facts(feature_list.capabilities(routed, known)), snapshot.index_facts(index), file_index.warnings(files, found, listed),
+    ]
+    (read,) = snapshot.inspect(snapshot.documents(found, *facts)).collect()
+    kept = read["snapshot"]
+    assert read["status"] == "valid" and [f["name"] for f in kept["features"]] == sorted(r["name"] for r in listed.collect())
+    assert [(r["path"], r["methods"]) for r in kept["routes"]] == [("/api/orders", ["DELETE", "GET", "POST"])]
+    assert (kept["entityGraph"]["source"], kept["entityGraph"]["entityNames"], kept["entityGraph"]["relations"]) == ("route-hint", ["Order"], [])
+    assert [c["name"] for c in kept["capabilities"]] == ["Order Management"] and kept["warnings"] == []
+    assert set(kept["fileIndex"]) == set(SHOP) and kept["fileIndex"]["src/auth.ts"]["importance"] == 100
+    assert "entityGraph" not in snapshot.documents(found).first()["document"]
+
+
 def test_change_impact_over_features_and_flows(shop):
     _, found, _, listed, _, told = shop
     got = {r["path"]: r for r in file_index.change_impact(found, listed, told).collect()}
