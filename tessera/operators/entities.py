@@ -119,13 +119,33 @@ def extract(files: DataFrame, fields: DataFrame, routes: DataFrame) -> DataFrame
     return schema.unionByName(tables).unionByName(hints)
 
 
-def ownership(names: Column) -> Column:
-    """How users share a project's data, from all field names as an array.
+# Fields that let several users at one row.
+SHARED_FIELDS = ["participants", "members", "invitedby", "sharedwith", "sharedby", "recipientid", "senderid", "collaborators", "inviteeid", "inviterid"]
 
-    Letters other than a-z and digits drop out before lower-casing, so the capitals of camel case vanish.
+
+def _bare(name: Column) -> Column:
+    """Letters other than a-z and digits drop out before lower-casing, so the capitals of camel case vanish."""
+    return F.lower(F.regexp_replace(name, "[^a-z0-9]", ""))
+
+
+def ownership(extracted: DataFrame, fields: DataFrame, relations: DataFrame) -> DataFrame:
+    """(project_id, ownership, shared_fields) of every project with entities: how its users share data.
+
+    direct_messaging with an entity that holds two users' ids, a sender's or recipient's among them, and shared fields;
+    shared_access with shared fields or a many-to-many relation of the user; single_user_isolated with several entities and
+    neither; else unclear. The user is the first entity of that name in any case.
     """
-    bare = F.transform(names, lambda n: F.lower(F.regexp_replace(n, "[^a-z0-9]", "")))
-    direct = F.arrays_overlap(bare, F.array(F.lit("senderid"))) & F.arrays_overlap(bare, F.array(F.lit("receiverid"), F.lit("recipientid")))
-    shared = F.arrays_overlap(bare, F.array(*map(F.lit, ["workspaceid", "organizationid", "teamid", "memberid"])))
-    single = F.arrays_overlap(bare, F.array(*map(F.lit, ["userid", "ownerid", "authorid"])))
-    return F.when(direct, "direct_messaging").when(shared, "shared_access").when(single, "single_user_isolated").otherwise("unclear")
+    mine = extracted.filter(F.lower("entity") == "user").groupBy("project_id").agg(F.min_by("entity", "seen").alias("user"))
+    every = extracted.groupBy("project_id").agg(F.count_distinct("entity").alias("n")).join(mine, "project_id", "left").withColumn("user", F.coalesce("user", F.lit("User")))
+    place = F.struct("seen", "ord", F.concat("entity", F.lit("."), "name").alias("field"))
+    shared = fields.filter(_bare(F.col("name")).isin(SHARED_FIELDS)).groupBy("project_id").agg(F.array_sort(F.collect_list(place)).alias("s"))
+    held = fields.join(every.select("project_id", "user"), "project_id").filter((F.col("entity") != F.col("user")) & (F.col("type").isin("String", "Int") | (F.col("type") == F.col("user"))))
+    held = held.filter(F.col("name").rlike(r"(id|Id)\z") & F.contains(_bare(F.col("name")), _bare(F.col("user"))))
+    sent = F.bool_or(_bare(F.col("name")).rlike("sender|recipient")).alias("sent")
+    direct = held.groupBy("project_id", "entity").agg(F.count("*").alias("held"), sent).filter("held >= 2 AND sent").select("project_id", F.lit(True).alias("direct")).distinct()
+    many = relations.filter("kind = 'many-to-many'").join(every.select("project_id", "user"), "project_id").filter("src = user OR dst = user")
+    many = many.select("project_id", F.lit(True).alias("many")).distinct()
+    rows = every.join(shared, "project_id", "left").join(direct, "project_id", "left").join(many, "project_id", "left")
+    some = F.coalesce(F.size("s"), F.lit(0)) > 0
+    kind = F.when(F.col("direct") & some, "direct_messaging").when(F.col("many") | some, "shared_access").when(F.col("n") > 1, "single_user_isolated").otherwise("unclear")
+    return rows.select("project_id", kind.alias("ownership"), F.coalesce(F.col("s")["field"], F.array().cast("array<string>")).alias("shared_fields"))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import business_flows, detectors, entities, feature_list, features, graph, memo, parsing, retrieval, targets
-from tessera.plans import engine, file_index, navigation, snapshot
+from tessera.plans import engine, file_index, navigation, questions, snapshot
 from tessera.sources import documents, tree
 
 SHOP = {
@@ -238,3 +238,32 @@ def test_facts_of_pruned_files_and_lines_of_script_blocks(spark, tmp_path):
     vue = tree.from_rows(spark, "v", {"a.vue": "<template>\n</template>\n<script>\nexport function f() {}\n</script>\n", "b.astro": "---\nconst x = 1\n---\n"})
     lines = lambda remap: [(r["path"], [s["line"] for s in r["symbols"]]) for r in parsing.analyse(vue, remap).orderBy("path").collect()]
     assert lines(False) == [("a.vue", [2]), ("b.astro", [1])] and lines(True) == [("a.vue", [4]), ("b.astro", [2])]
+
+
+def test_how_users_share_data(spark):
+    model = lambda name, *lines: f"model {name} {{\n  id String @id\n" + "".join(f"  {x}\n" for x in lines) + "}\n"
+    schemas = {
+        "chat": model("User", "name String") + "\n" + model("Message", "senderuserid String", "recipientuserid String", "senderid String"),
+        "team": model("User", "groups Group[]") + "\n" + model("Group", "users User[]"),
+        "camel": model("User", "name String") + "\n" + model("Note", "senderId String"),
+        "one": model("Note", "x String"),
+        "late": model("Note", "members String"),
+    }
+    files = None
+    for name, text in schemas.items():
+        more = tree.from_rows(spark, name, {"a.prisma": text})
+        files = more if files is None else files.unionByName(more)
+    fields = graph.written(entities.prisma_fields(files))
+    extracted = entities.extract(files, fields, spark.createDataFrame([], "project_id string, route string, file string, kind string"))
+    assert rows(entities.ownership(extracted, fields, entities.graph_relations(fields)), "project_id", "ownership", "shared_fields") == [
+        ("camel", "single_user_isolated", []), ("chat", "direct_messaging", ["Message.senderid"]), ("late", "shared_access", ["Note.members"]), ("one", "unclear", []), ("team", "shared_access", []),
+    ]
+
+
+def test_questions_on_a_project(shop):
+    _, found, routed, listed, _, _ = shop
+    known = entities.extract(shop[0], found.fields, routed)
+    (q,) = memo.domain_questions(questions.domain_facts(found, listed, known, feature_list.capabilities(routed, known), routed)).collect()
+    asked = q["question"]
+    assert (asked["entities"], asked["capabilities"], asked["framework"], asked["routes"], asked["ownership"]) == (["Order"], ["crud"], "nextjs", 1, "unclear")
+    assert "Authentication" in asked["features"] and "crud" not in asked["absent"]
