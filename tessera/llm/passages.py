@@ -20,7 +20,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bitmap, in_bitmap, materialise
@@ -28,11 +28,11 @@ from .common import bitmap, in_bitmap, materialise
 LEAST = 50
 K = 16
 #: Positions hashed at a time; runs a bucket; documents from which a hash is hot.
-SEGMENT, ROWS, HOT = 1 << 20, 25_000, 20_000
+SEGMENT, ROWS, HOT = 1 << 20, 25_000, 2_000
 #: Rows without an id count as the largest.
 NO_ID = 2**63 - 1
 
-_RUNS = "h long, id long, text_hash long, at long, run binary"
+_RUNS = "bucket long, id long, text_hash long, at long, run binary"
 _MARKS = "id long, text_hash long, first long, last long"
 
 
@@ -121,8 +121,17 @@ def _cut(values: np.ndarray, first: np.ndarray, size: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(values[index])])
 
 
-def _runs_of(wanted: Callable[[np.ndarray], np.ndarray]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(id, text_hash, text) to the runs whose hashes are wanted."""
+def _probes(h: Column) -> Column:
+    """Two independent parts of a hash, to be looked up one by one: a hash that is not marked passes both far more rarely."""
+    return F.explode(F.array(h, F.shiftrightunsigned(h, 26))).alias("h")
+
+
+def _marked(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    return in_bitmap(bits, h) & in_bitmap(bits, (h.view(np.uint64) >> np.uint64(26)).view(np.int64))
+
+
+def _runs_of(wanted: Callable[[np.ndarray], np.ndarray], buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(id, text_hash, text) to the runs whose hashes are wanted, with their bucket."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -133,9 +142,9 @@ def _runs_of(wanted: Callable[[np.ndarray], np.ndarray]) -> Callable[[Iterator[p
             for text, first, last, h in _runs(values, offsets):
                 kept = wanted(h)
                 text, first, last, h = text[kept], first[kept], last[kept], h[kept]
-                columns = [h, ids[text], hashes[text], first - offsets[text]]
+                columns = [(h.view(np.uint64) % np.uint64(buckets)).view(np.int64), ids[text], hashes[text], first - offsets[text]]
                 yield pa.RecordBatch.from_arrays(
-                    [*map(pa.array, columns), _cut(values, first, last - first + LEAST)], ["h", "id", "text_hash", "at", "run"]
+                    [*map(pa.array, columns), _cut(values, first, last - first + LEAST)], ["bucket", "id", "text_hash", "at", "run"]
                 )
 
     return task
@@ -237,7 +246,7 @@ def _bucket(found: pa.Table) -> pa.Table:
     found = found.combine_chunks()
     coded = pc.dictionary_encode(found["run"].combine_chunks())
     code, runs = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist()
-    h, ids = found["h"].to_numpy(), found["id"].to_numpy()
+    ids = found["id"].to_numpy()
     least = np.full(len(runs), NO_ID)
     np.minimum.at(least, code, ids)
     sizes = np.array([len(r) for r in runs])
@@ -246,7 +255,8 @@ def _bucket(found: pa.Table) -> pa.Table:
     out = [(ids[whole], hashes[whole], at[whole], at[whole] + sizes[code[whole]])]
     # a run that is alone with its hash meets no other run's windows
     of_run = np.zeros(len(runs), np.int64)
-    of_run[code] = h
+    for run, _, _, h in _runs(*_buffers(coded.dictionary)):
+        of_run[run] = h
     _, where, n = np.unique(of_run, return_inverse=True, return_counts=True)
     several = np.flatnonzero(n[where] > 1)
     if len(several):
@@ -316,19 +326,18 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     counted = texts.mapInArrow(_count_hashes, "h long, n long").repartition("h").groupBy("h").agg(F.sum("n").alias("n"))
     shared = materialise(counted.filter("n > 1"), "passages-hashes")
     n_rows, n_hot = shared.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > hot)).first()
-    marked = context.broadcast((bitmap(shared.select("h")), bitmap(shared.filter(F.col("n") > hot).select("h"))))
+    bits = [bitmap(some.select(_probes(F.col("h")))) for some in (shared, shared.filter(F.col("n") > hot))]
+    marked, buckets = context.broadcast(bits), max(1, -(-n_rows // rows))
 
     def in_buckets(h: np.ndarray) -> np.ndarray:
-        return in_bitmap(marked.value[0], h) & ~in_bitmap(marked.value[1], h)
+        return _marked(marked.value[0], h) & ~_marked(marked.value[1], h)
 
     def in_joins(h: np.ndarray) -> np.ndarray:
-        return in_bitmap(marked.value[1], h)
+        return _marked(marked.value[1], h)
 
-    found = texts.mapInArrow(_runs_of(in_buckets), _RUNS)
-    by_bucket = F.pmod(F.xxhash64("h"), F.lit(max(1, -(-n_rows // rows))))
-    marks = found.groupBy(by_bucket.alias("bucket")).applyInArrow(_bucket, _MARKS)
+    marks = texts.mapInArrow(_runs_of(in_buckets, buckets), _RUNS).groupBy("bucket").applyInArrow(_bucket, _MARKS)
     if n_hot:
-        marks = marks.unionByName(_hot_marks(texts.mapInArrow(_runs_of(in_joins), _RUNS)))
+        marks = marks.unionByName(_hot_marks(texts.mapInArrow(_runs_of(in_joins, buckets), _RUNS)))
     spans = marks.groupBy("id", "text_hash").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
     joined = keyed.join(spans, ["id", "text_hash"], "left").select("given", "text", "spans")
     cleaned = joined.mapInArrow(_cleaned, "id long, n_bytes long, spans array<struct<first:long,last:long>>, kept binary")
