@@ -1,7 +1,7 @@
 """Passages of LEAST bytes that documents with smaller ids hold too, found by suffix arrays over buckets of text.
 
 All suffixes of a corpus in one order would shuffle many times its size. Instead each text is cut into runs: consecutive
-windows of LEAST bytes whose smallest K-byte hash lies at the same place. Equal windows have the same smallest hash, so
+windows of LEAST bytes that have the same smallest K-byte hash. Equal windows have the same smallest hash, so
 windows that are equal meet in the bucket of that hash, whatever surrounds them. Three narrow passes read the texts:
 
 1. every hash with its number of documents, combined in each task; those of two documents or more are marked in a bitmap;
@@ -28,8 +28,10 @@ from .common import bitmap, in_bitmap, materialise
 
 LEAST = 50
 K = 16
+#: Windows that one place can be the smallest hash of.
+WINDOWS = LEAST - K + 1
 #: Positions hashed at a time; runs a bucket; documents from which a hash is hot.
-SEGMENT, ROWS, HOT = 1 << 20, 25_000, 20_000
+SEGMENT, ROWS, HOT = 1 << 18, 25_000, 20_000
 #: Rows without an id count as the largest.
 NO_ID = 2**63 - 1
 
@@ -61,7 +63,8 @@ def _least(keys: np.ndarray, width: int) -> np.ndarray:
 def _runs(values: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(text, first window, last window, hash) of the runs of the texts at values[offsets[i]:offsets[i + 1]], by segments.
 
-    Places are those in values. Every window of LEAST bytes inside a text lies in one run.
+    Places are those in values. Every window of LEAST bytes inside a text lies in one run. Windows with one smallest hash at
+    several places, as in repeated patterns, stay together, but no run has more than WINDOWS windows.
     """
     spread = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xBF58476D1CE4E5B9)
     end = int(offsets[-1])
@@ -74,7 +77,7 @@ def _runs(values: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray,
         h *= spread[2]
         h ^= h >> np.uint64(32)
         keys = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(reach, dtype=np.uint64)
-        place = (_least(keys, LEAST - K + 1) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        place = (_least(keys, WINDOWS) & np.uint64(0xFFFFFFFF)).astype(np.int64)
         # a window that would pass its text's end belongs to no run
         low, high = np.searchsorted(offsets, [start, start + n], "right")
         ends = offsets[max(low, 1) : high + 1]
@@ -82,11 +85,16 @@ def _runs(values: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray,
         starts = np.maximum(offsets[max(low, 1) - 1 : high][: len(ends)], ends - LEAST + 1)
         np.add.at(past, np.clip(starts - start, 0, n), 1)
         np.add.at(past, np.clip(ends - start, 0, n), -1)
-        place[np.cumsum(past[:n]) > 0] = -1
-        first = np.flatnonzero(np.diff(place, prepend=-2))
+        outside = np.cumsum(past[:n]) > 0
+        least = h[place]
+        first = np.flatnonzero(np.append(True, (least[1:] != least[:-1]) | (outside[1:] != outside[:-1])))
         last = np.append(first[1:], n) - 1
-        inside = place[first] >= 0
+        inside = ~outside[first]
         first, last = first[inside], last[inside]
+        pieces = (last - first) // WINDOWS + 1
+        nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        first = np.repeat(first, pieces) + nth * WINDOWS
+        last = np.minimum(first + WINDOWS - 1, np.repeat(last, pieces))
         text = np.searchsorted(offsets, first + start, "right") - 1
         yield text, first + start, last + start, h[place[first]].view(np.int64)
 
