@@ -450,6 +450,8 @@ def with_levels(texts: DataFrame, model: Model, least: int = MIN_COUNT) -> Model
 
 def _add_level(texts: DataFrame, model: Model, level: int, least: int) -> Model:
     parents = model.offsets[level - 1][-1]
+    if parents >= 1 << 31 or model.offsets[0][-1] >= 1 << 31:
+        raise ValueError(f"level {level} has {parents} parents; keys hold ids below 2**31, so raise least")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie, held, size = opened(model), [], 0
