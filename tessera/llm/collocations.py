@@ -31,8 +31,8 @@ ABSORBED = 50
 HELD, BURST, PART, KNOWN = 1_000_000, 4096, 1 << 20, 1_000_000
 #: Phrases that a trie takes at a time; bits of a word's id: KNOWN and the words of one part stay below.
 BATCH, _BITS = 200_000, 21
-#: Rows that runs leave a task in.
-RUN_ROWS = 50_000
+#: Rows that runs leave a task in; parts of a language's phrases that are ranked by themselves first.
+RUN_ROWS, PARTS = 50_000, 64
 _LAST = (1 << _BITS) - 1
 
 #: A-Z lower-cased, a piece's end to a full stop, tab to space; a full stop is then no byte of any word.
@@ -308,5 +308,9 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, held: int
     scored = cuts.groupBy("lang", "phrase", "a").agg(best)
     longer = three.select("lang", F.explode(F.array(head, tail)).alias("phrase"), "f").groupBy("lang", "phrase").agg(F.max("f").alias("longer"))
     free = scored.join(longer, ["lang", "phrase"], "left").filter("longer IS NULL OR 100 * longer < %d * a" % ABSORBED)
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("best.score"), F.desc("a"), "phrase"))
-    return free.withColumn("rank", rank).filter(F.col("rank") <= top).join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "best.l", "best.r", "n", "best.score")
+    # a language's phrases are cut in PARTS first, so that no task ranks them all
+    order = (F.desc("best.score"), F.desc("a"), "phrase")
+    part = Window.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(PARTS))).orderBy(*order)
+    near = free.withColumn("rank", F.row_number().over(part)).filter(F.col("rank") <= top)
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(*order))
+    return near.withColumn("rank", rank).filter(F.col("rank") <= top).join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "best.l", "best.r", "n", "best.score")
