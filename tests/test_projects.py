@@ -40,7 +40,7 @@ def test_analysis(spark):
     assert rows(found.languages, "project_id", "language") == [("express", "typescript"), ("next", "typescript")]
     assert ("next", "app/page.tsx") in rows(found.entry_points, "project_id", "path")
     best = found.critical_files.filter("project_id = 'next' AND rank = 1").first()
-    assert (best["path"], best["refs"], best["score"], best["reasons"]) == ("app/api/session/route.ts", 0, 17, ["application entry point", "core project concern", "framework convention"])
+    assert (best["path"], best["refs"], best["score"], best["reasons"]) == ("app/api/session/route.ts", 0, 17 + 50, ["application entry point", "core project concern", "semantic feature anchor", "framework convention"])
     assert found.file_index.filter("path = 'lib/db.ts'").first()["search_terms"] == ["lib", "db", "ts"]
 
 
