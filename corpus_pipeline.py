@@ -49,7 +49,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group whose sets of five-word shingles have a similarity of 0.8 or more, by their exact sets:
-    that with the smallest doc_id. Null ids come last; of repeated rows one stays."""
+    that with the smallest doc_id. The SimHash trie proposes, MinHash bands add what it cannot reach. Null ids come last; of repeated rows one stays."""
     _small_batches(spark)
     mark = F.xxhash64(*docs.columns)
     key = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("doc_id"), mark.alias("mark"))

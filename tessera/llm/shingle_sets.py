@@ -1,10 +1,13 @@
-"""Groups of texts whose sets of word shingles are similar: MinHash bands propose pairs, the exact sets decide.
+"""Groups of texts whose sets of word shingles are similar: SimHash's trie and MinHash bands propose pairs, the exact sets decide.
 
-Proposal: BANDS keys of ROWS least hashes each are taken of a text's set of 64-bit shingle hashes; texts that share a key
-meet in a bucket. Two sets of Jaccard similarity 0.8 share none with a probability of (1 - 0.8^4)^20 = 0.00003, less above.
+Proposal: the 64-bit fingerprints of the sets (SimHash) go through the self-join of ``simhash``; its pairs within BUDGET bits, a
+spanning forest of each cell's, are compared first. Fingerprints of texts of similarity 0.8 differ in about ten bits, which no
+trie reaches, so bands add the rest: BANDS keys of ROWS least hashes each are taken of a text's set of 64-bit shingle hashes;
+texts that share a key meet in a bucket. Two sets of Jaccard similarity 0.8 share none with a probability of
+(1 - 0.8^4)^20 = 0.00003, less above.
 
-Decision: a link stands only if |A and B| / |A or B| of the shingle hashes reaches the similarity. Each member of a bucket
-is compared with the bucket's smallest node first, in a join; components of these links are formed. Members that are not in
+Decision: a link stands only if |A and B| / |A or B| of the shingle hashes reaches the similarity. The trie's pairs, and each
+member of a bucket with the bucket's smallest node, are compared in a join; components of these links are formed. Members that are not in
 their representative's component by then are compared with every member of another component, in cells of at most about
 CHUNK by CHUNK, each returning a spanning forest. So a family of near copies costs its size, while a bucket of texts that
 are alike but below the similarity costs the number of its pairs, spread over cells. No pair of a bucket is left out.
@@ -35,10 +38,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import simhash
 from .common import bitmap, in_bitmap, materialise
 from .components import components
-from .simhash import SEED, forest, named, shingle_hashes, stirred
+from .simhash import SEED, forest, majority, named, shingle_hashes, stirred
 
+#: Bits in which fingerprints that the trie links may differ.
+BUDGET = 2
 ROWS, BANDS = 4, 20
 CHUNK = 512
 BINS, MARGIN = 256, 5
@@ -88,19 +94,21 @@ def _set(text: bytes, width: int) -> tuple[np.ndarray, int]:
 
 
 def _signed(docs: DataFrame, width: int) -> DataFrame:
-    """docs(id, text) to (id, node, keys, sketch)."""
-    added = [T.StructField("node", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("sketch", T.BinaryType())]
+    """docs(id, text) to (id, node, print, keys, sketch); print: the set's fingerprint."""
+    added = [T.StructField("node", T.LongType()), T.StructField("print", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("sketch", T.BinaryType())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, keys, sketches = [], [], []
+            nodes, prints, keys, sketches = [], [], [], []
             for x in batch.column(1).cast(pa.large_binary()):
                 hashes, node = _set(x.as_py() or b"", width)
                 nodes.append(node)
+                prints.append(majority(hashes))
                 keys.append(band_keys(hashes))
                 sketches.append(sketch_of(hashes))
-            columns = [batch.column(0), pa.array(nodes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "node", "keys", "sketch"])
+            printed = pa.array(np.array(prints, np.uint64).view(np.int64))
+            columns = [batch.column(0), pa.array(nodes, pa.int64()), printed, pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "node", "print", "keys", "sketch"])
 
     return docs.select("id", "text").mapInArrow(run, T.StructType([docs.schema["id"], *added]))
 
@@ -149,8 +157,19 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, proposed: DataFrame, width: int
     return materialise(_contents(docs, ids, width), "set-contents")
 
 
-def _with_representative(docs: DataFrame, members: DataFrame, proposed: DataFrame, width: int, similarity: float) -> DataFrame:
-    stars = members.filter("node != rep").select("node", "rep").distinct()
+def _by_trie(nodes: DataFrame) -> DataFrame:
+    """(node, rep): pairs of sets whose fingerprints the trie links, and those of one fingerprint with its smallest node."""
+    printed = nodes.filter(F.size("keys") > 0).select("node", "print")
+    prints = materialise(printed.groupBy("print").agg(F.min("node").alias("rep"), F.count("*").alias("n")), "set-prints")
+    met = simhash.links(prints.select(F.col("print").alias("node")), budget=BUDGET, as_met=True).distinct()
+    pairs = met.join(prints.select(F.col("print").alias("u"), F.col("rep").alias("node")).hint("merge"), "u")
+    pairs = pairs.join(prints.select(F.col("print").alias("v"), "rep").hint("merge"), "v").select("node", "rep")
+    equal = printed.join(prints.filter("n > 1").select("print", "rep").hint("merge"), "print").filter("node != rep").select("node", "rep")
+    return materialise(pairs.unionByName(equal).select(F.greatest("node", "rep").alias("node"), F.least("node", "rep").alias("rep")), "set-fingerprint-pairs")
+
+
+def _compared(docs: DataFrame, stars: DataFrame, proposed: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Pairs (node, rep) to the links (u, v) among them."""
     stars = stars.join(proposed.select("node", F.col("sketch").alias("own")).hint("merge"), "node")
     stars = stars.join(proposed.select(F.col("node").alias("rep"), F.col("sketch").alias("other")).hint("merge"), "rep").select("node", "rep", "own", "other")
 
@@ -229,15 +248,18 @@ def _others(docs: DataFrame, members: DataFrame, near: DataFrame, proposed: Data
 
 
 def links(docs: DataFrame, nodes: DataFrame, *, width: int, similarity: float) -> DataFrame:
-    """docs(id, text) and nodes(node, id, keys, sketch), a row for each distinct set, to links (u, v) that span the groups."""
+    """docs(id, text) and nodes(node, id, print, keys, sketch), a row for each distinct set, to links (u, v) that span the groups."""
     codes = materialise(nodes.select("node", F.posexplode("keys").alias("t", "key")), "set-bands")
     buckets = codes.groupBy("t", "key").agg(F.count("*").alias("n"), F.min("node").alias("rep"), F.bit_xor(F.xxhash64("node")).alias("mark"))
     # buckets of the same members count once
     once = buckets.filter("n > 1").groupBy("n", "rep", "mark").agg(F.min(F.struct("t", "key")).alias("at"))
     once = materialise(once.select("at.t", "at.key", "n", "rep"), "set-buckets")
     members = materialise(codes.join(once.hint("merge"), ["t", "key"]), "set-members")
-    proposed = materialise(members.select("node").distinct().hint("merge").join(nodes, "node"), "set-proposed")
-    near = _with_representative(docs, members, proposed, width, similarity)
+    by_trie = _by_trie(nodes)
+    met = members.select("node").union(by_trie.select("node")).union(by_trie.select("rep")).distinct()
+    proposed = materialise(met.hint("merge").join(nodes.drop("print"), "node"), "set-proposed")
+    stars = by_trie.unionByName(members.filter("node != rep").select("node", "rep")).distinct()
+    near = _compared(docs, stars, proposed, width, similarity)
     more = _others(docs, members, near, proposed, width, similarity)
     return near if more is None else near.unionByName(more)
 
@@ -246,5 +268,5 @@ def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", w
     """(id, node, component_id) of every document; component_id is the smallest id of its group."""
     given = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     signed = materialise(_signed(given, width), "set-keys")
-    nodes = materialise(signed.groupBy("node").agg(F.min("id").alias("id"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")), "set-nodes")
+    nodes = materialise(signed.groupBy("node").agg(F.min("id").alias("id"), F.first("print").alias("print"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")), "set-nodes")
     return named(signed.select("id", "node"), nodes.select("node", "id"), links(given, nodes, width=width, similarity=similarity), "node")

@@ -135,15 +135,20 @@ def close_pairs(a: np.ndarray, b: np.ndarray, same: bool, bit: int, budget: int,
         bit -= 1
 
 
-def forest(parent: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Join the groups of i[k] and j[k], where parent[x] is the smallest index of x's group."""
+def forest(parent: np.ndarray, i: np.ndarray, j: np.ndarray, kept: list[tuple[np.ndarray, np.ndarray]] | None = None) -> np.ndarray:
+    """Join the groups of i[k] and j[k], where parent[x] is the smallest index of x's group; kept: gets a pair for each joining."""
     while len(i):
         p, q = parent[i], parent[j]
         apart = p != q
         if not apart.any():
             break
         i, j, p, q = i[apart], j[apart], p[apart], q[apart]
-        np.minimum.at(parent, np.maximum(p, q), np.minimum(p, q))
+        high, low = np.maximum(p, q), np.minimum(p, q)
+        np.minimum.at(parent, high, low)
+        if kept is not None:
+            fits = np.flatnonzero(parent[high] == low)
+            one = fits[np.unique(high[fits], return_index=True)[1]]
+            kept.append((i[one], j[one]))
         while (parent[parent] != parent).any():
             parent = parent[parent]
     return parent
@@ -202,25 +207,31 @@ def _cell_sides(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, bool]:
     return (order, order, True) if same else (order[side == 0], order[side == 1], False)
 
 
-def links(nodes: DataFrame, *, budget: int) -> DataFrame:
-    """nodes(node, sketch), a row each, to links (u, v) within the budget: a spanning forest of each cell's links."""
+def links(nodes: DataFrame, *, budget: int, as_met: bool = False) -> DataFrame:
+    """nodes(node, ...), a row for each fingerprint, to links (u, v): a spanning forest of each cell's links within the budget.
+
+    as_met: each row is a pair within the budget; else each node is linked with the first of its group, which may lie further.
+    """
     codes = nodes.select(F.lit(0).alias("t"), F.col("node").alias("code"), "node")
-    found = [_local(c, budget) for c in _rounds(codes, nodes.count(), budget, 64)]
+    found = [_local(c, budget, as_met) for c in _rounds(codes, nodes.count(), budget, 64)]
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
     return out
 
 
-def _local(cells: DataFrame, budget: int) -> DataFrame:
+def _local(cells: DataFrame, budget: int, as_met: bool) -> DataFrame:
     def linked(frame: pd.DataFrame) -> pd.DataFrame:
         left, right, same = _cell_sides(frame)
         codes, node = frame["code"].to_numpy().view(np.uint64), frame["node"].to_numpy()
         depth, spent = int(frame["depth"].iat[0]), int(frame["spent"].iat[0])
-        parent = np.arange(len(node))
+        parent, kept = np.arange(len(node)), []
         for i, j in close_pairs(codes[left], codes[right], same, 63 - depth, budget, spent):
             i, j = left[i], right[j]
-            parent = forest(parent, i[i != j], j[i != j])
+            parent = forest(parent, i[i != j], j[i != j], kept if as_met else None)
+        if as_met:
+            i, j = (np.concatenate([k[side] for k in kept] or [np.zeros(0, np.int64)]) for side in (0, 1))
+            return pd.DataFrame({"u": node[i], "v": node[j]})
         member = np.flatnonzero(parent != np.arange(len(node)))
         return pd.DataFrame({"u": node[member], "v": node[parent[member]]})
 
