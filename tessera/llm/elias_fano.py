@@ -85,7 +85,8 @@ class EliasFano:
         }
 
     def access(self, i: np.ndarray) -> np.ndarray:
-        word = np.searchsorted(self.ones, i, side="right") - 1
+        # of one type, or all of ones would be converted
+        word = np.searchsorted(self.ones, i.astype(self.ones.dtype), side="right") - 1
         at = (word << 6) + nth_one(self.high[word], i - self.ones[word].astype(np.int64))
         return ((at - i).astype(U64) << U64(self.bits)) | unpack(self.low, i, self.bits)
 
@@ -162,16 +163,16 @@ def save(uri: str, arrays: dict[str, np.ndarray]) -> None:
 
 
 def load(uri: str) -> dict[str, np.ndarray]:
-    """The arrays of a file, memory-mapped; from a store that is no local folder, by an unnamed local copy."""
+    """The arrays of a file, memory-mapped, as plain arrays (slices of a memmap cost far more); from a store that is no local folder, by an unnamed local copy."""
     store, path = _place(uri)
     if isinstance(store, fs.LocalFileSystem):
-        raw = np.memmap(path, np.uint8, "r")
+        raw = np.asarray(np.memmap(path, np.uint8, "r"))
     else:
         with tempfile.TemporaryFile() as local, store.open_input_stream(path) as f:
             while block := f.read(8 << 20):
                 local.write(block)
             local.flush()
-            raw = np.memmap(local, np.uint8, "r")
+            raw = np.asarray(np.memmap(local, np.uint8, "r"))
     size = int.from_bytes(raw[:8].tobytes(), "little")
     head = json.loads(raw[8 : 8 + size].tobytes())
     return {k: raw[8 + size + at : 8 + size + at + n * np.dtype(kind).itemsize].view(kind) for k, (kind, n, at) in head.items()}

@@ -97,6 +97,20 @@ def hashes(words: list[bytes]) -> np.ndarray:
 # ---------------------------------------------------------------- the opened model
 
 
+class _Recent(dict):
+    """Words to ids; a word that is not here is taken from ``older``, or listed in ``new`` and stands as -2 less its place there."""
+
+    older: dict[bytes, int] = {}
+    new: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        if (found := self.older.get(word)) is None:
+            found = -2 - len(self.new)
+            self.new.append(word)
+        self[word] = found
+        return found
+
+
 class Trie:
     """A model's files, opened in a worker when first used: lookups over arrays of ids."""
 
@@ -106,7 +120,7 @@ class Trie:
         self.files: dict[tuple[int, int], dict[str, np.ndarray]] = {}
         self.seqs: dict[tuple[int, int, str], EliasFano] = {}
         # words met lately, and those met before them
-        self.recent: dict[bytes, int] = {}
+        self.recent = _Recent()
         self.older: dict[bytes, int] = {}
 
     def held(self, level: int, shard: int) -> dict[str, np.ndarray]:
@@ -149,27 +163,27 @@ class Trie:
     def ids(self, texts: list[list[bytes]]) -> list[np.ndarray]:
         """Word ids of all tokens of each text; -1 for words not seen in training."""
         if len(self.recent) > CACHE_WORDS:
-            self.older, self.recent = self.recent, {}
-        recent, older = self.recent, self.older
-        missing = []
-        for w in set().union(*texts):
-            if w not in recent:
-                if (known := older.get(w)) is None:
-                    missing.append(w)
-                else:
-                    recent[w] = known
-        if missing:
-            recent.update(zip(missing, self.word_ids(hashes(missing)).tolist(), strict=True))
+            self.older, self.recent = dict(self.recent), _Recent()
+        recent = self.recent
+        recent.older, recent.new = self.older, []
+        new = recent.new
         at = recent.__getitem__
-        return [np.fromiter(map(at, words), np.int32, len(words)) for words in texts]
+        found = [np.fromiter(map(at, words), np.int32, len(words)) for words in texts]
+        if new:
+            known = self.word_ids(hashes(new)).astype(np.int32)
+            recent.update(zip(new, known.tolist(), strict=True))
+            for ids in found:
+                later = np.flatnonzero(ids < -1)
+                ids[later] = known[-2 - ids[later]]
+        return found
 
     def parent_shard(self, level: int, parents: np.ndarray) -> np.ndarray:
         return context_range(parents, int(self.offsets[level - 1][-1]), self.model.shards)
 
-    def children(self, level: int, parents: np.ndarray, successors: np.ndarray, relative: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    def children(self, level: int, parents: np.ndarray, successors: np.ndarray, relative: bool = False, prices: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Global ids of (parent, successor) on a level and, if relative, their places among their parents' successors; or -1.
 
-        Equal queries are looked up once, in the order of the sequence.
+        Equal queries are looked up once, in the order of the sequence. prices: gets their log10 probabilities, 0 for none.
         """
         out, places = np.full(len(parents), -1, np.int64), np.full(len(parents) if relative else 0, -1, np.int64)
         if len(self.model.offsets) <= level or not len(parents):
@@ -183,22 +197,28 @@ class Trie:
         key, back = key[new], np.cumsum(new) - 1
         p, w = key >> 32, key & 0xFFFFFFFF
         found, place = np.full(len(p), -1, np.int64), np.full(len(p), -1, np.int64)
+        price = np.zeros(len(p) if prices is not None else 0)
         # parents ascend, and so do their shards
         shard = self.parent_shard(level, p)
         cut = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(p)]
         for a, b in zip(cut, cut[1:], strict=False):
             s = int(shard[a])
-            first, width = self.held(level, s)["frame"]
+            held = self.held(level, s)
+            first, width = held["frame"]
             fits = a + np.flatnonzero(w[a:b] < width)
             at = self.seq(level, s, "children").search((p[fits] - first).astype(U64) * U64(width) + w[fits].astype(U64))
             hit = np.flatnonzero(at >= 0)
             fits, at = fits[hit], at[hit]
             found[fits] = at + self.offsets[level][s]
+            if prices is not None:
+                price[fits] = held["p_book"][held["p"][at]]
             if relative and len(fits):
                 head = np.flatnonzero(np.diff(p[fits], prepend=-1))
                 start = self.seq(level, s, "pointers").access(p[fits[head]] - first).astype(np.int64)
                 place[fits] = at - np.repeat(start, np.diff(np.append(head, len(fits))))
         out[order] = found[back]
+        if prices is not None:
+            prices[order] = price[back]
         if relative:
             places[order] = place[back]
         return out, places
@@ -250,11 +270,18 @@ class Trie:
         context[first] = self.ids([[END]])[0][0]
         return context
 
-    def pairs(self, ids: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each token the node of the pair it ends, and its place among the context's successors; -1 where there is none."""
+    def pairs(self, ids: np.ndarray, context: np.ndarray, prices: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """For each token the node of the pair it ends, and its place among the context's successors; -1 where there is none.
+
+        prices: gets the pairs' log10 probabilities where there is one.
+        """
         node, place = np.full(len(ids), -1, np.int64), np.full(len(ids), -1, np.int64)
         known = np.flatnonzero((ids >= 0) & (context >= 0))
-        node[known], place[known] = self.children(1, context[known], ids[known], relative=True)
+        own = np.zeros(len(known)) if prices is not None else None
+        node[known], place[known] = self.children(1, context[known], ids[known], relative=True, prices=own)
+        if prices is not None:
+            found = node[known] >= 0
+            prices[known[found]] = own[found]
         return node, place
 
     def triples(self, node: np.ndarray, place: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -521,21 +548,20 @@ def score_indexed(texts: DataFrame, model: Model, *, keep: list[str]) -> DataFra
         base = trie.base(counts)
         log_p = base.copy()
         context = trie.contexts(ids, first)
-        node, place = trie.pairs(ids, context)
+        node, place = trie.pairs(ids, context, log_p)
         known = np.flatnonzero((context >= 0) & (node < 0))
         if model.words:
             log_p[known] += trie.rest(1, context[known])
-        found = np.flatnonzero(node >= 0)
-        log_p[found] = trie.log_p(1, node[found])
         at, before, relative = trie.triples(node, place, first)
         if len(at):
             some = np.flatnonzero(relative >= 0)
-            triple, _ = trie.children(2, before[some], relative[some])
+            prices = np.zeros(len(some))
+            triple, _ = trie.children(2, before[some], relative[some], prices=prices)
             hit = some[triple >= 0]
             off = np.ones(len(at), bool)
             off[hit] = False
             log_p[at[off]] += trie.rest(2, before[off])
-            log_p[at[hit]] = trie.log_p(2, triple[triple >= 0])
+            log_p[at[hit]] = prices[triple >= 0]
         sums = [np.add.reduceat(x, first) for x in ((counts > 0).astype(np.int64), base, log_p)]
         return [np.diff(np.append(first, len(ids))), sums[0], np.full(len(first), model.total), sums[1], sums[2]]
 

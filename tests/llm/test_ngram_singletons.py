@@ -4,6 +4,7 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from tessera.llm import ngram_lm, queries
@@ -39,3 +40,22 @@ def test_all_pairs_and_triples_count(spark, monkeypatch):
         w = [*t.split(), ""]
         want = math.log10(p2("", w[0])) + sum(math.log10(p3(*x)) for x in zip(["", *w], w, w[1:], strict=False))
         assert got[i]["score"] == pytest.approx(want, rel=0.03), i
+
+
+def test_lookups_bring_prices(spark):
+    """op9_ngram_lm: a lookup returns the probabilities that a second pass over the nodes would; files are plain arrays."""
+    rows = [(i, " ".join("abcdefg"[(i * k * k + k) % 7] for k in range(40))) for i in range(12)]
+    model = ngram_lm.train(spark.createDataFrame(rows, "doc_id long, text string"), least=1)
+    trie = ngram_lm.Trie(model)
+    words = [w.encode() for w in "a b c d e f g".split()]
+    ids = trie.ids([words * 5 + [b"unseen"] + words[::-1]])[0].astype(np.int64)
+    context = trie.contexts(ids, np.array([0]))
+    prices = np.full(len(ids), 7.0)
+    node, _ = trie.pairs(ids, context, prices)
+    assert (node >= 0).any() and (node < 0).any() and (prices[node < 0] == 7).all()
+    assert (prices[node >= 0] == trie.log_p(1, node[node >= 0])).all()
+    assert type(trie.held(1, 0)["p"]) is np.ndarray
+    twice = trie.ids([[b"a", b"new", b"new"], [b"new", b"b", b"other"]])
+    assert [x.tolist() for x in twice] == [[ids[0], -1, -1], [-1, ids[1], -1]]
+    trie.older, trie.recent = dict(trie.recent), ngram_lm._Recent()
+    assert trie.ids([words])[0].tolist() == ids[:7].tolist() and len(trie.recent) == 7
