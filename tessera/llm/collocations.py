@@ -17,6 +17,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
@@ -148,8 +149,8 @@ class HatTrie:
     def __len__(self) -> int:
         return self.n_waiting + sum(map(len, self.root.values()))
 
-    def spill(self, keep: int) -> Iterator[tuple[int, list[tuple[int, int]]]]:
-        """Take the largest subtrees out until keep entries are left: (first id, entries)."""
+    def subtrees(self, keep: int) -> Iterator[tuple[int, dict[int, int] | _Branch]]:
+        """Take the largest subtrees out until keep entries are left: (first id, subtree)."""
         self.settle()
         size = len(self)
         for first in sorted(self.root, key=lambda a: len(self.root[a]), reverse=True):
@@ -157,18 +158,45 @@ class HatTrie:
                 return
             node = self.root.pop(first)
             size -= len(node)
-            yield first, list(node.items())
+            yield first, node
+
+    def spill(self, keep: int) -> Iterator[tuple[int, list[tuple[int, int]]]]:
+        """As subtrees: (first id, entries)."""
+        return ((first, list(node.items())) for first, node in self.subtrees(keep))
+
 
+class _Runs:
+    """Subtrees of one language as runs: rows in byte order of their phrases, some RUN_ROWS at a time."""
 
-def _rows(names: list[bytes], first: int, entries: list[tuple[int, int]], width: int) -> list[tuple[bytes, bytes, int]]:
-    """One subtree as a run: rows in byte order of their phrases."""
-    begin = names[first] + b" "
-    return sorted((begin + names[rest >> _BITS], names[rest & _LAST] if width == 3 else b"", n) for rest, n in entries)
+    def __init__(self, lang: str, names: list[bytes], width: int) -> None:
+        self.lang, self.width, self.names = lang, width, pa.array(names, pa.binary())
+        self.rank = np.empty(len(names), np.int64)
+        self.rank[pc.array_sort_indices(self.names).to_numpy()] = np.arange(len(names))
+        self.clear()
 
+    def clear(self) -> None:
+        self.firsts, self.sizes, self.rests, self.numbers = [], [], [], []
+
+    def add(self, first: int, node: dict[int, int] | _Branch) -> None:
+        self.firsts.append(first)
+        self.sizes.append(len(node))
+        for held in node.children.values() if isinstance(node, _Branch) else (node,):
+            self.rests.extend(held)
+            self.numbers.extend(held.values())
+
+    def __len__(self) -> int:
+        return len(self.rests)
 
-def _batch(langs: list[str], rows: list[tuple[bytes, bytes, int]]) -> pa.RecordBatch:
-    head, tail, n = zip(*rows)
-    return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(head, pa.binary()), pa.array(tail, pa.binary()), pa.array(n, pa.int64())], ["lang", "head", "tail", "f"])
+    def batch(self) -> pa.RecordBatch:
+        rests, number = np.array(self.rests, np.int64), np.array(self.numbers, np.int64)
+        first, run = np.repeat(self.firsts, self.sizes), np.repeat(np.arange(len(self.sizes)), self.sizes)
+        second, third = rests >> _BITS, rests & _LAST
+        order = np.lexsort((self.rank[third], self.rank[second], run) if self.width == 3 else (self.rank[second], run))
+        word = lambda ids: self.names.take(pa.array(ids[order]))
+        head = pc.binary_join_element_wise(word(first), word(second), b" ")
+        tail = word(third) if self.width == 3 else pa.repeat(pa.scalar(b"", pa.binary()), len(rests))
+        self.clear()
+        return pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(self.lang, pa.string()), len(order)), head, tail, pa.array(number[order])], ["lang", "head", "tail", "f"])
 
 
 def _texts(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[str, bytes]]:
@@ -223,17 +251,14 @@ def _count_phrases(batches: Iterator[pa.RecordBatch], frequent: Broadcast, width
     added = 0
 
     def spilled(keep: int) -> Iterator[pa.RecordBatch]:
-        langs: list[str] = []
-        rows: list[tuple[bytes, bytes, int]] = []
         for lang, (ids, trie) in state.items():
-            for first, entries in trie.spill(keep // len(state)):
-                rows += _rows(ids.names, first, entries, width)
-                langs += [lang] * len(entries)
-                if len(rows) >= RUN_ROWS:
-                    yield _batch(langs, rows)
-                    langs, rows = [], []
-        if rows:
-            yield _batch(langs, rows)
+            runs = _Runs(lang, ids.names, width)
+            for first, node in trie.subtrees(keep // len(state)):
+                runs.add(first, node)
+                if len(runs) >= RUN_ROWS:
+                    yield runs.batch()
+            if len(runs):
+                yield runs.batch()
 
     for lang, text in _texts(batches):
         last: list[bytes] = []

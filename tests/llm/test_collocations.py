@@ -91,3 +91,18 @@ def test_scores_are_exact_beyond_64_bits(spark):
 def test_no_rows(spark):
     assert C.collocations(spark.createDataFrame([], SCHEMA)).count() == 0
     assert C.collocations(spark.createDataFrame([(1, None, None, 0, "")], SCHEMA)).count() == 0
+
+
+def test_runs_are_in_byte_order():
+    """op13_phrase_collocations: subtrees of both kinds leave as whole runs, made without a Python row for each phrase."""
+    names = [b"b", b"\xc3\xa9", b"a", b"ab"]
+    trie = C.HatTrie(burst=2)
+    phrases = [(0, 1, 2), (0, 1, 0), (0, 3, 2), (0, 2, 3), (1, 0, 0), (0, 1, 2)]
+    trie.add(np.array([a << 42 | b << 21 | c for a, b, c in phrases]))
+    trie.settle()
+    runs = C._Runs("en", names, 3)
+    for first, node in trie.subtrees(0):
+        runs.add(first, node)
+    got = [tuple(r.values()) for r in runs.batch().to_pylist()]
+    want = Counter((names[a] + b" " + names[b], names[c]) for a, b, c in phrases)
+    assert got == [("en", *k, n) for k, n in sorted(want.items())] and len(runs) == 0
