@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import evidence
 from . import flows
-from .graph import written
+from .graph import bounded, written
 
 CODE = r"\.[cm]?[jt]sx?\z"
 SCRIPT = r"\.[cm]?[jt]s\z"
@@ -74,15 +74,16 @@ def named_first(paths: DataFrame, features: DataFrame) -> DataFrame:
     """(project_id, name, path): the first file of each feature with a folder or file below the root that begins like it.
 
     Segments are cut to the lengths that the project's features have, so the join is on equal strings; the pattern decides.
+    The cut segments are many times the paths and never broadcast.
     """
     plain = F.regexp_replace("slug", r"\s+", "")
-    wanted = features.select("project_id", "name", slug(F.col("name")).alias("slug")).withColumn("key", plain).filter("key <> ''")
+    wanted = written(features.select("project_id", "name", slug(F.col("name")).alias("slug")).withColumn("key", plain).filter("key <> ''"))
     lengths = wanted.groupBy("project_id").agg(F.collect_set(F.length("key")).alias("lengths"))
     low = F.lower("path")
     segments = F.slice(F.split(low, "/"), F.lit(2), F.greatest(F.size(F.split(low, "/")) - 1, F.lit(0)))
     heads = F.array_distinct(F.flatten(F.transform(F.col("segments"), lambda s: F.transform(F.col("lengths"), lambda n: F.substring(s, F.lit(1), n)))))
-    cut = paths.join(lengths, "project_id").withColumn("segments", F.transform(segments, lambda s: F.regexp_replace(s, "[-_]", "")))
-    keyed = cut.select("project_id", "path", F.explode(heads).alias("key")).join(wanted, ["project_id", "key"])
+    cut = paths.join(bounded(lengths), "project_id").withColumn("segments", F.transform(segments, lambda s: F.regexp_replace(s, "[-_]", "")))
+    keyed = cut.select("project_id", "path", F.explode(heads).alias("key")).join(bounded(wanted), ["project_id", "key"])
     exact = F.concat(F.lit("/"), F.array_join(F.transform(F.split("slug", r"\s+"), lambda w: F.concat(F.lit(r"\Q"), w, F.lit(r"\E"))), "[-_]?"))
     fits = keyed.filter(F.regexp_like(low, exact))
     return fits.groupBy("project_id", "name").agg(F.min(_ordered(F.col("path"))).alias("first")).select("project_id", "name", F.col("first.path").alias("path"))

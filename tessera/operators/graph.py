@@ -19,6 +19,8 @@ from ..functions import paths
 SUFFIXES = ["", ".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", ".vue", ".svelte", ".astro"]
 INDEXES = ["/index.ts", "/index.tsx", "/index.js", "/index.jsx", "/index.vue", "/index.svelte", "/index.astro"]
 COMPILED = [(".js", ".ts"), (".js", ".tsx"), (".mjs", ".mts"), (".cjs", ".cts")]
+# Sizes: bytes of a table's values, as JSON, up to which a join may send it to every task.
+SENT_BYTES = 4 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -39,6 +41,15 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded(df: DataFrame) -> DataFrame:
+    """df for a join with many rows: broadcast if its values have SENT_BYTES at most, else merged by sorted keys.
+
+    The other side is never broadcast. Spark guesses its size from its files and knows nothing of rows that were exploded.
+    """
+    size = df.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0
+    return df.hint("broadcast" if size <= SENT_BYTES else "merge")
+
+
 def normal_path(path: Column) -> Column:
     """. and empty segments drop out; .. takes the segment before it along, if there is one."""
     parts = F.aggregate(

@@ -98,6 +98,17 @@ def test_features_named_in_folders(spark):
     assert rows(business_flows.named_first(paths, listed), "name", "path") == [("C++", "d/c++.ts"), ("Order Item Management", "a/ORDERITEM/x.ts")]
 
 
+def test_cut_segments_are_never_broadcast(spark, monkeypatch):
+    files = graph.written(spark.range(400).selectExpr("'p' AS project_id", "concat('src/lib/red-', elt(id % 2 + 1, 'bolt', 'ring'), '-', id, '.ts') AS path", "concat('red ', elt(id % 2 + 1, 'bolt', 'ring')) AS word"))
+    listed = files.selectExpr("project_id", "concat(word, ' Management') AS name").distinct()
+    for most, kind in ((graph.SENT_BYTES, "BuildRight"), (0, "SortMergeJoin")):
+        monkeypatch.setattr(graph, "SENT_BYTES", most)
+        found = business_flows.named_first(files.select("project_id", "path"), listed)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "BuildLeft" not in plan and plan.count(kind) == 2 and (most or "BroadcastHashJoin" not in plan)
+        assert rows(found, "name", "path") == [("red bolt Management", "src/lib/red-bolt-0.ts"), ("red ring Management", "src/lib/red-ring-1.ts")]
+
+
 def test_mended_rules(spark):
     wiki = tree.from_rows(spark, "w", {"wiki/src/index.ts": "export const x = 1;\n"})
     found = engine.analyse(wiki)
